@@ -12,8 +12,14 @@ from corvane.llm.common import table, written
 from corvane.llm.decontaminate import decontaminate
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.packing import pack
-from corvane.llm.queries import tokenizer_path
+from corvane.llm.queries import remainder, tokenizer_path
 from corvane.llm.simhash import near_dedup
+from corvane.llm.toxicity import keep_clean, train
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return keep_clean(docs, train(docs, labels.where(remainder("doc_id", 5) != 0)))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer_path())
 
 
-STAGES = [("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("decontamination", drop_leaks), ("packing", packed)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("decontamination", drop_leaks), ("packing", packed)]
 
 #: Toxicity scores and tokens can't be expressed in SQL.
 ORACLE_SQL = None
