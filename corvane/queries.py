@@ -1,7 +1,726 @@
-"""Registered queries of the retrieval engine, and their DuckDB twins."""
+"""Registered queries of the retrieval engine over the driver's tables, each with its DuckDB twin."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .config import CONFIGURATIONS, Settings
+from .functions import text as T
+from .functions.vectors import hashing_embedding
+from .operators import answers, audit, chunking, dense, evaluation, lexical, references, retrieval, store
+from .sources import files, markup, sections
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "hybrid_search"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+# SQL of text functions, for the twins.
+def sql_tokens(text: str) -> str:
+    return rf"regexp_extract_all(lower(replace({text}, '’', '''')), '\p{{Nd}}+(?:\.\p{{Nd}}+)*|[\p{{L}}\p{{Nl}}\p{{No}}]+')"
+
+
+def sql_content(text: str, lang: str) -> str:
+    return f"list_filter({sql_tokens(text)}, lambda x: NOT list_contains(CASE WHEN {lang} = 'fr' THEN {_list(T.STOPWORDS['fr'])} ELSE {_list(T.STOPWORDS['en'])} END, x))"
+
+
+def sql_language(text: str) -> str:
+    words = f"list_distinct(list_transform({sql_tokens(text)}, lambda x: translate(x, '{T._FROM}', '{T._TO}')))"
+    hits = lambda lexicon: f"len(list_intersect({words}, {_list(sorted(set(lexicon)))}))"
+    return f"CASE WHEN regexp_matches(lower({text}), '[{T.ACCENTS}]') OR {hits(T.MARKERS)} > 0 OR {hits(T.STOPWORDS['fr'])} > {hits(T.STOPWORDS['en'])} THEN 'fr' ELSE 'en' END"
+
+
+# ------------------------------------------------------------------------------------------------ corpus and store
+
+
+@query("""
+    WITH s AS (SELECT DISTINCT source FROM documents),
+    p AS (SELECT source, count(*) n FROM documents GROUP BY 1),
+    c AS (SELECT d.source, count(*) n, avg(d.n_chars) a FROM labels l JOIN documents d USING (doc_id) GROUP BY 1)
+    SELECT s.source AS document_id, coalesce(p.n, 0) AS provisions, coalesce(c.n, 0) AS chunks, round(coalesce(c.a, 0), 4) AS average_tokens
+    FROM s LEFT JOIN p USING (source) LEFT JOIN c USING (source)""")
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.col("source").alias("document_id"), "doc_id", F.col("n_chars").alias("token_count"))
+    chunks = own.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return store.summaries(own.select("document_id").distinct(), own, chunks).withColumn("average_tokens", F.round("average_tokens", 4))
+
+
+@query("""
+    WITH p AS (SELECT source AS document_id, count(*) AS provisions FROM documents GROUP BY 1),
+    c AS (SELECT d.source AS document_id, count(*) AS chunks, sum(d.n_chars) AS tokens FROM labels l JOIN documents d USING (doc_id) GROUP BY 1)
+    SELECT document_id, provisions, coalesce(chunks, 0) AS chunks, cast(coalesce(tokens, 0) AS BIGINT) AS tokens, round(coalesce(tokens / nullif(chunks, 0), 0), 4) AS average_tokens
+    FROM p LEFT JOIN c USING (document_id)""")
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.col("source").alias("document_id"), "doc_id", F.col("n_chars").alias("token_count"))
+    chunks = own.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return store.ingest_report(own.select("document_id").distinct(), own, chunks).withColumn("average_tokens", F.round("average_tokens", 4))
+
+
+def _as_chunks(docs: DataFrame) -> DataFrame:
+    """Documents in the place of chunks: an id, an order within a source, one provision each."""
+    number = F.pmod("doc_id", F.lit(50)).cast("string")
+    return docs.select(
+        F.col("doc_id").alias("id"), F.col("doc_id").cast("int").alias("ord"), F.col("source").alias("source_id"), F.col("source").alias("document_id"), F.col("lang").alias("language"),
+        F.lit("structural").alias("strategy"), F.array(F.concat_ws(":", "source", F.lit("art"), number)).alias("provision_ids"), "text", "n_chars",
+    )
+
+
+@query("SELECT doc_id AS id, source AS document_id, lang AS language, n_chars FROM documents WHERE lang = 'en'")
+def chunk_scan_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.scan_chunks(_as_chunks(table(spark, sf_dir, "documents")), "structural", "en").select("id", "document_id", "language", "n_chars")
+
+
+@query("SELECT 'corpus:art:' || doc_id AS provision_id, lang AS language, n_chars FROM documents WHERE doc_id = 0 AND lang = 'en'")
+def provision_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(T.provision_id(F.lit("corpus"), F.lit("art"), F.col("doc_id").cast("string")).alias("provision_id"), F.col("lang").alias("language"), "n_chars")
+    return store.provision(rows, "corpus:art:0", "en")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) AS token_count FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("token_count"))
+
+
+@query("""
+    WITH new AS (SELECT o_orderkey + 10000000 AS o_orderkey, o_custkey, 'R' AS o_orderstatus, round(o_totalprice * 2, 2) AS o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT')
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM new) UNION ALL SELECT * FROM new""")
+def replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    new = orders.where("o_orderpriority = '1-URGENT'").select((F.col("o_orderkey") + 10_000_000).alias("o_orderkey"), "o_custkey", F.lit("R").alias("o_orderstatus"), F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"))
+    return store.replaced(orders.select(*new.columns), new, ["o_custkey"])
+
+
+@query("""
+    SELECT vec_id, CASE WHEN label % 2 = 0 THEN label + 1000 ELSE label END AS label, round(cast(embedding[1] AS DOUBLE), 6) AS first FROM embeddings""")
+def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    new = vectors.where("label % 2 = 0").withColumn("label", F.col("label") + 1000)
+    return store.upserted(vectors, new, ["vec_id"]).select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@query("""
+    WITH h AS (SELECT doc_id, sha256(text) AS sha FROM documents),
+    c AS (SELECT DISTINCT sha FROM h JOIN labels USING (doc_id))
+    SELECT count(*) AS chunks, count(DISTINCT CASE WHEN c.sha IS NULL THEN h.sha END) AS embedded,
+           count(*) - count(DISTINCT CASE WHEN c.sha IS NULL THEN h.sha END) AS reused,
+           round((count(*) - count(DISTINCT CASE WHEN c.sha IS NULL THEN h.sha END)) / count(*), 6) AS hit_rate
+    FROM h LEFT JOIN c ON h.sha = c.sha""")
+def embedding_cache_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashes, cache = _cache(spark, sf_dir)
+    return store.index_report(hashes, cache, "m").withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query("""
+    WITH h AS (SELECT doc_id, sha256(text) AS text_sha256 FROM documents)
+    SELECT DISTINCT text_sha256 FROM h WHERE text_sha256 NOT IN (SELECT text_sha256 FROM h JOIN labels USING (doc_id))""")
+def embedding_cache_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashes, cache = _cache(spark, sf_dir)
+    return store.pending(hashes, cache, "m").select("text_sha256")
+
+
+def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hashes of all documents; those that have labels are the ones embedded already."""
+    hashes = store.hashed(table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("header"), "text")).select("doc_id", "text_sha256")
+    cache = hashes.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("text_sha256", F.lit("m").alias("model")).distinct()
+    return hashes, cache
+
+
+@query("""
+    WITH h AS (SELECT doc_id, lang, sha256(text) AS sha FROM documents),
+    e AS (SELECT sha, arg_min(embedding, vec_id) AS v FROM embeddings JOIN h ON vec_id = doc_id GROUP BY 1)
+    SELECT doc_id AS chunk_id, round(cast(v[1] AS DOUBLE), 6) AS first, len(v) AS dimensions FROM h JOIN e USING (sha) WHERE lang = 'en'""")
+def vector_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", T.digest(F.col("text")).alias("text_sha256"))
+    vectors = table(spark, sf_dir, "embeddings")
+    cache = vectors.join(docs, F.col("vec_id") == F.col("doc_id")).groupBy("text_sha256").agg(F.min_by("embedding", "vec_id").alias("vector")).withColumn("model", F.lit("m"))
+    links = docs.select(F.col("doc_id").alias("chunk_id"), F.lit("m").alias("model"), "text_sha256")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.lit("structural").alias("strategy"), F.col("lang").alias("language"))
+    return store.vector_matrix(links, cache, chunks, "m", "structural", "en").select("chunk_id", F.round(F.col("vector")[0].cast("double"), 6).alias("first"), F.size("vector").alias("dimensions"))
+
+
+@query("""
+    SELECT doc_id, text_sha256 FROM (SELECT doc_id, sha256(text) AS text_sha256, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1""")
+def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.digest(F.col("text")).alias("text_sha256"))
+    return docs.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("SELECT 'item' || item_id || '@' || substr(sha256(trim(text, E' \\t\\n\\r')), 1, 8) AS version, length(trim(text, E' \\t\\n\\r')) AS n_chars FROM benchmark")
+def prompt_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), "text")
+    return files.prompts(texts).select("version", F.length("text").alias("n_chars"))
+
+
+@query(None)
+def source_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for a manifest with a source for each region's nations: URL, file name, headers."""
+    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("id"), F.lit("eurlex-xhtml").alias("format"), F.array(F.lit("en"), F.lit("fr")).alias("languages"), F.concat(F.lit("3202"), F.col("r_regionkey").cast("string"), F.lit("R0001")).alias("celex"), F.lit(None).cast("map<string,string>").alias("urls"))
+    return files.downloads_wanted(regions)
+
+
+# ------------------------------------------------------------------------------------------------ lexical, dense, references
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, unnest({sql_content("text", "lang")}) AS term FROM documents),
+    d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1)
+    SELECT term, df, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)), 6) AS idf FROM d""")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.content_tokens(F.col("text"), F.col("lang")).alias("tokens"))
+    return lexical.term_stats(lexical.build(docs, "doc_id", "tokens")).withColumn("idf", F.round("idf", 6))
+
+
+_BM25 = f"""
+    dt AS (SELECT doc_id, {sql_tokens("text")} AS tokens FROM documents),
+    dl AS (SELECT doc_id, len(tokens) AS len FROM dt),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM dt) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    qt AS (SELECT item_id AS qid, term, count(*) AS times FROM (SELECT item_id, unnest({sql_tokens("text")}) AS term FROM benchmark) GROUP BY ALL),
+    st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl),
+    sc AS (SELECT qid, doc_id AS id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score
+           FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
+    bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM sc)"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.col("text")).alias("tokens"))
+    return lexical.search(lexical.build(docs, "doc_id", "tokens"), asked, k)
+
+
+@query(f"WITH {_BM25} SELECT qid, id, score, position FROM bm WHERE position <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir, 10)
+
+
+@query(None)
+def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of stems: rows only, as DuckDB has no French stemmer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.analyse(F.col("text"), F.col("lang")).alias("tokens"))
+    return lexical.build(docs, "doc_id", "tokens").terms
+
+
+@query(f"SELECT lang, {sql_language('text')} AS detected, count(*) AS n FROM documents GROUP BY ALL")
+def detect_language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang", T.detect_language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
+
+
+_DENSE = """
+    de AS (SELECT q.vec_id AS qid, v.vec_id AS id, v.label, q.label AS q_label, round(list_dot_product(cast(q.embedding AS DOUBLE[]), cast(v.embedding AS DOUBLE[])), 6) AS score
+           FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return vectors, vectors.where("id % 100 = 0").select(F.col("id").alias("qid"), "vector", "label")
+
+
+@query(f"WITH {_DENSE} SELECT qid, id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM de) WHERE position <= 10")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, asked = _vectors(spark, sf_dir)
+    return dense.search(vectors, asked, 10)
+
+
+@query(f"WITH {_DENSE} SELECT qid, id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM de WHERE label % 2 = 0) WHERE position <= 10")
+def dense_topk_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, asked = _vectors(spark, sf_dir)
+    return dense.search(vectors, asked, 10, allowed=vectors.where("label % 2 = 0"))
+
+
+@query("""
+    WITH w AS (SELECT doc_id, lower(x) AS w FROM (SELECT doc_id, unnest(%s) AS x FROM documents)),
+    b AS (SELECT doc_id, cast('0x' || substr(sha256(w), 1, 2) AS INT) %% 64 AS b, count(*) AS n FROM w GROUP BY ALL)
+    SELECT doc_id, count(*) AS buckets, max(n) AS most, round(max(n) / sqrt(sum(n * n)), 6) AS largest FROM b GROUP BY doc_id""" % sql_tokens("text"))
+def hashing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    v = docs.select("doc_id", "text", hashing_embedding(F.col("text")).alias("v")).where(F.exists("v", lambda x: x > 0))
+    filled = v.select("doc_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("buckets"), F.round(F.array_max("v"), 6).alias("largest"))
+    counts = words.select("doc_id", F.explode("w").alias("w")).groupBy("doc_id", F.pmod(F.conv(F.substring(F.sha2("w", 256), 1, 2), 16, 10).cast("int"), F.lit(64)).alias("b")).agg(F.count("*").alias("n"))
+    return filled.join(counts.groupBy("doc_id").agg(F.max("n").alias("most")), "doc_id")
+
+
+_QUESTION = """'Does Article ' || n_nationkey || '(' || n_regionkey || ') of the ' || CASE WHEN n_regionkey %% 2 = 0 THEN 'GDPR' ELSE 'text' END || ' or art. ' || (n_nationkey + 1) || ', annex ' || CASE n_regionkey WHEN 0 THEN 'iii' WHEN 1 THEN 'IV' ELSE '2' END || ' and recital (' || (n_nationkey * 3) || ') of ' || r_name || ' apply?'""".replace("%%", "%")
+
+
+@query(rf"""
+    WITH q AS (SELECT n_nationkey AS qid, {_QUESTION} AS t FROM nation JOIN region ON n_regionkey = r_regionkey),
+    s AS (SELECT qid, t, CASE WHEN contains(lower(t), 'gdpr') THEN 'gdpr' END AS source_id FROM q),
+    a AS (SELECT qid, source_id, unnest(range(2)) AS i, regexp_extract_all(t, '(?i)\b(?:articles?|arts?\.?)\s*(\d{{1,3}})', 1) AS n, regexp_extract_all(t, '(?i)\b(?:articles?|arts?\.?)\s*\d{{1,3}}(\(\d{{1,2}}\)|)', 1) AS p FROM s),
+    r AS (SELECT qid, i AS seq, 'art' AS kind, n[i + 1] AS number, nullif(trim(p[i + 1], '()'), '') AS paragraph, source_id FROM a
+          UNION ALL SELECT qid, 2, 'anx', upper(regexp_extract(t, '(?i)\bannexe?s?\s*([IVXL]{{1,6}}|\d{{1,2}})\b', 1)), NULL, source_id FROM s
+          UNION ALL SELECT qid, 3, 'rct', regexp_extract(t, '(?i)\brecitals?\s*\(?(\d{{1,3}})\)?', 1), NULL, source_id FROM s)
+    SELECT qid, cast(seq AS INT) AS seq, kind, number, paragraph, source_id FROM r""")
+def reference_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return references.find_references(nations.select(F.col("n_nationkey").alias("qid"), F.expr(_QUESTION).alias("text")))
+
+
+# ------------------------------------------------------------------------------------------------ fusion and search
+
+
+@query(f"""
+    WITH {_BM25},
+    ds AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_dot_product(cast(q.embedding AS DOUBLE[]), cast(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN benchmark ON vec_id = item_id, embeddings v),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM ds),
+    al AS (SELECT qid, id, 'bm25' AS signal, 0.4 / (60 + position) AS part FROM bm WHERE position <= 40 UNION ALL SELECT qid, id, 'dense', 1.0 / (60 + position) FROM dr WHERE position <= 40)
+    SELECT qid, id, round(sum(part), 9) AS score, string_agg(signal, '+' ORDER BY signal) AS signals FROM al GROUP BY ALL""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.join(table(spark, sf_dir, "benchmark"), F.col("id") == F.col("item_id")).select(F.col("item_id").alias("qid"), "vector")
+    both = _bm25(spark, sf_dir, 40).select("qid", F.lit("bm25").alias("signal"), "id", "position").unionByName(dense.search(vectors, asked, 40).select("qid", F.lit("dense").alias("signal"), "id", "position"))
+    fused = retrieval.fuse(both, {"dense": 1.0, "bm25": 0.4})
+    return fused.select("qid", "id", "score", F.array_join(F.array_sort(F.map_keys("components")), "+").alias("signals"))
+
+
+def _search_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, lexical.Lexical, DataFrame]:
+    """Benchmark items as questions that also name an article, documents as chunks, by language."""
+    chunks = _as_chunks(table(spark, sf_dir, "documents"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    question = F.concat(F.lit("Article "), F.pmod("item_id", F.lit(50)).cast("string"), F.lit(": "), F.col("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), question.alias("text"))
+    asked = items.join(vectors.withColumnRenamed("id", "qid"), "qid", "left").withColumn("language", T.detect_language(F.col("text"))).withColumn("tokens", T.content_tokens(F.col("text"), F.col("language")))
+    own = chunks.select("id", "language", T.content_tokens(F.col("text"), F.col("language")).alias("tokens"))
+    return asked, chunks, lexical.build(own, "id", "tokens", by=("language",)), vectors
+
+
+_SEARCH = f"""
+    q0 AS (SELECT item_id AS qid, 'Article ' || (item_id % 50) || ': ' || text AS t FROM benchmark),
+    q AS (SELECT qid, t, {sql_language("t")} AS lang FROM q0),
+    ch AS (SELECT doc_id AS id, source, lang, source || ':art:' || (doc_id % 50) AS prov, text FROM documents),
+    dt AS (SELECT id, lang, {sql_content("text", "lang")} AS tokens FROM ch),
+    dl AS (SELECT id, lang, len(tokens) AS len FROM dt),
+    tf AS (SELECT id, lang, term, count(*) AS tf FROM (SELECT id, lang, unnest(tokens) AS term FROM dt) GROUP BY ALL),
+    df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY ALL),
+    st AS (SELECT lang, count(*) AS n, avg(len) AS avgdl FROM dl GROUP BY lang),
+    qt AS (SELECT qid, lang, term, count(*) AS times FROM (SELECT qid, lang, unnest({sql_content("t", "lang")}) AS term FROM q) GROUP BY ALL),
+    bs AS (SELECT qid, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score
+           FROM qt JOIN df USING (lang, term) JOIN tf USING (lang, term) JOIN dl USING (id, lang) JOIN st USING (lang) GROUP BY ALL),
+    br AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM bs),
+    ds AS (SELECT q.qid, v.vec_id AS id, round(list_dot_product(cast(e.embedding AS DOUBLE[]), cast(v.embedding AS DOUBLE[])), 6) AS score
+           FROM q JOIN embeddings e ON e.vec_id = q.qid, embeddings v JOIN ch ON ch.id = v.vec_id WHERE ch.lang = q.lang),
+    dr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM ds),
+    rr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY source, id) AS position FROM q JOIN ch ON ch.lang = q.lang AND prov = source || ':art:' || (qid % 50)),
+    rk AS (SELECT qid, 'bm25' AS signal, id, position FROM br WHERE position <= 40 UNION ALL SELECT qid, 'dense', id, position FROM dr WHERE position <= 40 UNION ALL SELECT qid, 'reference', id, position FROM rr)"""
+
+
+@query(f"""
+    WITH {_SEARCH},
+    fu AS (SELECT qid, id, round(sum(CASE signal WHEN 'reference' THEN 2.0 WHEN 'dense' THEN 1.0 ELSE 0.4 END / (60 + position)), 9) AS score, string_agg(signal, '+' ORDER BY signal) AS signals FROM rk GROUP BY ALL),
+    fi AS (SELECT fu.*, prov, row_number() OVER (PARTITION BY qid, prov ORDER BY score DESC, id) AS same FROM fu JOIN ch USING (id)),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fi WHERE same = 1)
+    SELECT qid, rank, id, score, signals, contains(signals, 'reference') AS matched_reference, prov AS provision FROM ra WHERE rank <= 8""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, chunks, index, vectors = _search_inputs(spark, sf_dir)
+    hits = retrieval.search(asked, chunks, index, vectors, Settings(), ("reference", "dense", "bm25"), same=("language",))
+    return hits.select("qid", "rank", "id", "score", F.array_join(F.array_sort(F.map_keys("components")), "+").alias("signals"), "matched_reference", F.element_at("provision_ids", 1).alias("provision"))
+
+
+_CONFIGS = ", ".join(f"('{name}', '{s}', {w})" for name, ws in CONFIGURATIONS.items() for s, w in ws.items())
+_METRICS = """
+    ra AS (SELECT cfg, qid, rank, hit FROM ra0),
+    m AS (SELECT cfg, qid, min(CASE WHEN hit THEN rank END) AS first, coalesce(sum(CASE WHEN hit AND rank <= 5 THEN 1 / log2(rank + 1.0) END), 0) AS gain, bool_or(hit) AS found FROM ra GROUP BY ALL)"""
+
+
+@query(f"""
+    WITH {_SEARCH},
+    co(cfg, signal, w) AS (VALUES {_CONFIGS}),
+    fu AS (SELECT cfg, qid, id, round(sum(w / (60 + position)), 9) AS score FROM rk JOIN co USING (signal) GROUP BY ALL),
+    fi AS (SELECT fu.*, prov, row_number() OVER (PARTITION BY cfg, qid, prov ORDER BY score DESC, id) AS same FROM fu JOIN ch USING (id)),
+    r1 AS (SELECT *, row_number() OVER (PARTITION BY cfg, qid ORDER BY score DESC, id) AS rank FROM fi WHERE same = 1),
+    ra0 AS (SELECT cfg, qid, rank, r1.prov = e.prov AS hit FROM r1 JOIN ch e ON e.id = qid WHERE rank <= 5),
+    {_METRICS}
+    SELECT c.cfg AS config, count(*) AS n, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 4) AS hit_rate, round(avg(CASE WHEN found THEN 1.0 ELSE 0 END), 4) AS recall,
+           round(avg(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END), 4) AS mrr, round(avg(coalesce(gain, 0)), 4) AS ndcg
+    FROM (SELECT DISTINCT cfg FROM co) c CROSS JOIN q LEFT JOIN m ON m.cfg = c.cfg AND m.qid = q.qid GROUP BY 1""")
+def compare_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, chunks, index, vectors = _search_inputs(spark, sf_dir)
+    hits = retrieval.compare(asked, chunks, index, vectors, Settings(), 5, same=("language",))
+    lists = hits.groupBy("config", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "provision_ids"))), lambda x: x["provision_ids"]).alias("retrieved"))
+    expected = asked.select("qid").join(chunks.select(F.col("id").alias("qid"), F.col("provision_ids").alias("expected")), "qid", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
+    names = spark.createDataFrame([(c,) for c in CONFIGURATIONS], "config string")
+    full = expected.crossJoin(F.broadcast(names)).join(lists, ["config", "qid"], "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<array<string>>")))
+    scores = evaluation.retrieval_scores(full.withColumns({"ord": F.col("qid"), "id": F.col("qid")}), 5, by=("config",))
+    return scores.drop("misses")
+
+
+@query(f"""
+    WITH {_DENSE},
+    r0 AS (SELECT qid, id, label, q_label, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM de WHERE id <> qid),
+    r AS (SELECT *, label = q_label AS hit FROM r0 WHERE rank <= 9),
+    m AS (SELECT qid, min(CASE WHEN hit THEN rank END) AS first, coalesce(sum(CASE WHEN hit AND rank <= 5 THEN 1 / log2(rank + 1.0) END), 0) AS gain, bool_or(hit) AS found FROM r GROUP BY qid)
+    SELECT count(*) AS n, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 4) AS hit_rate, round(avg(CASE WHEN found THEN 1.0 ELSE 0 END), 4) AS recall,
+           round(avg(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END), 4) AS mrr, round(avg(gain), 4) AS ndcg,
+           coalesce(string_agg(CASE WHEN first IS NULL OR first > 5 THEN cast(qid AS VARCHAR) END, ',' ORDER BY qid), '') AS misses FROM m""")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every hundredth vector, hits being those of its label."""
+    vectors, asked = _vectors(spark, sf_dir)
+    hits = dense.search(vectors, asked, 10).where("id <> qid").join(vectors.select("id", "label"), "id")
+    order = Window.partitionBy("qid").orderBy("position")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where("rank <= 9")
+    lists = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.array(F.col("label").cast("string")).alias("p")))), lambda x: x["p"]).alias("retrieved"))
+    full = asked.join(lists, "qid").select(F.col("qid").alias("id"), F.col("qid").alias("ord"), F.array(F.col("label").cast("string")).alias("expected"), "retrieved")
+    return evaluation.retrieval_scores(full, 5).withColumn("misses", F.array_join(F.transform("misses", lambda x: x.cast("string")), ","))
+
+
+# ------------------------------------------------------------------------------------------------ chunks and sections
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, {sql_tokens("text")} AS w FROM documents),
+    n AS (SELECT *, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 64 THEN 1 ELSE cast(ceil((len(w) - 64) / 48) AS INT) + 1 END AS c FROM t),
+    o AS (SELECT doc_id, w, unnest(range(c)) AS ord FROM n)
+    SELECT doc_id, cast(ord AS INT) AS ord, cast(ord * 48 AS INT) AS start, cast(len(w[ord * 48 + 1 : ord * 48 + 64]) AS INT) AS n_tokens, w[ord * 48 + 1] AS first_token FROM o""")
+def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    each = chunking.windows(docs, "tokens", 64, 16)
+    return each.select("doc_id", F.col("order").alias("ord"), "start", F.size("window").alias("n_tokens"), F.element_at("window", 1).alias("first_token"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) - 1 AS i FROM documents),
+    s AS (SELECT doc_id, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(line) AS n FROM l),
+    w AS (SELECT doc_id, unnest(range(cast(ceil(greatest(length(text), 1) / 500) AS INT))) AS k FROM documents)
+    SELECT w.doc_id, cast(k AS INT) AS win, count(*) AS spans, cast(min(i) AS INT) AS first_line, cast(max(i) AS INT) AS last_line
+    FROM w JOIN s ON w.doc_id = s.doc_id AND s.s < k * 500 + 600 AND k * 500 < s.s + s.n GROUP BY ALL""")
+def window_span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    spans = _lines(docs).select("doc_id", "i", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("s"), F.length("line").alias("n")).withColumn("e", F.col("s") + F.col("n")).drop("n")
+    count = F.ceil(F.greatest(F.length("text"), F.lit(1)) / 500).cast("int")
+    windows = docs.select("doc_id", F.explode(F.sequence(F.lit(0), count - 1)).alias("win")).withColumns({"a": F.col("win") * 500, "b": F.col("win") * 500 + 600})
+    met = chunking.overlap_join(windows, spans, "doc_id")
+    return met.groupBy("doc_id", "win").agg(F.count("*").alias("spans"), F.min("i").alias("first_line"), F.max("i").alias("last_line"))
+
+
+@query(r"""
+    WITH RECURSIVE l0 AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS i0 FROM documents),
+    l AS (SELECT doc_id, len(regexp_extract_all(line, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i0) AS i FROM l0),
+    r AS (SELECT doc_id, i, n AS size, n > 100 AS alone, 0 AS part FROM l WHERE i = 1
+          UNION ALL SELECT l.doc_id, l.i, CASE WHEN NOT r.alone AND l.n <= 100 AND r.size + l.n <= 100 THEN r.size + l.n ELSE l.n END, l.n > 100,
+                           CASE WHEN NOT r.alone AND l.n <= 100 AND r.size + l.n <= 100 THEN r.part ELSE r.part + 1 END
+          FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+    p AS (SELECT r.doc_id, part, sum(n) AS n FROM r JOIN l USING (doc_id, i) GROUP BY ALL),
+    x AS (SELECT *, max(part) OVER (PARTITION BY doc_id) AS last, lag(n) OVER (PARTITION BY doc_id ORDER BY part) AS before FROM p),
+    y AS (SELECT doc_id, n, CASE WHEN part = last AND part > 0 AND n < 20 AND before + n <= 120 THEN part - 1 ELSE part END AS part FROM x)
+    SELECT doc_id, cast(part AS INT) AS part, cast(sum(n) AS INT) AS n_tokens FROM y GROUP BY ALL""")
+def structural_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as paragraphs, packed to 100 tokens; a line over the budget stays alone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("p"))
+    docs = docs.withColumn("n", F.transform("p", T.token_count))
+    bodies = chunking.packed(F.col("p"), F.col("n"), F.lit(100), 20)
+    return docs.select("doc_id", F.posexplode(bodies).alias("part", "b")).select("doc_id", "part", F.col("b.n").alias("n_tokens"))
+
+
+#: Documents' lines, every fifth made a numbered heading whose numbers come again.
+_HEADED = r"""
+    hl AS (SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN ((i // 5) % 3 + 1) || '. Heading ' || i ELSE line END AS line0
+           FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS i FROM documents)),
+    cl AS (SELECT doc_id, i, trim(regexp_replace(line0, '[\s\x{00a0}]+', ' ', 'g'), ' ') AS line FROM hl),
+    kl AS (SELECT * FROM cl WHERE line <> '' AND NOT regexp_matches(line, '^\s*\d{1,4}\s*$') AND NOT regexp_matches(line, '\.{4,}')),
+    ml AS (SELECT *, CASE WHEN regexp_matches(line, '^(?:(\d+(?:\.\d+)*)\.|(\d+(?:\.\d+)+))\s+(\S.{0,110})$')
+                           AND NOT (regexp_matches(line, '[.;,]$') AND len(string_split(regexp_extract(line, '^[\d.]+\s+(.*)$', 1), ' ')) > 12) THEN regexp_extract(line, '^(\d+(?:\.\d+)*)', 1) END AS raw FROM kl),
+    il AS (SELECT *, count(raw) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM ml)"""
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 5 == 0, F.concat((F.floor((i + 1) / 5) % 3 + 1).cast("string"), F.lit(". Heading "), (i + 1).cast("string"))).otherwise(x))
+    return sections.lines(table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")), ["doc_id"])
+
+
+@query(f"WITH {_HEADED} SELECT doc_id, section, count(*) AS n_lines, max(raw) AS raw_number, cast(sum(length(line)) AS BIGINT) AS n_chars FROM il GROUP BY ALL")
+def section_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.islands(_headed(spark, sf_dir), ["doc_id"])
+    return found.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.max("raw_number").alias("raw_number"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(rf"""
+    WITH {_HEADED},
+    g AS (SELECT doc_id, section, coalesce(max(raw), '1') AS raw, coalesce(max(CASE WHEN raw IS NOT NULL THEN regexp_extract(line, '^[\d.]+\s+(.*)$', 1) END), 'Untitled') AS heading, count(*) FILTER (raw IS NULL) AS n_lines FROM il GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, raw ORDER BY section) AS k FROM g)
+    SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INT) AS ord, CASE WHEN k = 1 THEN raw ELSE raw || '-' || k END AS number, heading, cast(n_lines AS INT) AS n_lines FROM k""")
+def duplicate_section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.sections(_headed(spark, sf_dir), ["doc_id"], F.lit("Untitled"))
+    return found.select("doc_id", "ord", "number", "heading", F.size("lines").alias("n_lines"))
+
+
+@query(r"""
+    SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1,
+           len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs FROM pages""")
+def markup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda tag: F.regexp_extract("html", f"(?s)<{tag}>(.*?)</{tag}>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", part("title").alias("title"), part("h1").alias("h1"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).alias("n_paragraphs"))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, E'\n')), '[\s\x{00a0}]+', ' ', 'g'), ' ') AS line FROM documents)
+    SELECT 'act:art:' || doc_id AS provision_id, 'Article ' || doc_id || ' — Text' AS label, count(*) FILTER (line <> '') AS n_paragraphs, cast(coalesce(sum(length(line)), 0) AS BIGINT) AS n_chars FROM l GROUP BY doc_id""")
+def act_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as an act of one article, written as markup and parsed back."""
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p class='oj-normal'>"), safe(x), F.lit("</p>"))), "")
+    page = F.concat(
+        F.lit("<html xmlns='http://www.w3.org/1999/xhtml'><body><div id='art_"), F.col("doc_id").cast("string"), F.lit("'><p class='oj-ti-art'>Article</p><div class='eli-title'><p class='oj-sti-art'>Text</p></div>"), body,
+        F.lit("</div></body></html>"),
+    )
+    raw = table(spark, sf_dir, "documents").select(F.encode(page, "UTF-8").alias("content"), F.lit("act").alias("source_id"), F.lit("en").alias("language"), F.lit("Act").alias("short_title"))
+    parsed = markup.parse_acts(raw)
+    chars = F.aggregate("paragraphs", F.lit(0).cast("long"), lambda n, p: n + F.length(p["text"]))
+    return parsed.select("provision_id", F.element_at("breadcrumb", -1).alias("label"), F.size("paragraphs").cast("long").alias("n_paragraphs"), chars.alias("n_chars"))
+
+
+@query(None)
+def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as provisions of their source, lines as paragraphs, cut by structure."""
+    return chunking.structural_chunks(_provisions(spark, sf_dir)).drop("text")
+
+
+@query(None)
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same provisions as documents of one provision each, cut into sliding windows."""
+    own = _provisions(spark, sf_dir).withColumn("document_id", F.col("provision_id"))
+    return chunking.fixed_chunks(own).drop("text")
+
+
+def _provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(None).cast("string").alias("label"), x.alias("text")))
+    return table(spark, sf_dir, "documents").select(
+        F.concat_ws(":", "source", F.lit("art"), F.col("doc_id").cast("string")).alias("provision_id"), F.concat_ws(":", "source", "lang").alias("document_id"), F.col("source").alias("source_id"), F.col("lang").alias("language"), F.lit("art").alias("kind"),
+        F.col("doc_id").cast("string").alias("number"), F.lit(None).cast("string").alias("title"), F.array("source", F.concat(F.lit("Article "), F.col("doc_id").cast("string"))).alias("breadcrumb"), parts.alias("paragraphs"), F.col("doc_id").cast("int").alias("ord"),
+    )
+
+
+# ------------------------------------------------------------------------------------------------ answers and agents
+
+_PII = " call +33 6 12 34 56 78 or a.b@c-d.org, pay FR76 3000 6000 0112 3456 7890 189 or 4111 1111 1111 1111, id 1 85 05 78 006 084 36, tel +44 20 7946 0958"
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, text || '{_PII}' AS t FROM documents),
+    a AS (SELECT doc_id, t, regexp_replace(t, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]*[\p{{L}}\p{{N}}_]', '[EMAIL]', 'g') AS x FROM t),
+    b AS (SELECT doc_id, regexp_replace(x, '\b[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?\b', '[IBAN]', 'g') AS x FROM a),
+    c AS (SELECT doc_id, regexp_replace(x, '\b(?:\d{{4}}[ -]){{3}}\d{{4}}\b', '[CARD]', 'g') AS x FROM b),
+    d AS (SELECT doc_id, regexp_replace(x, '\b[12] ?\d{{2}} ?(?:0[1-9]|1[0-2]) ?\d{{2}} ?\d{{3}} ?\d{{3}} ?\d{{2}}\b', '[NIR]', 'g') AS x FROM c),
+    e AS (SELECT doc_id, regexp_replace(x, '\b(?:\+33|0)[ .-]?[1-9](?:[ .-]?\d{{2}}){{4}}\b', '[PHONE]', 'g') AS x FROM d),
+    f AS (SELECT doc_id, regexp_replace(x, '\+\d{{1,3}}[ .-]?(?:\d[ .-]?){{7,12}}\d', '[PHONE]', 'g') AS x FROM e)
+    SELECT doc_id, length(x) AS n_chars, sha256(x) AS sha, true AS has_pii FROM f""")
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(_PII)).alias("t")).withColumn("x", T.redact(F.col("t")))
+    return own.select("doc_id", F.length("x").alias("n_chars"), F.sha2("x", 256).alias("sha"), T.has_pii(F.col("t")).alias("has_pii"))
+
+
+@query("""
+    WITH h AS (SELECT source, lang, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+    b AS (SELECT source, rank, '[' || source || ':art:' || (doc_id % 50) || '] ' || source || chr(10) || text AS block FROM h WHERE rank <= 5)
+    SELECT source AS qid, sha256(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS sha, length(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS n_chars FROM b GROUP BY 1""")
+def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("source_id").orderBy(F.desc("n_chars"), "id")
+    hits = _as_chunks(table(spark, sf_dir, "documents")).withColumn("rank", F.row_number().over(order)).where("rank <= 5").withColumns({"qid": F.col("source_id"), "breadcrumb": F.lit("")})
+    return answers.context(hits).select("qid", F.sha2("context", 256).alias("sha"), F.length("context").alias("n_chars"))
+
+
+@query("""
+    WITH c AS (SELECT conv_id, list_distinct(list('x' || (turn % 4) || role)) AS cited FROM conversations GROUP BY 1),
+    v AS (SELECT conv_id, list_sort(list_intersect(cited, ['x0user', 'x1assistant', 'x3user'])) AS valid, list_sort(list_filter(cited, lambda x: NOT list_contains(['x0user', 'x1assistant', 'x3user'], x))) AS invalid, len(cited) AS n FROM c)
+    SELECT conv_id, array_to_string(valid, ',') AS valid, array_to_string(invalid, ',') AS invalid, round(len(valid) / n, 6) AS precision FROM v""")
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    cited = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(F.lit(" [x"), (x["turn"] % 4).cast("string"), x["role"], F.lit("] ")))
+    lists = said.groupBy("conv_id").agg(cited.alias("citations")).withColumn("allowed", F.array(F.lit("x0user"), F.lit("x1assistant"), F.lit("x3user")))
+    found = answers.check_citations(lists)
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return found.select("conv_id", joined("valid").alias("valid"), joined("invalid").alias("invalid"), F.round("precision", 6).alias("precision"))
+
+
+@query("""
+    WITH s AS (SELECT o_orderkey, list(DISTINCT l_suppkey % 7) FILTER (l_suppkey IS NOT NULL AND l_linenumber > 1) AS c, list(DISTINCT l_partkey % 7) FILTER (l_partkey IS NOT NULL AND l_linenumber <> 2) AS e FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+    z AS (SELECT o_orderkey, coalesce(c, []) AS c, coalesce(e, []) AS e FROM s)
+    SELECT o_orderkey, round(CASE WHEN len(e) = 0 THEN CASE WHEN len(c) = 0 THEN 1.0 ELSE 0 END WHEN len(c) = 0 THEN 0 ELSE len(list_intersect(c, e)) / len(c) END, 6) AS precision,
+           round(CASE WHEN len(e) = 0 THEN 1.0 WHEN len(c) = 0 THEN 0 ELSE len(list_intersect(c, e)) / len(e) END, 6) AS recall FROM z""")
+def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.collect_set(F.when(F.col("l_linenumber") > 1, F.col("l_suppkey") % 7)).alias("c"), F.collect_set(F.when(F.col("l_linenumber") != 2, F.col("l_partkey") % 7)).alias("e")
+    )
+    full = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    none = F.array().cast("array<bigint>")
+    precision, recall = evaluation.citation_scores(F.coalesce("c", none), F.coalesce("e", none))
+    return full.select("o_orderkey", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"))
+
+
+_CASES = """
+    SELECT cast(event_id AS STRING) AS id, event_type AS category, CASE WHEN event_type <> 'error' THEN cast(event_id % 3 AS INT) END AS faithfulness,
+           CASE WHEN event_id % 5 < 3 THEN cast(event_id % 5 AS INT) END AS correctness, (event_id % 11) / 10.0D AS citation_precision, (event_id % 7) / 6.0D AS citation_recall,
+           event_id % 4 <> 0 AS abstention_correct, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 = 0 END AS route_correct, cast(event_id % 9 AS INT) AS steps, value / 1000 AS cost_usd, value AS latency_seconds
+    FROM events"""
+_CASES_SQL = _CASES.replace("STRING", "VARCHAR").replace("10.0D", "10.0").replace("6.0D", "6.0")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_CASES.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+@query(f"""
+    WITH c AS ({_CASES_SQL})
+    SELECT count(*) AS n, round(avg(CASE WHEN faithfulness IS NOT NULL THEN faithfulness / 2 END), 4) AS faithfulness, round(avg(CASE WHEN faithfulness IS NOT NULL THEN coalesce(correctness, 0) / 2 END), 4) AS correctness,
+           round(avg(citation_precision), 4) AS citation_precision, round(avg(citation_recall), 4) AS citation_recall, round(avg(cast(abstention_correct AS INT)), 4) AS abstention_accuracy,
+           round(avg(cast(route_correct AS INT)), 4) AS route_accuracy, round(sum(cost_usd), 4) AS total_cost_usd, round(avg(cost_usd), 6) AS cost_per_case_usd, round(avg(steps), 4) AS mean_steps,
+           round(list_sort(list(latency_seconds))[count(*) // 2 + 1], 4) AS median_latency_seconds FROM c""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.run_summary(_cases(spark, sf_dir))
+
+
+@query(f"""
+    WITH c AS ({_CASES_SQL})
+    SELECT category, count(*) AS n, round(avg(correctness / 2), 4) AS correctness, round(avg(citation_precision), 4) AS citation_precision, round(avg(cast(abstention_correct AS INT)), 4) AS abstention_accuracy FROM c GROUP BY 1""")
+def category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.by_category(_cases(spark, sf_dir))
+
+
+@query(f"WITH c AS ({_CASES_SQL}) SELECT id, category, correctness FROM c WHERE coalesce(correctness, 2) < 2")
+def cases_to_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.to_review(_cases(spark, sf_dir)).select("id", "category", "correctness")
+
+
+@query("""
+    WITH p AS (SELECT 'faithfulness' AS metric, quality AS a, toxic AS b FROM labels UNION ALL SELECT 'correctness', quality, 1 - toxic FROM labels UNION ALL SELECT 'constant', 2, 2 FROM labels),
+    s AS (SELECT metric, count(*) AS pairs, avg(cast(a = b AS INT)) AS exact, avg(cast(abs(a - b) <= 1 AS INT)) AS within_one,
+          avg(cast(a = 0 AS INT)) * avg(cast(b = 0 AS INT)) + avg(cast(a = 1 AS INT)) * avg(cast(b = 1 AS INT)) + avg(cast(a = 2 AS INT)) * avg(cast(b = 2 AS INT)) AS e FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
+    k AS (SELECT *, round(CASE WHEN e >= 1 THEN CASE WHEN exact = 1 THEN 1.0 ELSE 0 END ELSE (exact - e) / (1 - e) END, 4) AS kappa FROM s)
+    SELECT metric, pairs, round(exact, 4) AS exact, round(within_one, 4) AS within_one, kappa, kappa >= 0.4 AS usable FROM k""")
+def judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "labels")
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), a.cast("int").alias("judge"), b.cast("int").alias("human")) for m, a, b in (("faithfulness", F.col("quality"), F.col("toxic")), ("correctness", F.col("quality"), 1 - F.col("toxic")), ("constant", F.lit(2), F.lit(2)))])
+    return evaluation.agreement(own.select(F.explode(rows).alias("r")).select("r.*"))
+
+
+@query("""
+    SELECT doc_id, name, value FROM (SELECT doc_id, cast(quality AS DOUBLE) AS quality, cast(toxic AS DOUBLE) AS toxic, cast(CASE WHEN doc_id % 2 = 0 THEN quality = toxic END AS DOUBLE) AS agree FROM labels)
+    UNPIVOT (value FOR name IN (quality, toxic, agree))""")
+def score_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "labels").withColumn("agree", F.when(F.col("doc_id") % 2 == 0, F.col("quality") == F.col("toxic")))
+    return evaluation.unpivoted(own, "doc_id", ["quality", "toxic"], ["agree"])
+
+
+@query("""
+    WITH u AS (SELECT CASE l_returnflag WHEN 'A' THEN 'large' WHEN 'N' THEN 'medium' ELSE 'unlisted' END AS model, l_partkey AS i, l_suppkey AS o, l_orderkey AS r, l_linenumber AS w FROM lineitem),
+    p(model, pin, pout) AS (VALUES ('large', 5.0, 25.0), ('large-previous', 5.0, 25.0), ('medium', 2.0, 10.0), ('small', 1.0, 5.0))
+    SELECT u.model, count(*) AS calls, cast(sum(i) AS BIGINT) AS input_tokens, round(sum(coalesce((i * pin + r * pin * 0.1 + w * pin * 1.25 + o * pout) / 1000000, 0)), 4) AS cost_usd FROM u LEFT JOIN p USING (model) GROUP BY 1""")
+def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.when(F.col("l_returnflag") == "A", "large").when(F.col("l_returnflag") == "N", "medium").otherwise("unlisted")
+    usage = table(spark, sf_dir, "lineitem").select(model.alias("model"), F.col("l_partkey").alias("input_tokens"), F.col("l_suppkey").alias("output_tokens"), F.col("l_orderkey").alias("cache_read_tokens"), F.col("l_linenumber").cast("long").alias("cache_write_tokens"))
+    priced = evaluation.cost_usd(usage, spark.createDataFrame(list(evaluation.PRICES), "model string, input_per_mtok double, output_per_mtok double"))
+    return priced.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+
+
+@query("""
+    WITH s AS (SELECT user_id, row_number() OVER w AS step, sum(event_id % 997) OVER w AS i, sum(event_id % 89) OVER w AS o, sum(round(value)) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+    h AS (SELECT user_id, step, CASE WHEN step >= 60 THEN 'steps' WHEN c >= 500 THEN 'cost' WHEN i + o >= 20000 THEN 'tokens' END AS halted_by FROM s)
+    SELECT user_id, cast(min(step) AS INT) AS halted_at, arg_min(halted_by, step) AS halted_by FROM h WHERE halted_by IS NOT NULL GROUP BY 1""")
+def agent_budget_halt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 997).alias("input_tokens"), (F.col("event_id") % 89).alias("output_tokens"), F.round("value").alias("cost_usd"))
+    return answers.halted(steps, 60, 500.0, 20_000, "user_id", "event_id")
+
+
+@query("""
+    WITH c AS (SELECT event_id, user_id, event_type AS name, event_type || ':' || substr(sha256('{"k":"' || (event_id % 3) || '","v":"' || cast(floor(value) AS BIGINT) % 4 || '"}'), 1, 12) AS fingerprint FROM events)
+    SELECT event_id, fingerprint, min(event_id) OVER (PARTITION BY user_id, fingerprint) < event_id AND name <> 'submit_answer' AS repeated FROM c""")
+def repeat_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arguments = F.create_map(F.lit("v"), (F.floor("value") % 4).cast("string"), F.lit("k"), (F.col("event_id") % 3).cast("string"))
+    calls = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("name"), answers.fingerprint(F.col("event_type"), arguments).alias("fingerprint"))
+    return answers.repeats(calls, "user_id", "event_id").select("event_id", "fingerprint", "repeated")
+
+
+@query("""
+    SELECT conv_id, count(*) AS turns, sha256(arg_max(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END)) AS last_answer FROM conversations GROUP BY 1""")
+def thread_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.thread_state(table(spark, sf_dir, "conversations"), "conv_id").withColumn("last_answer", F.sha2("last_answer", 256))
+
+
+@query("""
+    SELECT conv_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS sha, count(*) AS n FROM conversations GROUP BY 1""")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = answers.transcript(table(spark, sf_dir, "conversations"), "conv_id")
+    lines = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return lists.select("conv_id", F.sha2(lines, 256).alias("sha"), F.size("messages").cast("long").alias("n"))
+
+
+@query("""
+    WITH s AS (SELECT ['route', 'rag_answer', 'agent', 'tools', 'verify', 'abstain'][event_id % 6 + 1] AS node, ['lookup', 'complex', 'out_of_scope'][event_id % 7 % 3 + 1] AS route, CASE WHEN event_id % 11 = 0 THEN 'steps' END AS halted,
+                      event_id % 5 AS calls, event_id % 4 = 0 AS submitted, event_id % 2 AS invalid, event_id % 8 % 2 AS corrections FROM events),
+    n AS (SELECT node, CASE node WHEN 'route' THEN CASE route WHEN 'lookup' THEN 'rag_answer' WHEN 'out_of_scope' THEN 'abstain' ELSE 'agent' END WHEN 'rag_answer' THEN 'verify'
+                 WHEN 'agent' THEN CASE WHEN halted IS NOT NULL THEN 'finalize' WHEN calls > 0 THEN 'tools' ELSE 'verify' END WHEN 'tools' THEN CASE WHEN submitted THEN 'verify' ELSE 'agent' END
+                 WHEN 'verify' THEN CASE WHEN invalid > 0 AND corrections < 1 AND halted IS NULL AND route = 'complex' THEN 'agent' ELSE 'finalize' END WHEN 'abstain' THEN 'finalize' END AS next FROM s)
+    SELECT node, next, count(*) AS n FROM n GROUP BY ALL""")
+def route_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(
+        pick(["route", "rag_answer", "agent", "tools", "verify", "abstain"], e % 6).alias("node"), pick(["lookup", "complex", "out_of_scope"], e % 7 % 3).alias("route"), F.when(e % 11 == 0, "steps").alias("halted"),
+        (e % 5).alias("calls"), (e % 4 == 0).alias("submitted"), (e % 2).alias("invalid"), (e % 8 % 2).alias("corrections"),
+    )
+    names = ("node", "route", "halted", "calls", "submitted", "invalid", "corrections")
+    return rows.groupBy("node", answers.next_node(*map(F.col, names)).alias("next")).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, source || ':art:' || doc_id AS provision_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS i FROM documents),
+    m AS (SELECT r_name AS term, provision_id, doc_id, i, line FROM l, (SELECT 'tion ' AS r_name UNION ALL SELECT 'THE ' UNION ALL SELECT 'ment de') WHERE contains(lower(line), lower(r_name))),
+    k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, provision_id, i) AS seq FROM m)
+    SELECT term, cast(seq AS INT) AS seq, provision_id, sha256(line) AS sha FROM k WHERE seq <= 6""")
+def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.createDataFrame([("tion ",), ("THE ",), ("ment de",)], "term string")
+    return answers.definitions(_provisions(spark, sf_dir), terms).select("term", "seq", "provision_id", F.sha2("text", 256).alias("sha"))
+
+
+@query(None)
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to all benchmark items by a stand-in model that cites the first passage and one that isn't there."""
+    asked, chunks, index, vectors = _search_inputs(spark, sf_dir)
+    hits = retrieval.search(asked, chunks, index, vectors, Settings(), same=("language",)).drop("source_id", "provision_ids").join(chunks, "id").withColumn("breadcrumb", F.lit(""))
+
+    def complete(question: Column, context: Column) -> Column:
+        first = F.regexp_extract(context, r"^\[([^\],]*)", 1)
+        return F.to_json(F.struct(F.substring(context, 1, 80).alias("answer"), F.array(first, F.lit("[none:art:1]")).alias("citations"), (F.length(question) < 3).alias("abstained")))
+
+    found = answers.answered(asked.select("qid", "text", "language"), hits, complete)
+    return found.select("qid", "language", F.array_join("citations", ",").alias("citations"), F.array_join("invalid", ",").alias("invalid"), "abstained")
+
+
+@query(None)
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as observations, redacted."""
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("trace_id"), F.lit(None).cast("string").alias("parent"), F.col("role").alias("name"), F.lit("span").alias("type"), F.col("text").alias("input"), F.lit(None).cast("string").alias("output"),
+        F.create_map(F.lit("mail"), F.lit("a.b@c.org"), F.lit("turn"), F.col("turn").cast("string")).alias("metadata"), F.lit(0.0).alias("cost_usd"),
+    )
+    out = audit.observations(rows)
+    return out.select("trace_id", "name", F.col("metadata")["mail"].alias("mail"), F.col("metadata")["turn"].alias("turn"), F.length("input").alias("n_chars"))
