@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import tokens
 
@@ -23,8 +29,23 @@ def checked(v: Column, dimensions: int) -> Column:
     return F.when(F.size(v) == dimensions, v).otherwise(F.raise_error(F.concat(F.lit(f"expected {dimensions} dimensions, got "), F.size(v).cast("string"))).cast("array<float>"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _hashed(words: pd.Series, dimensions: pd.Series) -> pd.Series:
+    out = []
+    for own, n in zip(words, dimensions, strict=True):
+        v = np.zeros(int(n))
+        for w in own if own is not None else ():
+            v[_bucket(w) % int(n)] += 1
+        length = np.sqrt(v @ v)
+        out.append(v / length if length else v)
+    return pd.Series(out)
+
+
+@lru_cache(maxsize=500_000)
+def _bucket(word: str) -> int:
+    return hashlib.sha256(word.encode()).digest()[0]
+
+
 def hashing_embedding(text: Column, dimensions: int = 64) -> Column:
     """Deterministic offline embedding: words counted in buckets of their SHA-256's first byte, at unit length."""
-    buckets = F.transform(tokens(text), lambda w: F.pmod(F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int"), F.lit(dimensions)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return normalise(counts)
+    return _hashed(tokens(text), F.lit(dimensions))

@@ -21,7 +21,7 @@ def scan_chunks(chunks: DataFrame, strategy: str | None = None, language: str |
     return where_given(chunks, strategy=strategy, language=language).orderBy("document_id", "ord")
 
 
-def provision(provisions: DataFrame, provision_id: str, language: str) -> DataFrame:
+def provision(provisions: DataFrame, provision_id: str, language: str | None = None) -> DataFrame:
     return where_given(provisions, provision_id=provision_id, language=language).limit(1)
 
 

@@ -93,11 +93,11 @@ def chunk_scan_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.scan_chunks(_as_chunks(table(spark, sf_dir, "documents")), "structural", "en").select("id", "document_id", "language", "n_chars")
 
 
-@query("SELECT 'corpus:art:' || doc_id AS provision_id, lang AS language, n_chars FROM documents WHERE doc_id = 0 AND lang = 'en'")
+@query("SELECT 'corpus:art:' || doc_id AS provision_id, lang AS language, n_chars FROM documents WHERE doc_id = 0")
 def provision_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(T.provision_id(F.lit("corpus"), F.lit("art"), F.col("doc_id").cast("string")).alias("provision_id"), F.col("lang").alias("language"), "n_chars")
-    return store.provision(rows, "corpus:art:0", "en")
+    return store.provision(rows, "corpus:art:0", None)
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) AS token_count FROM documents")
@@ -325,7 +325,7 @@ _SEARCH = f"""
     ds AS (SELECT q.qid, v.vec_id AS id, round(list_dot_product(cast(e.embedding AS DOUBLE[]), cast(v.embedding AS DOUBLE[])), 6) AS score
            FROM q JOIN embeddings e ON e.vec_id = q.qid, embeddings v JOIN ch ON ch.id = v.vec_id WHERE ch.lang = q.lang),
     dr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM ds),
-    rr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY source, id) AS position FROM q JOIN ch ON ch.lang = q.lang AND prov = source || ':art:' || (qid % 50)),
+    rr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY source, id) AS position FROM q JOIN ch ON ch.lang = q.lang AND prov = source || ':art:' || (qid % 50) WHERE NOT regexp_matches(lower(t), 'ai act|ai-act|aia|2024/1689|r[eè]glement ia|gdpr|rgpd|2016/679')),
     rk AS (SELECT qid, 'bm25' AS signal, id, position FROM br WHERE position <= 40 UNION ALL SELECT qid, 'dense', id, position FROM dr WHERE position <= 40 UNION ALL SELECT qid, 'reference', id, position FROM rr)"""
 
 
