@@ -4,13 +4,17 @@ Sorting all suffixes of a corpus to depth 100 would move every byte many times,
 content. Every 100-byte window has an anchor, its leftmost 40-gram of least hash; equal windows have equal anchors at equal
 places. Neighbouring windows with one anchor form a stretch. Three passes:
 
-1. anchor hashes that occur twice or more are found by ranges of the hash and kept as sorted arrays in the shared folder;
+1. anchor hashes that occur twice or more are found by ranges of the hash and kept as sorted arrays in the shared folder, with a
+   mark on those whose stretches differ;
 2. stretches of those anchors (workers memory-map the arrays) are folded within a task: of identical stretches only the first is
-   sent on, with its text, the others are whole repeats already;
+   sent on, with its text if the anchor is marked; the others are whole repeats already;
 3. stretches meet by anchor. Later copies of a stretch are repeats; the texts of different stretches are refined: q-grams of 8
    bytes give the initial buckets, and a bucket is refined by sorting on the bucket pointers of a later offset (8, 16, 32, then
    36 on top of 64), with pointers updated in place and reused by the next step, down to classes of equal 100-byte strings.
 
+Repeated spans are stored by ranges of a document hash; the last scan of the texts looks its own rows' spans up there, so no
+text is shuffled. Identical stretches are told by two hashes of 64 bits, the anchor's and that of all their bytes.
+
 An anchor with more than HOT stretches (a short common phrase in many contexts) isn't gathered: its windows are dealt by
 a 128-bit hash of each whole window, and the first of each is found by aggregation.
 
@@ -36,9 +40,10 @@ LENGTH = 100
 GRAM = 40
 _W = LENGTH - GRAM + 1
 #: Bytes scanned at a time: a position fits 24 bits of a key.
-PART = 3_000_000
+PART = 1_500_000
 HOT = 20_000
-FLUSH = 4_000_000  # anchors, or bytes of kept stretches divided by 16, that a task holds
+FLUSH = 2_000_000  # anchors, or kept stretches, that a task holds
+MEET = 3_000_000  # bytes of stretches compared at a time
 
 
 class Stretches:
@@ -81,11 +86,10 @@ class Stretches:
         self.row = rows[part]
         self.start = begin - offsets[part] + bases[part]
 
-    def content(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the chosen stretches' bytes, anchor place and size."""
-        a, b = self.first[which], self.first[which] + self.count[which] + LENGTH - 1
-        tag = (self.place[which] * 128 + self.count[which]).astype(U64)
-        return mixed(span_hash(self.prefix, a, b) + tag), mixed(span_hash(prefix_hash(self.data, 6), a, b) ^ tag)
+    def content(self) -> np.ndarray:
+        """A hash of each stretch's bytes, anchor place and size."""
+        tag = (self.place * 128 + self.count).astype(U64)
+        return mixed(span_hash(self.prefix, self.first, self.first + self.count + LENGTH - 1) + tag)
 
 
 def _parts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -105,78 +109,100 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return (((h >> U64(32)) * U64(ranges)) >> U64(32)).astype(np.int64)
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Whether each place of sorted keys differs from the one before."""
+    head = np.ones(len(keys[0]), bool)
+    head[1:] = keys[0][1:] != keys[0][:-1]
+    for k in keys[1:]:
+        head[1:] |= k[1:] != k[:-1]
+    return head
+
+
 def _count_anchors(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h = np.sort(np.concatenate(held)) if held else np.zeros(0, U64)
-            held.clear()
-            if not len(h):
+            if not sum(len(x[0]) for x in held):
                 return
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            at = np.flatnonzero(new)
-            one, many = h[at], np.diff(np.append(at, len(h))) > 1
-            cut = np.searchsorted(_range_of(one, ranges), np.arange(ranges + 1))
+            h, v = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            held.clear()
+            order = np.lexsort((v, h))
+            h, v = h[order], v[order]
+            at = np.flatnonzero(_heads(h, v))
+            many = np.diff(np.append(at, len(h))) > 1
+            h, v = h[at], v[at]
+            cut = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
             keep = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([one[cut[r] : cut[r + 1]].tobytes() for r in keep], pa.binary()), pa.array([many[cut[r] : cut[r + 1]].tobytes() for r in keep], pa.binary())], ["r", "h", "many"])
+            blobs = lambda x: pa.array([x[cut[r] : cut[r + 1]].tobytes() for r in keep], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), blobs(h), blobs(v), blobs(many)], ["r", "h", "v", "many"])
 
         for batch in in_slices(batches, "text", PART):
             for part in _parts(batch, "text"):
-                held.append(Stretches(*part).anchor)
-            if sum(map(len, held)) > FLUSH:
+                found = Stretches(*part)
+                held.append((found.anchor, found.content()))
+            if sum(len(x[0]) for x in held) > FLUSH:
                 yield from flush()
         yield from flush()
 
     return run
 
 
+def _store(folder: str, r: int, **arrays: np.ndarray) -> None:
+    """Each array under its final name at once: a retried or doubled task writes the same file again."""
+    for name, x in arrays.items():
+        own = f"{folder}/.{r}-{name}-{os.getpid()}-{os.urandom(4).hex()}"
+        x.tofile(own)
+        os.replace(own, f"{folder}/{r:06d}.{name}")
+
+
 def _keep_repeated(folder: str):
-    """Writes the range's repeated hashes; a retried task writes the same file again under its final name at once."""
+    """Stores the range's repeated anchors, and whether their stretches differ."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         r = key[0].as_py()
-        h = np.concatenate([np.frombuffer(x, U64) for x in table.column("h").to_pylist()])
-        many = np.concatenate([np.frombuffer(x, bool) for x in table.column("many").to_pylist()])
-        order = np.argsort(h, kind="stable")
-        h, many = h[order], many[order]
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        repeated = h[at][(np.diff(np.append(at, len(h))) > 1) | np.logical_or.reduceat(many, at)]
-        own = f"{folder}/.{r}-{os.getpid()}-{os.urandom(4).hex()}"
-        repeated.tofile(own)
-        os.replace(own, f"{folder}/{r:06d}.u64")
-        return pa.table({"r": pa.array([r], pa.int32()), "n": pa.array([len(repeated)], pa.int64())})
+        h, v, many = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("h", U64), ("v", U64), ("many", bool)))
+        order = np.lexsort((v, h))
+        h, v, many = h[order], v[order], many[order]
+        at = np.flatnonzero(_heads(h))
+        repeated = (np.diff(np.append(at, len(h))) > 1) | np.logical_or.reduceat(many, at)
+        kinds = np.add.reduceat(_heads(h, v).astype(np.int64), at)
+        _store(folder, r, key=h[at][repeated], differ=(kinds > 1)[repeated])
+        return pa.table({"r": pa.array([r], pa.int32()), "n": pa.array([int(repeated.sum())], pa.int64())})
 
     return run
 
 
-class Repeated:
-    """The memory-mapped sorted hashes of all ranges."""
+class Ranges:
+    """Memory-mapped arrays by range."""
 
-    def __init__(self, folder: str, ranges: int) -> None:
-        self.folder, self.ranges, self.maps = folder, ranges, {}
+    def __init__(self, folder: str, ranges: int, **kinds: type) -> None:
+        self.folder, self.ranges, self.kinds, self.maps = folder, ranges, kinds, {}
 
-    def holds(self, h: np.ndarray) -> np.ndarray:
+    def get(self, r: int, name: str) -> np.ndarray:
+        if (r, name) not in self.maps:
+            path = f"{self.folder}/{r:06d}.{name}"
+            there = os.path.exists(path) and os.path.getsize(path)
+            self.maps[r, name] = np.memmap(path, self.kinds[name], "r") if there else np.zeros(0, self.kinds[name])
+        return self.maps[r, name]
+
+    def repeated(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each anchor is repeated, and whether its stretches differ."""
         order = np.argsort(h)
         wanted = h[order]
         cut = np.searchsorted(_range_of(wanted, self.ranges), np.arange(self.ranges + 1))
-        found = np.zeros(len(h), bool)
+        found, differ = np.zeros(len(h), bool), np.zeros(len(h), bool)
         for r in range(self.ranges):
             a, b = cut[r], cut[r + 1]
-            if a < b and len(keys := self._range(r)):
+            if a < b and len(keys := self.get(r, "key")):
                 at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
-                found[order[a:b]] = keys[at] == wanted[a:b]
-        return found
-
-    def _range(self, r: int) -> np.ndarray:
-        if r not in self.maps:
-            path = f"{self.folder}/{r:06d}.u64"
-            there = os.path.exists(path) and os.path.getsize(path)
-            self.maps[r] = np.memmap(path, U64, "r") if there else np.zeros(0, U64)
-        return self.maps[r]
+                same = keys[at] == wanted[a:b]
+                found[order[a:b]] = same
+                differ[order[a:b]] = same & self.get(r, "differ")[at]
+        return found, differ
 
 
-_SENT = "repeat boolean, doc_id long, tag long, start long, stop long, anchor long, v1 long, v2 long, place int, text binary"
+_SENT = "repeat boolean, doc_id long, tag long, start long, stop long, anchor long, v long, text binary"
 _FIELDS = [x.split()[0] for x in _SENT.split(", ")]
 
 
@@ -196,49 +222,49 @@ def _runs(which: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 
 def _send_stretches(folder: str, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = Repeated(folder, ranges)
+        repeated = Ranges(folder, ranges, key=U64, differ=bool)
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            doc, tag, start, stop, anchor, v1, v2, place = (np.concatenate([x[k] for x in held]) for k in range(8))
-            texts = [t for x in held for t in x[8]]
+            doc, tag, start, stop, anchor, v = (np.concatenate([x[k] for x in held]) for k in range(6))
+            texts = {}
+            base = 0
+            for x in held:
+                texts |= {base + k: t for k, t in x[6].items()}
+                base += len(x[0])
             held.clear()
-            order = np.lexsort((start, tag, doc, v2, v1, anchor))
-            a, b, c = anchor[order], v1[order], v2[order]
-            first = np.ones(len(order), bool)
-            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+            order = np.lexsort((start, tag, doc, v, anchor))
+            first = _heads(anchor[order], v[order])
             lone, later = order[first], order[~first]
-            # Of rows that are one document, none is the earlier: only strictly later positions are repeats.
+            # Of rows that are one document, none is the earlier: only strictly later places are repeats.
             lead = lone[np.cumsum(first) - 1][~first]
             later = later[(doc[later] != doc[lead]) | (tag[later] != tag[lead]) | (start[later] != start[lead])]
-            names, ids = np.unique(np.stack([doc[later], tag[later]]), axis=1, return_inverse=True)
-            w, s, e = _runs(ids.reshape(-1).astype(np.int64), start[later], stop[later])
-            none = lambda n, kind: pa.nulls(n, kind)
-            n = len(w)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(names[0][w]), pa.array(names[1][w]), pa.array(s), pa.array(e), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], _FIELDS)
-            for at in range(0, len(lone), 50_000):
-                x = lone[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), bool)), *(pa.array(y[x].view(np.int64)) for y in (doc, tag, start, stop, anchor, v1, v2)), pa.array(place[x].astype(np.int32)), pa.array([texts[i] for i in x.tolist()], pa.binary())], _FIELDS)
+            for d, g, s, e in _spans(doc[later], tag[later], start[later], stop[later]):
+                none = pa.nulls(len(d), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), bool)), pa.array(d), pa.array(g), pa.array(s), pa.array(e), none, none, pa.nulls(len(d), pa.binary())], _FIELDS)
+            for at in range(0, len(lone), 20_000):
+                x = lone[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), bool)), *(pa.array(y[x].view(np.int64)) for y in (doc, tag, start, stop, anchor, v)), pa.array([texts.get(i) for i in x.tolist()], pa.binary())], _FIELDS)
 
         size = 0
         for batch in in_slices(batches, "text", PART):
             doc, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for part in _parts(batch, "text"):
                 found = Stretches(*part)
-                which = np.flatnonzero(repeated.holds(found.anchor))
+                is_repeated, differ = repeated.repeated(found.anchor)
+                which = np.flatnonzero(is_repeated)
                 if not len(which):
                     continue
-                v1, v2 = found.content(which)
                 a, n = found.first[which], found.count[which] + LENGTH - 1
+                text = np.flatnonzero(differ[which])
                 raw = found.data.tobytes()
-                texts = [raw[x:y] for x, y in zip(a.tolist(), (a + n).tolist(), strict=True)]
+                texts = {k: raw[x:y] for k, x, y in zip(text.tolist(), a[text].tolist(), (a + n)[text].tolist(), strict=True)}
                 row, start = found.row[which], found.start[which]
-                held.append((doc[row], tag[row], start, start + n, found.anchor[which], v1, v2, found.place[which], texts))
-                size += len(which) * 16 + int(n.sum())
-            if size > 16 * FLUSH:
+                held.append((doc[row], tag[row], start, start + n, found.anchor[which], found.content()[which], texts))
+                size += len(which) + 2 * len(text)
+            if size > FLUSH:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -246,6 +272,18 @@ def _send_stretches(folder: str, ranges: int):
     return run
 
 
+def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The spans merged by document, as one set of arrays; none for no spans."""
+    if len(doc):
+        order = np.lexsort((tag, doc))
+        ids = np.empty(len(doc), np.int64)
+        head = _heads(doc[order], tag[order])
+        ids[order] = np.cumsum(head) - 1
+        lead = order[head]
+        w, s, e = _runs(ids, start, stop)
+        yield doc[lead][w], tag[lead][w], s, e
+
+
 def refine(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(positions, classes) of all positions whose ``length``-byte string lies in one text and occurs again.
 
@@ -304,9 +342,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if not t.num_rows:
             return
-        doc, tag, start, stop, anchor, v1, v2 = (t.column(k).to_numpy() for k in ("doc_id", "tag", "start", "stop", "anchor", "v1", "v2"))
-        head = np.ones(len(doc), bool)
-        head[1:] = (anchor[1:] != anchor[:-1]) | (v1[1:] != v1[:-1]) | (v2[1:] != v2[:-1])
+        doc, tag, start, stop, anchor, v = (t.column(k).to_numpy() for k in ("doc_id", "tag", "start", "stop", "anchor", "v"))
+        head = _heads(anchor, v)
         lead = np.flatnonzero(head)[np.cumsum(head) - 1]
         later = np.flatnonzero(~head & ((doc != doc[lead]) | (tag != tag[lead]) | (start != start[lead])))
         spans = [(doc[later], tag[later], start[later], stop[later])]
@@ -314,8 +351,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(head)
         kinds = _shared(first, anchor[first])
         if len(kinds):
-            texts = t.column("text").take(pa.array(kinds)).combine_chunks()
-            texts = texts.cast(pa.large_binary())
+            texts = t.column("text").take(pa.array(kinds)).combine_chunks().cast(pa.large_binary())
+            if texts.null_count:
+                raise AssertionError("a stretch that differs from another has come without its text")
             bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], np.uint8)
             where, classes = refine(data, bounds[:-1], bounds[1:])
@@ -324,20 +362,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = start[k] + where - bounds[own]
             order = np.lexsort((at, tag[k], doc[k], classes))
             c, k, at = classes[order], k[order], at[order]
-            lead = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            lead = np.flatnonzero(_heads(c)) if len(c) else np.zeros(0, np.int64)
             least = np.repeat(lead, np.diff(np.append(lead, len(c))))
             again = (doc[k] != doc[k[least]]) | (tag[k] != tag[k[least]]) | (at != at[least])
             spans.append((doc[k[again]], tag[k[again]], at[again], at[again] + LENGTH))
-        d, g, s, e = (np.concatenate([x[i] for x in spans]) for i in range(4))
-        if len(d):
-            names, ids = np.unique(np.stack([d, g]), axis=1, return_inverse=True)
-            w, s, e = _runs(ids.reshape(-1).astype(np.int64), s, e)
-            yield pa.RecordBatch.from_arrays([pa.array(names[0][w]), pa.array(names[1][w]), pa.array(s), pa.array(e)], ["doc_id", "tag", "start", "stop"])
+        for d, g, s, e in _spans(*(np.concatenate([x[i] for x in spans]) for i in range(4))):
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(g), pa.array(s), pa.array(e)], ["doc_id", "tag", "start", "stop"])
 
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         rest.append(batch)
-        if sum(b.nbytes for b in rest) < 24_000_000:
+        if sum(b.nbytes for b in rest) < MEET:
             continue
         t = pa.Table.from_batches(rest)
         anchor = t.column("anchor").to_numpy()
@@ -352,8 +387,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the stretches with a 128-bit hash of its bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            b = batch.slice(at, 20_000)
+        for at in range(0, batch.num_rows, 2_000):
+            b = batch.slice(at, 2_000)
             texts = b.column(b.schema.get_field_index("text")).cast(pa.large_binary())
             bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
@@ -372,17 +407,17 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, hot: int = HOT) -
     spark = docs.sparkSession
     ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = shared_local_dir(spark, "anchors")
-    counted = docs.select("text").mapInArrow(_count_anchors(ranges), "r int, h binary, many binary")
+    counted = docs.select("text").mapInArrow(_count_anchors(ranges), "r int, h binary, v binary, many binary")
     counted.groupBy("r").applyInArrow(_keep_repeated(folder), "r int, n long").agg(F.sum("n")).first()
     sent = written(docs.select("doc_id", "tag", "text").mapInArrow(_send_stretches(folder, ranges), _SENT), "stretches")
     whole = sent.where("repeat").select("doc_id", "tag", "start", "stop")
     lone = sent.where("not repeat")
     # Few anchors can have more than ``hot`` stretches: at most one for each ``hot`` stretches sent.
-    common = lone.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
+    common = lone.where("text is not null").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
     common = written(common, "hot")
     rare = lone if common.isEmpty() else lone.join(common, "anchor", "left_anti")
-    columns = ["anchor", "v1", "v2", "doc_id", "tag", "start", "stop", "text"]
-    met = rare.select(*columns).repartition("anchor").sortWithinPartitions(*columns[:6]).mapInArrow(_meet, "doc_id long, tag long, start long, stop long")
+    columns = ["anchor", "v", "doc_id", "tag", "start", "stop", "text"]
+    met = rare.select(*columns).repartition("anchor").sortWithinPartitions(*columns[:5]).mapInArrow(_meet, "doc_id long, tag long, start long, stop long")
     spans = whole.unionByName(met)
     if common.isEmpty():
         return spans
@@ -393,37 +428,65 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, hot: int = HOT) -
     return spans.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("stop")))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches, "text", PART):
-        data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
-        raw = data.tobytes()
-        rows = []
-        for i, spans in enumerate(batch.column(batch.schema.get_field_index("spans")).to_pylist()):
-            own = raw[offsets[i] : offsets[i + 1]]
-            merged: list[list[int]] = []
-            for s, e in sorted((x["start"], x["stop"]) for x in spans or ()):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(e, merged[-1][1])
+def _key(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return mixed(mixed(doc.view(U64)) + tag.view(U64))
+
+
+def _keep_spans(folder: str):
+    """Stores a range's merged spans by document key."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        r = key[0].as_py()
+        for d, g, s, e in _spans(*(table.column(k).to_numpy() for k in ("doc_id", "tag", "start", "stop"))):
+            keys = _key(d, g)
+            order = np.lexsort((s, keys))
+            keys, s, e = keys[order], s[order], e[order]
+            at = np.flatnonzero(_heads(keys))
+            if len(at) != int(_heads(d, g).sum()):
+                raise AssertionError("two documents have one key")
+            _store(folder, r, key=keys[at], bound=np.append(at, len(keys)).astype(np.int64), start=s, stop=e)
+        return pa.table({"r": pa.array([r], pa.int32()), "n": pa.array([table.num_rows], pa.int64())})
+
+    return run
+
+
+def _cut(folder: str, ranges: int, with_bytes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = Ranges(folder, ranges, key=U64, bound=np.int64, start=np.int64, stop=np.int64)
+        for batch in in_slices(batches, "text", 2 * PART):
+            data, offsets = text_buffer(batch.column(3))
+            doc, tag, of = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            keys = _key(doc, tag)
+            raw = data.tobytes()
+            rows = []
+            for i, r in enumerate(of.tolist()):
+                own = raw[offsets[i] : offsets[i + 1]]
+                have = stored.get(r, "key")
+                at = int(np.searchsorted(have, keys[i]))
+                if at < len(have) and have[at] == keys[i]:
+                    a, b = stored.get(r, "bound")[at : at + 2]
+                    edges = [0, *np.stack([stored.get(r, "start")[a:b], stored.get(r, "stop")[a:b]], axis=1).ravel().tolist(), len(own)]
                 else:
-                    merged.append([s, e])
-            edges = [0, *(x for pair in merged for x in pair), len(own)]
-            kept = b"".join(own[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            rows.append((len(own), len(own) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-        n_bytes, n_removed, n_spans, sha, kept = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    edges = [0, len(own)]
+                kept = b"".join(own[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                rows.append((len(own), len(own) - len(kept), len(edges) // 2 - 1, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+            n_bytes, n_removed, n_spans, sha, kept = zip(*rows, strict=True)
+            columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())], [*names, "kept"]) if with_bytes else pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay; a cut may split a character)."""
+    spark = docs.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    spans = repeated_spans(keyed).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    out = keyed.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
-    if with_bytes:
-        return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _cut(batches):
-            yield batch.select(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return out.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    of = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(ranges)).cast("int")
+    folder = shared_local_dir(spark, "spans")
+    repeated_spans(keyed, ranges, hot).groupBy(of.alias("r")).applyInArrow(_keep_spans(folder), "r int, n long").agg(F.sum("n")).first()
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    out = keyed.select("doc_id", "tag", of.alias("r"), "text").mapInArrow(_cut(folder, ranges, with_bytes), kinds)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
