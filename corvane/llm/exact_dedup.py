@@ -10,9 +10,8 @@ text itself; Spark's map-side aggregation folds copies before the shuffle, so a
 rows is one row for each task. Owner tasks then take ranges of buckets, chain the texts whose hashes collide and write
 the index as Parquet into the shared folder. The third pass looks each row's entry up in the index.
 
-Defined cases: null text is empty; empty texts form a group of their own; rows that repeat a doc_id count one
-by one, and of equal (n_code_points, doc_id) any one stands for the group as its doc_id is the same; other columns of
-the input are not read, so clashing names do no harm; an empty table gives an empty result.
+Defined cases: null text is empty; empty texts form a group of their own; a null doc_id comes after all others; rows
+that repeat a doc_id count one by one, and those that also repeat its text are marked alike; other columns of the input are not read, so clashing names do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from .common import written
 #: Keys a bucket may hold before it splits, and the deepest directory.
 BUCKET_KEYS = 50_000
 MAX_DEPTH = 16
+_NO_ID = 2**63 - 1  # stands for a null doc_id: after all others
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Puts the longest text, then the smallest doc_id, first in one fixed-width value that map-side aggregation can update in place.
 _RANK, _STEP = "decimal(38,0)", "100000000000000000000BD"
@@ -37,7 +37,7 @@ def normalised(text: Column) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.length(text).cast("long").alias("n_code_points"))
+        docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.length(text).cast("long").alias("n_code_points"))
         .withColumn("h", F.xxhash64("norm"))
     )
 
@@ -87,12 +87,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not index.where("n_texts > 1").isEmpty():
         raise ValueError("two different texts have the same SHA-256")
     found = keyed.select("doc_id", "h", "sha").join(index.select("h", "sha", "keep_id", "group_size", "bucket"), ["h", "sha"])
-    return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket")
+    shown = lambda c: F.nullif(c, F.lit(_NO_ID))
+    return found.select(shown("doc_id").alias("doc_id"), shown("keep_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat a kept doc_id and its text stay once."""
-    ids = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(normalised(docs[text_col]), 256)
-    rows = docs.join(ids, (docs[id_col] == F.col("__keep")) & (sha == F.col("__sha")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, with all their columns. Of rows that repeat a kept doc_id and its text one stays."""
+    ids = exact_groups(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__corvane_id"), F.col("text_sha256").alias("__corvane_sha")).distinct()
+    rows = docs.withColumns({"__corvane_id": F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)), "__corvane_sha": F.sha2(normalised(docs[text_col]), 256)})
+    keys = ["__corvane_id", "__corvane_sha"]
+    return rows.join(ids, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -14,7 +14,7 @@ Components over all buckets come from alternating star contraction of those edge
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle are
 one shingle; repeated rows and doc_ids give repeated rows; further columns are not read; an empty table gives an empty
-result; shingle text is whole, of any length.
+result; a null doc_id comes after all others; texts are whole, of any length.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ SHINGLE = 3
 RADIUS = 2
 BUCKET = 4096
 CHECK_PLANES = 8
+_NO_ID = 2**63 - 1  # stands for a null doc_id: after all others
 _ROWS = 1 << 20  # (query, 64-lane block) rows compared at a time
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 _ONE = np.uint64(1)
@@ -77,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in in_slices(batches, "text", 6_000_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(batch.column(1).to_pylist(), shingle))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def linked_within(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -248,10 +249,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    shown = lambda c: F.nullif(c, F.lit(_NO_ID)).alias(c)
+    return marked.join(named, "fp").select(shown("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), shown("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component, with all their columns."""
-    kept = near_groups(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    kept = near_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__corvane_id")).distinct()
+    rows = docs.withColumn("__corvane_id", F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)))
+    return rows.join(kept, "__corvane_id", "left_semi").select(*docs.columns)
