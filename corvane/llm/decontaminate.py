@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Fixed masks over SPAN words select the positions whose words are hashed; the ignored positions may differ. The hashes of
+Fixed masks over up to SPAN words select the positions whose words are hashed; the ignored positions may differ. The hashes of
 test items are joined with those of every position of every training text, and each hit is verified: on the hit's
 diagonal the words of item and text are compared and the best stretch around the hit is kept. A text is contaminated if
 some stretch has at least MIN_WORDS words (the item's length if that is less) of which at least MIN_SHARE are equal.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, in_slices, mixed, prefix_hash, span_hash, text_buffer
 
-#: Positions that count, of 12 words: any two substitutions in 13 words leave one of the masks whole somewhere.
-MASKS = ("11111111", "110110110111", "111001110101", "101011011011")
+#: Positions that count: of 13 words with any two substituted, one of the masks has a place with all its seven words whole.
+MASKS = ("11101111", "1111010011", "110100101011")
 SPAN = 12
 MIN_WORDS = 13
 MIN_SHARE = 0.8

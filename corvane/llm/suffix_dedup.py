@@ -40,10 +40,11 @@ LENGTH = 100
 GRAM = 40
 _W = LENGTH - GRAM + 1
 #: Bytes scanned at a time: a position fits 24 bits of a key.
-PART = 1_500_000
+PART = 1_000_000
 HOT = 20_000
-FLUSH = 2_000_000  # anchors, or kept stretches, that a task holds
-MEET = 3_000_000  # bytes of stretches compared at a time
+FLUSH = 1_000_000  # anchors that a task holds
+KEPT = 300_000  # stretches that a task holds, those with a text counting thrice
+MEET = 1_000_000  # bytes of stretches compared at a time
 
 
 class Stretches:
@@ -264,7 +265,7 @@ def _send_stretches(folder: str, ranges: int):
                 row, start = found.row[which], found.start[which]
                 held.append((doc[row], tag[row], start, start + n, found.anchor[which], found.content()[which], texts))
                 size += len(which) + 2 * len(text)
-            if size > FLUSH:
+            if size > KEPT:
                 yield from flush()
                 size = 0
         yield from flush()

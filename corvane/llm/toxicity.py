@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is a trained vector of its hash bucket beside the mean of trained vectors of its character n-grams (3 to 5
-bytes, with word ends), so unseen word forms still count by their parts. Windows of WINDOW words overlap by WINDOW - STRIDE;
+A word's input is a trained vector of its hash bucket beside the means of trained vectors of its character n-grams (3 to 5
+bytes, with word ends) and of its beginnings (5 to 9 bytes), so unseen word forms still count by their parts. Windows of WINDOW words overlap by WINDOW - STRIDE;
 both directions run over each window, attention pools their states, and a text's score is that of its worst window.
 All windows of every text are scored.
 
@@ -28,13 +28,18 @@ from .decontaminate import _FOLD, _SEPARATOR
 
 WINDOW, STRIDE = 40, 30
 WORD_BUCKETS, WORD_DIM = 1 << 16, 6
-GRAM_BUCKETS, GRAM_DIM = 1 << 15, 12
+#: For each group of a word's parts: buckets and dimensions.
+PARTS = {"gram": (1 << 15, 10), "head": (1 << 15, 6)}
 HIDDEN, ATTENTION = 12, 8
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 1500, 8000
-EPOCHS, BATCH, RATE = 8, 50, 0.008
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 3000, 8000
+EPOCHS, STEPS, BATCH, RATE = 5, 250, 50, 0.006
+#: Words and n-grams of fewer training texts than one for each so many toxic ones, or than two, have no vector: a text
+#: can't be learnt by heart.
+LEAST_SHARE = 150
+DECAY, DROPPED = 0.02, 0.3
 SLICE = 4_000_000
 _LANES = 2048  # windows that run side by side
-_IN = WORD_DIM + GRAM_DIM
+_IN = WORD_DIM + sum(dim for _, dim in PARTS.values())
 
 
 def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +60,7 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 class Words:
-    """Inputs of distinct words: bucket, and n-gram buckets with bounds."""
+    """Inputs of distinct words: bucket, and for each group of parts their buckets with bounds."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         self.bucket = (hashes & U64(WORD_BUCKETS - 1)).astype(np.int64)
@@ -67,24 +72,28 @@ class Words:
         within = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         own[at[word] + 1 + within] = data[starts[word] + within]
         prefix = prefix_hash(own, 7)
-        grams, owners = [], []
-        for n in (3, 4, 5):
-            count = np.maximum(wide - n + 1, 0)
-            of = np.repeat(np.arange(len(size)), count)
-            a = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            grams.append((mixed(span_hash(prefix, a, a + n) + U64(n)) & U64(GRAM_BUCKETS - 1)).astype(np.int64))
-            owners.append(of)
-        owner = np.concatenate(owners)
+        self.parts = {"gram": self._sorted([self._spans(prefix, at, np.maximum(wide - n + 1, 0), n, "gram") for n in (3, 4, 5)]), "head": self._sorted([self._spans(prefix, at, (wide > n).astype(np.int64), n, "head") for n in (6, 7, 8, 9, 10)])}
+
+    def _spans(self, prefix: np.ndarray, at: np.ndarray, count: np.ndarray, n: int, group: str) -> tuple[np.ndarray, np.ndarray]:
+        """(word, bucket) of the first ``count`` spans of n bytes of each word."""
+        of = np.repeat(np.arange(len(at)), count)
+        a = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        return of, (mixed(span_hash(prefix, a, a + n) + U64(n)) & U64(PARTS[group][0] - 1)).astype(np.int64)
+
+    def _sorted(self, spans: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.concatenate([x[0] for x in spans])
         order = np.argsort(owner, kind="stable")
-        self.grams = np.concatenate(grams)[order]
-        self.bounds = np.searchsorted(owner[order], np.arange(len(size) + 1))
+        return np.concatenate([x[1] for x in spans])[order], np.searchsorted(owner[order], np.arange(len(self.bucket) + 1))
 
-    def chosen(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets, n-gram buckets, and the place of each n-gram's word among the chosen."""
-        count = np.diff(self.bounds)[which]
-        of = np.repeat(np.arange(len(which)), count)
-        at = np.repeat(self.bounds[which] - (np.cumsum(count) - count), count) + np.arange(len(of))
-        return self.bucket[which], self.grams[at], of
+    def chosen(self, which: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """Buckets of the chosen words; for each group the parts' buckets and the place of each part's word among the chosen."""
+        groups = {}
+        for name, (buckets, bounds) in self.parts.items():
+            count = np.diff(bounds)[which]
+            of = np.repeat(np.arange(len(which)), count)
+            at = np.repeat(bounds[which] - (np.cumsum(count) - count), count) + np.arange(len(of))
+            groups[name] = buckets[at], of
+        return self.bucket[which], groups
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,20 +108,24 @@ def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fresh(seed: int = 0) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    p = {"word": np.zeros((WORD_BUCKETS, WORD_DIM), np.float32), "gram": normal(GRAM_BUCKETS, GRAM_DIM, scale=0.05)}
+    p = {"word": np.zeros((WORD_BUCKETS, WORD_DIM), np.float32)} | {k: normal(*shape, scale=0.05) for k, shape in PARTS.items()}
     for d in "fb":
         p |= {f"w{d}": normal(_IN, 3 * HIDDEN, scale=_IN**-0.5), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": normal(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5)}
     return p | {"wa": normal(2 * HIDDEN, ATTENTION, scale=0.2), "va": normal(ATTENTION, scale=0.5), "out": normal(2 * HIDDEN, scale=0.3), "bias": np.full(1, -2.0, np.float32)}
 
 
-def inputs(p: dict[str, np.ndarray], bucket: np.ndarray, grams: np.ndarray, of: np.ndarray) -> np.ndarray:
+def inputs(p: dict[str, np.ndarray], bucket: np.ndarray, groups: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """One row for each distinct word."""
     x = np.zeros((len(bucket), _IN), np.float32)
     x[:, :WORD_DIM] = p["word"][bucket]
-    if len(of):
-        head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        sums = np.add.reduceat(p["gram"][grams], head, axis=0)
-        x[of[head], WORD_DIM:] = sums / np.diff(np.append(head, len(of)))[:, None].astype(np.float32)
+    at = WORD_DIM
+    for name, (parts, of) in groups.items():
+        dim = PARTS[name][1]
+        if len(of):
+            head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            sums = np.add.reduceat(p[name][parts], head, axis=0)
+            x[of[head], at : at + dim] = sums / np.diff(np.append(head, len(of)))[:, None].astype(np.float32)
+        at += dim
     return x
 
 
@@ -230,8 +243,18 @@ def _ids(of_word: np.ndarray, first: np.ndarray, n: np.ndarray, pad: int) -> np.
     return np.where(t < n[None, :], of_word[at] if len(of_word) else pad, pad)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 0) -> dict[str, np.ndarray]:
-    """Trained parameters, or {"share": ...} without both classes."""
+def _prior(texts_of: np.ndarray, items: np.ndarray, size: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(known, start) of items: whether enough texts have them, and a shrunk log-odds of toxic texts."""
+    pairs = np.unique(texts_of * np.int64(size) + items)
+    item, toxic = pairs % size, y[pairs // size] > 0.5
+    t, c = np.bincount(item[toxic], minlength=size), np.bincount(item[~toxic], minlength=size)
+    odds = np.log((t + 0.5) / ((y > 0.5).sum() + 1)) - np.log((c + 0.5) / ((y < 0.5).sum() + 1))
+    known = t + c >= max(2, (y > 0.5).sum() / LEAST_SHARE)
+    return known, np.where(known, odds * (t + c) / (t + c + 8), 0).astype(np.float32)
+
+
+def fit(texts: list[str], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = 0) -> dict[str, np.ndarray]:
+    """Trained parameters, or {"share": ...} without both classes. ``share`` is that of toxic labels where the sample differs."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return {"share": np.array([y.mean() if len(y) else 0.0])}
@@ -241,10 +264,19 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 0
     row, first, n = windows(bounds)
     at = np.searchsorted(row, np.arange(len(y) + 1))
     p = fresh(seed)
+    text_of = np.repeat(np.arange(len(y)), np.diff(bounds))
+    known, start = _prior(text_of, words.bucket[of_word], WORD_BUCKETS, y)
+    p["word"][:, 0] = start
+    every = np.unique(text_of * np.int64(len(one)) + of_word)
+    known_parts = {}
+    for name, (parts, of) in words.chosen(every % len(one))[1].items():
+        known_parts[name], start = _prior((every // len(one))[of], parts, PARTS[name][0], y)
+        p[name] *= known_parts[name][:, None]
+        p[name][:, 0] = start
     adam, rng = Adam(p, RATE), np.random.default_rng(seed)
     # A third toxic in each batch whatever the sample's share.
     toxic, clean = np.flatnonzero(y > 0.5), np.flatnonzero(y < 0.5)
-    rounds = max(epochs, -(-300 // max(1, -(-len(y) // BATCH))))
+    rounds = max(epochs, -(-STEPS // max(1, -(-len(y) // BATCH))))
     total, done = rounds * -(-len(y) // BATCH), 0
     for _ in range(rounds):
         a, b = rng.permutation(toxic), rng.permutation(clean)
@@ -257,33 +289,47 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 0
             used, local = np.unique(ids[ids >= 0], return_inverse=True)
             flat = np.full(ids.shape, len(used))
             flat[ids >= 0] = local
-            bucket, grams, of = words.chosen(used)
-            x = inputs(p, bucket, grams, of)
+            bucket, groups = words.chosen(used)
+            x = inputs(p, bucket, groups)
+            # Now and then a word is read by its characters alone, or by itself alone.
+            drop = rng.random((len(x), 2)) < DROPPED
+            mask = np.ones_like(x)
+            mask[drop[:, 0], :WORD_DIM] = 0
+            mask[drop[:, 1] & ~drop[:, 0], WORD_DIM:] = 0
+            x *= mask
             logit, kept = forward(p, x, flat, keep=True)
             # Soft maximum over a text's windows, sharper as training goes on.
             sharp = 1.0 + 3.0 * done / total
             head = np.searchsorted(doc, np.arange(len(docs)))
             top = np.maximum.reduceat(logit, head)
-            share = np.exp(sharp * (logit - top[doc]))
-            share /= np.add.reduceat(share, head)[doc]
-            score = np.add.reduceat(share * logit, head)
-            weight = np.where(y[docs] > 0.5, 0.5 * len(docs) / max(1, (y[docs] > 0.5).sum()), 0.5 * len(docs) / max(1, (y[docs] < 0.5).sum()))
-            error = (1 / (1 + np.exp(-score)) - y[docs]) * weight / len(docs)
-            dlogit = (error[doc] * share * (1 + sharp * (logit - score[doc]))).astype(np.float32)
+            part = np.exp(sharp * (logit - top[doc]))
+            part /= np.add.reduceat(part, head)[doc]
+            score = np.add.reduceat(part * logit, head)
+            error = (1 / (1 + np.exp(-score)) - y[docs]) / len(docs)
+            dlogit = (error[doc] * part * (1 + sharp * (logit - score[doc]))).astype(np.float32)
             g, dx = backward(p, x, flat, kept, dlogit)
+            dx *= mask
             grads = {name: (slice(None), v) for name, v in g.items()}
             rows, back = np.unique(bucket, return_inverse=True)
             dword = np.zeros((len(rows), WORD_DIM), np.float32)
             np.add.at(dword, back, dx[:, :WORD_DIM])
-            grads["word"] = rows, dword
-            size = np.bincount(of, minlength=len(used))[of].astype(np.float32)
-            rows, back = np.unique(grams, return_inverse=True)
-            dgram = np.zeros((len(rows), GRAM_DIM), np.float32)
-            np.add.at(dgram, back, dx[of, WORD_DIM:] / size[:, None])
-            grads["gram"] = rows, dgram
+            own = known[rows]
+            grads["word"] = rows[own], dword[own] + DECAY / len(docs) * p["word"][rows[own]]
+            column = WORD_DIM
+            for name, (parts, of) in groups.items():
+                dim = PARTS[name][1]
+                size = np.bincount(of, minlength=len(used))[of].astype(np.float32)
+                rows, back = np.unique(parts, return_inverse=True)
+                dpart = np.zeros((len(rows), dim), np.float32)
+                np.add.at(dpart, back, dx[of, column : column + dim] / size[:, None])
+                own = known_parts[name][rows]
+                grads[name] = rows[own], dpart[own] + DECAY / len(docs) * p[name][rows[own]]
+                column += dim
             adam.rate = RATE * (1 - 0.9 * done / total)
             adam.step(grads)
             done += 1
+    if share and 0 < share < 1:
+        p["bias"] += np.float32(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
     return p
 
 
@@ -322,6 +368,7 @@ def _pooled(p: dict[str, np.ndarray], tables: dict[str, np.ndarray], ids: np.nda
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, np.ndarray]:
     """A model of a bounded sample of the labelled rows of ``docs``."""
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * most) for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     # At most 2 * (MAX_TOXIC + MAX_CLEAN) rows of two numbers.
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id")
@@ -329,7 +376,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = []
     for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         rows += sample.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "text").limit(most).collect()
-    return fit([r["text"] for r in rows], [r["y"] for r in rows])
+    return fit([r["text"] for r in rows], [r["y"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
