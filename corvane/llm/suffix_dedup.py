@@ -82,7 +82,8 @@ class Stretches:
         begin, count = begin[ok[begin]], count[ok[begin]]
         self.first, self.count = begin, count
         self.place = at[begin] - begin
-        self.anchor = grams[at[begin]]
+        # Least hashes are small ones; mixed once more they fill all ranges alike.
+        self.anchor = mixed(grams[at[begin]] ^ U64(0x5851F42D4C957F2D))
         part = np.searchsorted(offsets, begin, side="right") - 1
         self.row = rows[part]
         self.start = begin - offsets[part] + bases[part]
