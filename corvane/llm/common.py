@@ -54,8 +54,9 @@ def shared_local_dir(spark: SparkSession, name: str) -> str:
     Memory mapping needs a mounted file system, so the shared folder must be a ``file:`` URI or a plain path.
     """
     uri = urlparse(shared_path(spark, name))
-    if uri.scheme not in ("", "file"):
-        raise ValueError(f"memory-mapped indexes need a mounted shared folder, not {uri.scheme}://")
+    scheme = uri.scheme or urlparse(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "").scheme
+    if scheme not in ("", "file"):
+        raise ValueError(f"memory-mapped indexes need a mounted shared folder, not {scheme}://")
     os.makedirs(uri.path, exist_ok=True)
     return uri.path
 

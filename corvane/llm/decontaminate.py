@@ -167,21 +167,28 @@ def _stretch(equal: np.ndarray, need: int, share: float) -> tuple[int, int, int]
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document: doc_id, contaminated, n_items, item_id (of the longest overlap, then smallest; null if
     none), start_word, n_words, n_equal of that overlap."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    n_words = items.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
-    parts = max(1, -(-int(n_words) * len(MASKS) // MAX_SENT))
-    found = None
+    found, parts = None, 0
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for part in range(parts):
-        held = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t").toArrow()
-        one = chosen.mapInArrow(_scan(held.column("i").to_pylist(), held.column("t").combine_chunks()), "doc_id long, n_items int, item_id long, start_word int, n_words int, n_equal int")
-        found = one if found is None else found.unionByName(one)
+    for ids, texts in _held(benchmark, item_col, item_text):
+        one = chosen.mapInArrow(_scan(ids, texts), "doc_id long, n_items int, item_id long, start_word int, n_words int, n_equal int")
+        found, parts = one if found is None else found.unionByName(one), parts + 1
     if parts > 1:
         best = F.max(F.struct("n_words", (-F.col("item_id")).alias("m"), "item_id", "start_word", "n_equal"))
         found = found.groupBy("doc_id").agg(F.sum("n_items").cast("int").alias("n_items"), best.alias("b")).select("doc_id", "n_items", "b.item_id", "b.start_word", "b.n_words", "b.n_equal")
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "start_word", "n_words", "n_equal")
 
 
+def _held(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[tuple[list[int], pa.Array]]:
+    """Ids and texts of a test set, in parts of about MAX_SENT seeds: one for all but very large sets."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
+    n_words = items.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
+    parts = max(1, -(-int(n_words) * len(MASKS) // MAX_SENT))
+    for part in range(parts):
+        held = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t").toArrow()
+        texts = held.column("t").combine_chunks()
+        yield held.column("i").to_pylist(), texts if isinstance(texts, pa.Array) else pa.array(held.column("t").to_pylist(), pa.string())
+
+
 def _scan(ids: list[int], texts: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
@@ -202,10 +209,13 @@ def _scan(ids: list[int], texts: pa.Array):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without an overlap, in one scan, with all their columns."""
-    held = benchmark.select(F.col("item_id").cast("long").alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).orderBy("i", "t").toArrow()
-    ids, texts = held.column("i").to_pylist(), held.column("t").combine_chunks()
+    """The rows of ``docs`` without an overlap, in one scan for each part of the test set, with all their columns."""
+    for ids, texts in _held(benchmark):
+        docs = docs.mapInArrow(_clean(ids, texts, text_col), docs.schema)
+    return docs
+
 
+def _clean(ids: list[int], texts: pa.Array, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
         for batch in in_slices(batches, text_col, 8_000_000):
@@ -214,4 +224,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             clean[[r for r, *_ in overlaps(items, h, at)]] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
