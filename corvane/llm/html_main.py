@@ -61,6 +61,7 @@ GOOD_WORDS = dict.fromkeys("article articlebody content entry post story main bo
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_ROLES = frozenset({"main", "article"})
 BIAS, LENGTH_WEIGHT, LENGTH_MOST, LINK_WEIGHT, HEADING = -0.3, 0.5, 2.0, 3.5, 0.5
+INLINE_BAD = 9.0
 SAME_PARENT, NEIGHBOUR, SIBLING, COUSIN = 0.8, 0.3, 0.4, 0.15
 
 
@@ -164,6 +165,11 @@ def blocks(page: str) -> list[Block]:
                 over = re.compile(r"(?=<body[\s>])", re.I).search(page, at, end)
             at = over.end() if over else end
             pieces.append(" ")
+        elif attributes and name not in BLOCK and name not in VOID and evidence(name, attributes)[0] >= INLINE_BAD:
+            # An advert or hidden words within a line: they go, the line stays whole.
+            over = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at, end)
+            at = over.end() if over else at
+            links = 0 if name == "a" else links
         elif name == "a":
             links = 1
         elif name in SPACE:

@@ -52,7 +52,8 @@ def test_html_template_matches_a_plain_reading(spark, sf_dir):
     ("<article><h1>T</h1><p>x<div class='ad-slot'>buy</div><p>y<section id=comments><p>nice</section></article><footer>f", "T\n\nx\n\ny"),
     ("<main><header><h1>T</h1></header><form>name<input></form><p>b<b>o</b>ld<script>if (a<b) c</script> <!-- n > --> end</main", "T\n\nbold end"),
     ("<body><header>Site</header><div class=sidebar><p>" + "long text. " * 30 + "</div><div id=content><p>" + "main. " * 30 + "</div>", " ".join(["main."] * 30)),
-    ("<article><p>one <a href='x>y'>link</a> two</article>", "one link two"),
+    ("<article><p>one <a href='x>y'>link</a> two</article>", "one link two"), ("<article><p>a <ins class='ad'>buy</ins>b <span hidden>no</span>c</p><ol class=commentlist><li>nice</ol></article>", "a b c"),
+    ("<body class='has-sidebar'><div class='cookie-notice' role=alert>We use cookies</div><article><p>x</article><div class='related-posts'><article><p>teaser</article></div>", "x"),
 ])
 def test_html_cases(page, text):
     assert html_main.main_text(page) == text
