@@ -31,7 +31,7 @@ WORD_BUCKETS, WORD_DIM = 1 << 16, 6
 #: For each group of a word's parts: buckets and dimensions.
 PARTS = {"gram": (1 << 15, 10), "head": (1 << 15, 6)}
 HIDDEN, ATTENTION = 12, 8
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 3000, 8000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2500, 6000
 EPOCHS, STEPS, BATCH, RATE = 5, 250, 50, 0.006
 #: Words and n-grams of fewer training texts than one for each so many toxic ones, or than two, have no vector: a text
 #: can't be learnt by heart.
@@ -39,6 +39,7 @@ LEAST_SHARE = 150
 DECAY, DROPPED = 0.02, 0.3
 SLICE = 4_000_000
 _LANES = 2048  # windows that run side by side
+_WORDS = 20_000  # distinct words, or texts' words in training, taken apart at a time
 _IN = WORD_DIM + sum(dim for _, dim in PARTS.values())
 
 
@@ -64,6 +65,14 @@ class Words:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         self.bucket = (hashes & U64(WORD_BUCKETS - 1)).astype(np.int64)
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {name: [(np.zeros(0, np.int32), np.zeros(0, np.int64))] for name in PARTS}
+        for at in range(0, len(starts), _WORDS):
+            for name, part in self._parts(data, starts[at : at + _WORDS], ends[at : at + _WORDS]).items():
+                found[name].append(part)
+        self.parts = {name: (np.concatenate([x[0] for x in rows]), np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in rows]))])) for name, rows in found.items()}
+
+    def _parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """For each group the buckets of all words' parts, by word, and the number of each word."""
         size = ends - starts
         wide = size + 2
         at = np.cumsum(wide) - wide
@@ -72,18 +81,18 @@ class Words:
         within = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         own[at[word] + 1 + within] = data[starts[word] + within]
         prefix = prefix_hash(own, 7)
-        self.parts = {"gram": self._sorted([self._spans(prefix, at, np.maximum(wide - n + 1, 0), n, "gram") for n in (3, 4, 5)]), "head": self._sorted([self._spans(prefix, at, (wide > n).astype(np.int64), n, "head") for n in (6, 7, 8, 9, 10)])}
-
-    def _spans(self, prefix: np.ndarray, at: np.ndarray, count: np.ndarray, n: int, group: str) -> tuple[np.ndarray, np.ndarray]:
-        """(word, bucket) of the first ``count`` spans of n bytes of each word."""
-        of = np.repeat(np.arange(len(at)), count)
-        a = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        return of, (mixed(span_hash(prefix, a, a + n) + U64(n)) & U64(PARTS[group][0] - 1)).astype(np.int64)
-
-    def _sorted(self, spans: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        owner = np.concatenate([x[0] for x in spans])
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate([x[1] for x in spans])[order], np.searchsorted(owner[order], np.arange(len(self.bucket) + 1))
+        spans = {"gram": [(n, np.maximum(wide - n + 1, 0)) for n in (3, 4, 5)], "head": [(n, (wide > n).astype(np.int64)) for n in (6, 7, 8, 9, 10)]}
+        out = {}
+        for name, kinds in spans.items():
+            owners, buckets = [], []
+            for n, count in kinds:  # the first ``count`` spans of n bytes of each word
+                of = np.repeat(np.arange(len(at)), count)
+                a = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                owners.append(of)
+                buckets.append((mixed(span_hash(prefix, a, a + n) + U64(n)) & U64(PARTS[name][0] - 1)).astype(np.int32))
+            owner = np.concatenate(owners)
+            out[name] = np.concatenate(buckets)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size))
+        return out
 
     def chosen(self, which: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
         """Buckets of the chosen words; for each group the parts' buckets and the place of each part's word among the chosen."""
@@ -243,14 +252,38 @@ def _ids(of_word: np.ndarray, first: np.ndarray, n: np.ndarray, pad: int) -> np.
     return np.where(t < n[None, :], of_word[at] if len(of_word) else pad, pad)
 
 
-def _prior(texts_of: np.ndarray, items: np.ndarray, size: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(known, start) of items: whether enough texts have them, and a shrunk log-odds of toxic texts."""
-    pairs = np.unique(texts_of * np.int64(size) + items)
-    item, toxic = pairs % size, y[pairs // size] > 0.5
-    t, c = np.bincount(item[toxic], minlength=size), np.bincount(item[~toxic], minlength=size)
-    odds = np.log((t + 0.5) / ((y > 0.5).sum() + 1)) - np.log((c + 0.5) / ((y < 0.5).sum() + 1))
-    known = t + c >= max(2, (y > 0.5).sum() / LEAST_SHARE)
-    return known, np.where(known, odds * (t + c) / (t + c + 8), 0).astype(np.float32)
+def _split_in_turn(texts: list[str], at_once: int = 100) -> tuple[np.ndarray, ...]:
+    """``split_words`` of many texts, a few at a time: the hashes' working arrays stay small."""
+    parts = []
+    base = before = 0
+    for k in range(0, len(texts), at_once):
+        data, starts, ends, h, bounds = split_words(pa.array(texts[k : k + at_once], pa.string()))
+        parts.append((data, starts + base, ends + base, h, bounds[1:] + before))
+        base, before = base + len(data), before + len(starts)
+    data, starts, ends, h, bounds = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return data, starts, ends, h, np.concatenate([[0], bounds])
+
+
+class Prior:
+    """Texts of each label that have each item."""
+
+    def __init__(self, size: int, y: np.ndarray) -> None:
+        self.size, self.y, self.counts = size, y, np.zeros((2, size), np.int64)
+
+    def add(self, texts_of: np.ndarray, items: np.ndarray) -> None:
+        """Items of whole texts."""
+        pairs = np.unique(texts_of * np.int64(self.size) + items)
+        toxic = self.y[pairs // self.size] > 0.5
+        for k, own in enumerate((toxic, ~toxic)):
+            self.counts[k] += np.bincount(pairs[own] % self.size, minlength=self.size)
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether enough texts have each item, and a shrunk log-odds of toxic texts."""
+        t, c = self.counts
+        toxic = (self.y > 0.5).sum()
+        odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (len(self.y) - toxic + 1))
+        known = t + c >= max(2, toxic / LEAST_SHARE)
+        return known, np.where(known, odds * (t + c) / (t + c + 8), 0).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = 0) -> dict[str, np.ndarray]:
@@ -258,21 +291,30 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return {"share": np.array([y.mean() if len(y) else 0.0])}
-    data, starts, ends, h, bounds = split_words(pa.array(texts, pa.string()))
+    data, starts, ends, h, bounds = _split_in_turn(texts)
     _, one, of_word = np.unique(h, return_index=True, return_inverse=True)
+    of_word = of_word.astype(np.int32)
     words = Words(data, starts[one], ends[one], h[one])
     row, first, n = windows(bounds)
     at = np.searchsorted(row, np.arange(len(y) + 1))
     p = fresh(seed)
-    text_of = np.repeat(np.arange(len(y)), np.diff(bounds))
-    known, start = _prior(text_of, words.bucket[of_word], WORD_BUCKETS, y)
-    p["word"][:, 0] = start
-    every = np.unique(text_of * np.int64(len(one)) + of_word)
+    priors = {"word": Prior(WORD_BUCKETS, y)} | {name: Prior(shape[0], y) for name, shape in PARTS.items()}
+    at_text = 0
+    while at_text < len(y):
+        to = max(at_text + 1, int(np.searchsorted(bounds, bounds[at_text] + _WORDS, side="right")) - 1)
+        text_of = np.repeat(np.arange(at_text, to), np.diff(bounds[at_text : to + 1]))
+        every = np.unique(text_of * np.int64(len(one)) + of_word[bounds[at_text] : bounds[to]])
+        bucket, groups = words.chosen(every % len(one))
+        priors["word"].add(every // len(one), bucket)
+        for name, (parts, of) in groups.items():
+            priors[name].add((every // len(one))[of], parts)
+        at_text = to
     known_parts = {}
-    for name, (parts, of) in words.chosen(every % len(one))[1].items():
-        known_parts[name], start = _prior((every // len(one))[of], parts, PARTS[name][0], y)
+    for name, prior in priors.items():
+        known_parts[name], start = prior.start()
         p[name] *= known_parts[name][:, None]
         p[name][:, 0] = start
+    known = known_parts["word"]
     adam, rng = Adam(p, RATE), np.random.default_rng(seed)
     # A third toxic in each batch whatever the sample's share.
     toxic, clean = np.flatnonzero(y > 0.5), np.flatnonzero(y < 0.5)
