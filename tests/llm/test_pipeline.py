@@ -8,6 +8,7 @@ from .test_corpus_operators import brute_components, brute_groups
 
 
 def test_stages(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest tables have too few labels to hold a model to its accuracy
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
