@@ -192,7 +192,7 @@ def _held(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "tex
 def _scan(ids: list[int], texts: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
-        for batch in in_slices(batches, "text", 8_000_000):
+        for batch in in_slices(batches, "text", 2_000_000):
             h, at = words(batch.column(1))
             n = batch.num_rows
             count = np.zeros(n, np.int32)
@@ -218,7 +218,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _clean(ids: list[int], texts: pa.Array, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
-        for batch in in_slices(batches, text_col, 8_000_000):
+        for batch in in_slices(batches, text_col, 2_000_000):
             h, at = words(batch.column(batch.schema.get_field_index(text_col)))
             clean = np.ones(batch.num_rows, bool)
             clean[[r for r, *_ in overlaps(items, h, at)]] = False

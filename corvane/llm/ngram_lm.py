@@ -32,7 +32,7 @@ from .common import U64, hashed_words, in_slices, mixed, shared_local_dir
 _START, _END = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 _PAIR = U64(0x8EBC6AF09C88C6E3)
 FLUSH = 3_000_000  # tokens that a counting task holds
-SLICE = 6_000_000  # bytes of text scored at a time
+SLICE = 3_000_000  # bytes of text scored at a time
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

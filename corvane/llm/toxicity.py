@@ -37,7 +37,7 @@ EPOCHS, STEPS, BATCH, RATE = 5, 250, 50, 0.006
 #: can't be learnt by heart.
 LEAST_SHARE = 150
 DECAY, DROPPED = 0.02, 0.3
-SLICE = 4_000_000
+SLICE = 2_000_000
 _LANES = 2048  # windows that run side by side
 _WORDS = 20_000  # distinct words, or texts' words in training, taken apart at a time
 _IN = WORD_DIM + sum(dim for _, dim in PARTS.values())
