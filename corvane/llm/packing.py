@@ -34,7 +34,15 @@ RANK_BLOCK = 1024
 RANKED = 50_000
 #: Only these characters, in runs of no more than this, go to the quick encoder; any other text goes to the tokenizer itself.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*\Z")
-_LONG_RUN = re.compile(r"[^ \n]{400}|[ \n\r\t]{400}")
+_LONGEST = 400
+_WHITE_RUN = re.compile(rf"\s{{{_LONGEST}}}")
+
+
+def _long_run(text: str) -> bool:
+    """Whether a word or a stretch of white space has _LONGEST characters."""
+    if max(map(len, text.split()), default=0) >= _LONGEST:
+        return True
+    return any(two in text for two in ("  ", "\n\n", " \n", "\n ", "\t", "\r")) and bool(_WHITE_RUN.search(text))
 
 
 @lru_cache(maxsize=4)
@@ -60,7 +68,7 @@ def encoder(path: str):
         return lambda texts: [exact(t) for t in texts]
 
     def ids(text: str) -> list[int]:
-        if "<|" in text or not _PLAIN.match(text) or _LONG_RUN.search(text):
+        if "<|" in text or not _PLAIN.match(text) or _long_run(text):
             return exact(text)
         return quick.encode_ordinary(text)
 
@@ -72,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for batch in in_slices(batches, "text", 4_000_000):
+        for batch in in_slices(batches, "text", 2_000_000):
             rows: list[tuple[int, int, int, int, int]] = []
             for doc, found in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 found.append(END_ID)
