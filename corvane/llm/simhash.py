@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, shared_path, written
+from .common import in_slices, written
+from .similar import candidates, common_shingles, prefixes, similar, still_apart
 
 SHINGLE = 3
 RADIUS = 2
@@ -254,7 +255,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, with all their columns."""
-    kept = near_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__corvane_id")).distinct()
+    """The rows of ``docs`` whose doc_id is the smallest of their component, with all their columns.
+
+    Here texts are linked within RADIUS bits, and also at a 5-word similarity of 0.8 or more (see ``similar``), which differ
+    in up to a dozen bits. Fingerprints are the nodes for both.
+    """
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts.select("h", "text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text", 3_000_000):
+            n, keys = prefixes(batch.column(2), common.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints_of(batch.column(2).to_pylist())), pa.array(n, pa.int32()), keys], ["doc_id", "h", "fp", "n", "keys"])
+
+    marked = written(texts.mapInArrow(run, "doc_id long, h long, fp long, n int, keys array<long>"), "marked")
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    prints = marked.select("h", "fp").distinct()
+
+    def edges(pairs: DataFrame) -> DataFrame:
+        u, v = (prints.select(F.col("h").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "uv")
+        return similar(texts.select("h", "text"), pairs).join(u, "u").join(v, "v").where("u_fp <> v_fp").select(F.greatest("u_fp", "v_fp").alias("u"), F.least("u_fp", "v_fp").alias("v"))
+
+    found = candidates(marked)
+    roots = components(links(classes.select("fp")).unionByName(edges(found.where("key is null")))).withColumnRenamed("u", "fp")
+    if not found.where("key is not null").isEmpty():
+        named = prints.join(roots, "fp", "left").select("h", F.coalesce("root", "fp").alias("root"))
+        roots = components(roots.select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(edges(still_apart(found, named)))).withColumnRenamed("u", "fp")
+    rooted = classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("rep").alias("__corvane_id")).select("__corvane_id").distinct()
     rows = docs.withColumn("__corvane_id", F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)))
     return rows.join(kept, "__corvane_id", "left_semi").select(*docs.columns)
