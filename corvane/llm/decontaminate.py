@@ -10,8 +10,9 @@ beyond it the test set is split and the corpus is scanned once for each part, so
 
 Words are runs of letters and digits (any byte over 0x7F counts as a letter), lower-cased for A-Z and Latin-1 letters.
 
-Defined cases: null and empty texts are clean; items of fewer than SPAN words match as a whole, word for word, from
-SHORTEST words on, and shorter ones are ignored as they say nothing; repeated items and rows count one by one;
+Defined cases: null and empty texts are clean; items of fewer than SPAN words match as a whole, with the same share
+of equal words, from SHORTEST words on (they are cut into one piece more than may be substituted words, so one piece is whole), and
+shorter ones are ignored as they say nothing; repeated items and rows count one by one;
 further columns are not read; an empty table of either kind gives clean texts or an empty result; texts are read whole.
 """
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, in_slices, mixed, prefix_hash, span_hash, text_buffer
 
-#: Positions that count: of 13 words with any two substituted, one of the masks has a place with all its seven words whole.
-MASKS = ("11101111", "1111010011", "110100101011")
+#: Positions that count: of 12 words or more with any fifth of them substituted, one of the masks has a place with all its seven words whole.
+MASKS = ("11101111", "1111010011", "110100101011", "110011001011", "101000111011", "1101110101", "1111100011")
 SPAN = 12
 MIN_WORDS = 13
 MIN_SHARE = 0.8
@@ -86,11 +87,12 @@ class Items:
             ok = ok[size[item[ok]] >= SPAN]
             found.append(s[ok])
             places.append(ok)
+        self.short = set()
         for i in np.flatnonzero((size >= SHORTEST) & (size < SPAN)):
-            short = seeds(self.h[self.at[i] : self.at[i + 1]], "1" * int(size[i]), 100 + int(size[i]))
-            found.append(short)
-            places.append(np.array([self.at[i]]))
-        self.short = sorted({int(x) for x in size if SHORTEST <= x < SPAN})
+            for piece in np.array_split(np.arange(self.at[i], self.at[i + 1]), int(size[i] * (1 - MIN_SHARE) + 1e-9) + 1):
+                found.append(seeds(self.h[piece], "1" * len(piece), 100 + len(piece)))
+                places.append(piece[:1])
+                self.short.add(len(piece))
         h, place = np.concatenate(found), np.concatenate(places)
         order = np.argsort(h, kind="stable")
         self.seed, self.place, self.item = h[order], place[order], item
@@ -134,6 +136,8 @@ def overlaps(items: Items, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int
     row = np.searchsorted(at, pos, side="right") - 1
     item = items.item[place]
     start = pos - (place - items.at[item])  # where the item's first word would stand
+    may = _short_enough_equal(items, h, at, row, item, start)
+    row, item, start = row[may], item[may], start[may]
     diagonals = np.unique(np.stack([row, item, start], axis=1), axis=0)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for r, i, s in diagonals.tolist():
@@ -141,13 +145,25 @@ def overlaps(items: Items, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int
         off = int(items.at[i]) - s
         equal = h[a:b] == items.h[a + off : b + off]
         need = min(MIN_WORDS, int(items.at[i + 1] - items.at[i]))
-        share = 1.0 if items.at[i + 1] - items.at[i] < SPAN else MIN_SHARE
-        n, x, same = _stretch(equal, need, share)
+        n, x, same = _stretch(equal, need, MIN_SHARE)
         if n and n > best.get((r, i), (0, 0, 0))[1]:
             best[r, i] = (a + x - int(at[r]), n, same)
     return [(r, i, *found) for (r, i), found in best.items()]
 
 
+def _short_enough_equal(items: Items, h: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """False for hits of items of fewer than SPAN words that don't stand in the row as a whole, with the share of equal words."""
+    size = items.at[item + 1] - items.at[item]
+    ok = (size >= SPAN) | ((start >= at[row]) & (start + size <= at[row + 1]))
+    short = np.flatnonzero(ok & (size < SPAN))
+    same = np.zeros(len(short), np.int64)
+    for k in range(SPAN):
+        inside = np.flatnonzero(k < size[short])
+        same[inside] += h[start[short[inside]] + k] == items.h[items.at[item[short[inside]]] + k]
+    ok[short] = same >= MIN_SHARE * size[short] - 1e-9
+    return ok
+
+
 def _stretch(equal: np.ndarray, need: int, share: float) -> tuple[int, int, int]:
     """Length, start and equal words of the longest stretch of at least ``need`` words with at least the share equal."""
     n = len(equal)
