@@ -5,10 +5,11 @@ doubles; each doubling splits the buckets that hold more keys than they may. The
 counts of 2**MAX_DEPTH hash cells, so it has at most that many entries whatever the size of the corpus, and a
 bucket that is still overfull at the last depth keeps a longer chain.
 
-The first pass over the texts counts keys. The second groups rows by bucket, hash, digest and the bytes of the
-text itself; Spark's map-side aggregation folds copies before the shuffle, so a group that holds a third of all
-rows is one row for each task. Owner tasks then take ranges of buckets, chain the texts whose hashes collide and write
-the index as Parquet into the shared folder. The third pass looks each row's entry up in the index.
+The first pass over the texts counts keys. The second groups rows by hash and the bytes of the text
+itself; Spark's map-side aggregation folds copies before the shuffle, so a group that holds a third of all
+rows is one row for each task, and picks the row that stays. Owner tasks then take ranges of buckets, chain the texts whose
+hashes collide and write the index as Parquet into the shared folder. The third pass looks each row's entry up in the index, by
+cell, bucket and hash.
 
 Defined cases: null text is empty; empty texts form a group of their own; a null doc_id comes after all others; rows
 that repeat a doc_id count one by one, and those that also repeat its text are marked alike; other columns of the input are not read, so clashing names do no harm; an empty table gives an empty result.
@@ -73,8 +74,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # At most 2**MAX_DEPTH rows of three ints, under 1 MB.
     owned = texts.join(F.broadcast(entries), "cell").drop("cell").repartitionByRange("bucket", "h")
-    chain = Window.partitionBy("h").orderBy("sha", "keep_id")
-    return written(owned.withColumn("link", F.row_number().over(chain)).withColumn("n_texts", F.count("*").over(Window.partitionBy("h", "sha"))), "index")
+    # Ranges of (bucket, h) keep equal values together, so both windows are worked where their buckets are.
+    chain = Window.partitionBy("bucket", "h").orderBy("sha", "keep_id")
+    return written(owned.withColumn("link", F.row_number().over(chain)).withColumn("n_texts", F.count("*").over(Window.partitionBy("bucket", "h", "sha"))), "index")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -86,7 +88,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = _keyed(docs, id_col, text_col).withColumn("sha", F.sha2("norm", 256))
     if not index.where("n_texts > 1").isEmpty():
         raise ValueError("two different texts have the same SHA-256")
-    found = keyed.select("doc_id", "h", "sha").join(index.select("h", "sha", "keep_id", "group_size", "bucket"), ["h", "sha"])
+    # The directory again, at most 2**MAX_DEPTH rows: a row goes from its cell to its bucket, and there to its hash.
+    entries = index.select(_cell(F.col("h")).alias("cell"), "bucket").distinct()
+    routed = keyed.select("doc_id", "h", "sha", _cell(F.col("h")).alias("cell")).join(F.broadcast(entries), "cell").drop("cell")
+    found = routed.join(index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"])
     shown = lambda c: F.nullif(c, F.lit(_NO_ID))
     return found.select(shown("doc_id").alias("doc_id"), shown("keep_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket")
 
