@@ -8,7 +8,7 @@ registered domain, that towards its suffix, and that towards the whole corpus, e
 page's own share is taken out first, so it is no evidence for itself.
 
 The trigram models are fitted on a bounded sample of labelled texts: SAMPLE of at most SAMPLE_CHARS characters for each
-language, smallest hashes first.
+language, smallest hashes first. Copies of a text count once.
 
 Defined cases: null and empty pages have flat likelihoods, so the other evidence decides; a null URL has empty host and suffix; an unknown
 or missing declaration is a value like others; without labelled texts lang and probability are null; repeated rows count each
@@ -55,11 +55,12 @@ def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     # A cut at a hash that leaves some times the sample, so ranking is over few rows even of a language of most rows.
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in own.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 3.0 * sample / n))).otherwise(share)
-    near = own.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share * 1_000_000)
+    # Copies fold within tasks before they are shuffled.
+    near = own.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["lang", "h"])
     rows = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))).where(F.col("k") <= sample).select("lang", "text").collect()
     langs = sorted({r["lang"] for r in rows})
     counts = np.full((len(langs), BUCKETS), SMOOTH_TEXT)
