@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial hashes; its inverse modulo 2**64 undoes the shift of a start offset.
@@ -70,6 +71,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text for each range of an index's keys.
+RANGE_BYTES = 32_000_000
+
+
+def ranges_for(texts: DataFrame, text_col: str) -> int:
+    """Ranges of an index over the texts: one for each RANGE_BYTES of them, and no fewer than the shuffle's partitions, so a range
+    is as large whatever the input."""
+    volume = texts.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // RANGE_BYTES))
+
+
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each 64-bit key: by order of the keys."""
+    return (((h >> U64(32)) * U64(ranges)) >> U64(32)).astype(np.int64)
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

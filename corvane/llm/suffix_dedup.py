@@ -13,10 +13,14 @@ places. Neighbouring windows with one anchor form a stretch. Three passes:
    36 on top of 64), with pointers updated in place and reused by the next step, down to classes of equal 100-byte strings.
 
 Repeated spans are stored by ranges of a document hash; the last scan of the texts looks its own rows' spans up there, so no
-text is shuffled. Identical stretches are told by two hashes of 64 bits, the anchor's and that of all their bytes.
+text is shuffled. Identical stretches are told by two independent hashes of 64 bits, the anchor's and the XXH64 of all their
+bytes. Arrays and spans are kept in ranges of their keys, and the number of ranges follows the volume of the texts.
 
-An anchor with more than HOT stretches (a short common phrase in many contexts) isn't gathered: its windows are dealt by
-a 128-bit hash of each whole window, and the first of each is found by aggregation.
+The bucket of an anchor with more than HOT stretches (a short common phrase in many contexts) is refined before it is gathered: its
+stretches are cut in two by the anchor's place, and all windows of a half share more bytes beside the anchor, which are the bucket
+identifier of a later offset. Halves that meet in it form the new buckets; those that are still hot are cut again, down to
+single places, where the identifier is the whole window. So buckets are compared as any others are, and in the last ones, whose windows are
+all alike, the first is found by aggregation over their bytes.
 
 Order is (doc_id, text hash, start). Defined cases: null text is empty; texts under 100 bytes lose nothing; rows that repeat both doc_id
 and text are one document and get equal results; rows that repeat only doc_id are ordered by text hash; long texts are cut
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, in_slices, mixed, powers, prefix_hash, shared_local_dir, span_hash, text_buffer, written
+from .common import U64, in_slices, mixed, powers, prefix_hash, range_of, ranges_for, shared_local_dir, text_buffer, written, xx64
 
 LENGTH = 100
 GRAM = 40
@@ -90,8 +94,11 @@ class Stretches:
 
     def content(self) -> np.ndarray:
         """A hash of each stretch's bytes, anchor place and size."""
-        tag = (self.place * 128 + self.count).astype(U64)
-        return mixed(span_hash(self.prefix, self.first, self.first + self.count + LENGTH - 1) + tag)
+        return _content(self.data, self.first, self.first + self.count + LENGTH - 1, self.place)
+
+
+def _content(data: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mixed(xx64(data, begin, end, 11) + place.astype(U64))
 
 
 def _parts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -107,10 +114,6 @@ def _parts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[np.ndarray, np.nd
             yield cut, np.array([0, len(cut)]), np.array([row]), np.array([base])
 
 
-def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    return (((h >> U64(32)) * U64(ranges)) >> U64(32)).astype(np.int64)
-
-
 def _heads(*keys: np.ndarray) -> np.ndarray:
     """Whether each place of sorted keys differs from the one before."""
     head = np.ones(len(keys[0]), bool)
@@ -134,9 +137,9 @@ def _count_anchors(ranges: int):
             at = np.flatnonzero(_heads(h, v))
             many = np.diff(np.append(at, len(h))) > 1
             h, v = h[at], v[at]
-            cut = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
-            keep = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-            blobs = lambda x: pa.array([x[cut[r] : cut[r + 1]].tobytes() for r in keep], pa.binary())
+            keep, edge = np.unique(range_of(h, ranges), return_index=True)
+            cut = [*edge.tolist(), len(h)]
+            blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), blobs(h), blobs(v), blobs(many)], ["r", "h", "v", "many"])
 
         for batch in in_slices(batches, "text", PART):
@@ -176,13 +179,17 @@ def _keep_repeated(folder: str):
 
 
 class Ranges:
-    """Memory-mapped arrays by range."""
+    """Memory-mapped arrays by range; the last MAPS of them stay mapped."""
+
+    MAPS = 4096
 
     def __init__(self, folder: str, ranges: int, **kinds: type) -> None:
         self.folder, self.ranges, self.kinds, self.maps = folder, ranges, kinds, {}
 
     def get(self, r: int, name: str) -> np.ndarray:
         if (r, name) not in self.maps:
+            if len(self.maps) >= self.MAPS:
+                self.maps.pop(next(iter(self.maps)))
             path = f"{self.folder}/{r:06d}.{name}"
             there = os.path.exists(path) and os.path.getsize(path)
             self.maps[r, name] = np.memmap(path, self.kinds[name], "r") if there else np.zeros(0, self.kinds[name])
@@ -192,11 +199,10 @@ class Ranges:
         """Whether each anchor is repeated, and whether its stretches differ."""
         order = np.argsort(h)
         wanted = h[order]
-        cut = np.searchsorted(_range_of(wanted, self.ranges), np.arange(self.ranges + 1))
+        present, edge = np.unique(range_of(wanted, self.ranges), return_index=True)
         found, differ = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        for r in range(self.ranges):
-            a, b = cut[r], cut[r + 1]
-            if a < b and len(keys := self.get(r, "key")):
+        for r, a, b in zip(present.tolist(), edge.tolist(), [*edge[1:].tolist(), len(h)], strict=False):
+            if len(keys := self.get(r, "key")):
                 at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
                 same = keys[at] == wanted[a:b]
                 found[order[a:b]] = same
@@ -204,7 +210,7 @@ class Ranges:
         return found, differ
 
 
-_SENT = "repeat boolean, doc_id long, tag long, start long, stop long, anchor long, v long, text binary"
+_SENT = "repeat boolean, doc_id long, tag long, start long, stop long, anchor long, v long, place int, text binary"
 _FIELDS = [x.split()[0] for x in _SENT.split(", ")]
 
 
@@ -230,11 +236,11 @@ def _send_stretches(folder: str, ranges: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            doc, tag, start, stop, anchor, v = (np.concatenate([x[k] for x in held]) for k in range(6))
+            doc, tag, start, stop, anchor, v, place = (np.concatenate([x[k] for x in held]) for k in range(7))
             texts = {}
             base = 0
             for x in held:
-                texts |= {base + k: t for k, t in x[6].items()}
+                texts |= {base + k: t for k, t in x[7].items()}
                 base += len(x[0])
             held.clear()
             order = np.lexsort((start, tag, doc, v, anchor))
@@ -245,10 +251,10 @@ def _send_stretches(folder: str, ranges: int):
             later = later[(doc[later] != doc[lead]) | (tag[later] != tag[lead]) | (start[later] != start[lead])]
             for d, g, s, e in _spans(doc[later], tag[later], start[later], stop[later]):
                 none = pa.nulls(len(d), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), bool)), pa.array(d), pa.array(g), pa.array(s), pa.array(e), none, none, pa.nulls(len(d), pa.binary())], _FIELDS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), bool)), pa.array(d), pa.array(g), pa.array(s), pa.array(e), none, none, pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary())], _FIELDS)
             for at in range(0, len(lone), 20_000):
                 x = lone[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), bool)), *(pa.array(y[x].view(np.int64)) for y in (doc, tag, start, stop, anchor, v)), pa.array([texts.get(i) for i in x.tolist()], pa.binary())], _FIELDS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), bool)), *(pa.array(y[x].view(np.int64)) for y in (doc, tag, start, stop, anchor, v)), pa.array(place[x], pa.int32()), pa.array([texts.get(i) for i in x.tolist()], pa.binary())], _FIELDS)
 
         size = 0
         for batch in in_slices(batches, "text", PART):
@@ -264,7 +270,7 @@ def _send_stretches(folder: str, ranges: int):
                 raw = found.data.tobytes()
                 texts = {k: raw[x:y] for k, x, y in zip(text.tolist(), a[text].tolist(), (a + n)[text].tolist(), strict=True)}
                 row, start = found.row[which], found.start[which]
-                held.append((doc[row], tag[row], start, start + n, found.anchor[which], found.content()[which], texts))
+                held.append((doc[row], tag[row], start, start + n, found.anchor[which], found.content()[which], found.place[which], texts))
                 size += len(which) + 2 * len(text)
             if size > KEPT:
                 yield from flush()
@@ -386,67 +392,89 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(pa.Table.from_batches(rest))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the stretches with a 128-bit hash of its bytes."""
+_BUCKET = "anchor long, v long, doc_id long, tag long, start long, stop long, place int, lo int, hi int, text binary"
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of buckets of windows with the anchor at places lo to hi, cut in two by place. All windows of a half hold the
+    bytes from its least place before the anchor to what its greatest leaves after it: with the old bucket they identify the new."""
+    names = [x.split()[0] for x in _BUCKET.split(", ")]
     for batch in batches:
-        for at in range(0, batch.num_rows, 2_000):
-            b = batch.slice(at, 2_000)
+        for at in range(0, batch.num_rows, 5_000):
+            b = batch.slice(at, 5_000)
+            col = {k: b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in names[:-1]}
             texts = b.column(b.schema.get_field_index("text")).cast(pa.large_binary())
             bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
             bounds = bounds - bounds[0]
-            n = np.diff(bounds) - LENGTH + 1
-            row = np.repeat(np.arange(len(n)), n)
-            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            a = bounds[row] + within
-            col = lambda k: b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)[row]
-            w1, w2 = (span_hash(prefix_hash(data, s), a, a + LENGTH).view(np.int64) for s in (5, 6))
-            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(col("doc_id")), pa.array(col("tag")), pa.array(col("start") + within)], ["w1", "w2", "doc_id", "tag", "start"])
+            count = np.diff(bounds) - LENGTH + 1
+            mid = (col["lo"] + col["hi"]) // 2
+            for lo, hi in ((col["lo"], mid), (mid + 1, col["hi"])):
+                # Window k of a stretch has the anchor at place - k.
+                first, last = np.maximum(col["place"] - hi, 0), np.minimum(col["place"] - lo, count - 1)
+                own = np.flatnonzero((first <= last) & (lo <= hi))
+                first, last, lo_, hi_ = first[own].astype(np.int64), last[own].astype(np.int64), lo[own], hi[own]
+                begin = bounds[own] + first
+                end = bounds[own] + last + LENGTH
+                anchor = bounds[own] + col["place"][own]
+                bucket = mixed(xx64(data, anchor - lo_, anchor + LENGTH - hi_, 13) ^ mixed(col["anchor"][own].view(U64) + (lo_ * 64 + hi_).astype(U64)))
+                place = (col["place"][own] - first).astype(np.int32)
+                raw = data.tobytes()
+                start = col["start"][own] + first
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket.view(np.int64)), pa.array(_content(data, begin, end, place).view(np.int64)), pa.array(col["doc_id"][own]), pa.array(col["tag"][own]), pa.array(start), pa.array(start + end - begin),
+                     pa.array(place), pa.array(lo_, pa.int32()), pa.array(hi_, pa.int32()), pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    columns = ["anchor", "v", "doc_id", "tag", "start", "stop", "text"]
+    return rows.select(*columns).repartition("anchor").sortWithinPartitions(*columns[:5]).mapInArrow(_meet, "doc_id long, tag long, start long, stop long")
+
+
+def _split_hot(rows: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets of at most ``hot`` rows, and the others. There is at most one hot bucket for each ``hot`` rows."""
+    many = written(rows.where("text is not null").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "hot")
+    if many.isEmpty():
+        return rows, rows.limit(0)
+    return rows.join(many, "anchor", "left_anti"), rows.join(many, "anchor", "left_semi")
 
 
 def repeated_spans(docs: DataFrame, ranges: int | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, tag, start, stop) spans of repeated bytes of docs (doc_id, tag, text); spans may overlap."""
     spark = docs.sparkSession
-    ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or ranges_for(docs, "text")
     folder = shared_local_dir(spark, "anchors")
     counted = docs.select("text").mapInArrow(_count_anchors(ranges), "r int, h binary, v binary, many binary")
     counted.groupBy("r").applyInArrow(_keep_repeated(folder), "r int, n long").agg(F.sum("n")).first()
     sent = written(docs.select("doc_id", "tag", "text").mapInArrow(_send_stretches(folder, ranges), _SENT), "stretches")
-    whole = sent.where("repeat").select("doc_id", "tag", "start", "stop")
-    lone = sent.where("not repeat")
-    # Few anchors can have more than ``hot`` stretches: at most one for each ``hot`` stretches sent.
-    common = lone.where("text is not null").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
-    common = written(common, "hot")
-    rare = lone if common.isEmpty() else lone.join(common, "anchor", "left_anti")
-    columns = ["anchor", "v", "doc_id", "tag", "start", "stop", "text"]
-    met = rare.select(*columns).repartition("anchor").sortWithinPartitions(*columns[:5]).mapInArrow(_meet, "doc_id long, tag long, start long, stop long")
-    spans = whole.unionByName(met)
-    if common.isEmpty():
+    spans = sent.where("repeat").select("doc_id", "tag", "start", "stop")
+    rare, rest = _split_hot(sent.where("not repeat"), hot)
+    spans = spans.unionByName(_gathered(rare))
+    rest = rest.withColumns({"lo": F.lit(0), "hi": F.lit(_W - 1)})
+    for _ in range((_W - 1).bit_length()):
+        if rest.isEmpty():
+            return spans
+        rest = written(rest.mapInArrow(_halved, _BUCKET), "buckets")
+        rare, rest = _split_hot(rest, hot)
+        spans = spans.unionByName(_gathered(rare))
+    if rest.isEmpty():
         return spans
-    windows = lone.join(common, "anchor", "left_semi").select("doc_id", "tag", "start", "text").mapInArrow(_windows, "w1 long, w2 long, doc_id long, tag long, start long")
-    windows = written(windows, "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"))
-    again = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "tag", "start") > F.col("first"))
-    return spans.unionByName(again.select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("stop")))
-
-
-def _key(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return mixed(mixed(doc.view(U64)) + tag.view(U64))
+    # One place each: a row is one window, and its bucket's windows are alike.
+    first = rest.groupBy("anchor", "text").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"))
+    again = rest.join(first, ["anchor", "text"]).where(F.struct("doc_id", "tag", "start") > F.col("first"))
+    return spans.unionByName(again.select("doc_id", "tag", "start", "stop"))
 
 
 def _keep_spans(folder: str):
-    """Stores a range's merged spans by document key."""
+    """Stores a range's merged spans by document."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         r = key[0].as_py()
         for d, g, s, e in _spans(*(table.column(k).to_numpy() for k in ("doc_id", "tag", "start", "stop"))):
-            keys = _key(d, g)
-            order = np.lexsort((s, keys))
-            keys, s, e = keys[order], s[order], e[order]
-            at = np.flatnonzero(_heads(keys))
-            if len(at) != int(_heads(d, g).sum()):
-                raise AssertionError("two documents have one key")
-            _store(folder, r, key=keys[at], bound=np.append(at, len(keys)).astype(np.int64), start=s, stop=e)
+            order = np.lexsort((s, g, d))
+            d, g, s, e = d[order], g[order], s[order], e[order]
+            at = np.flatnonzero(_heads(d, g))
+            _store(folder, r, doc=d[at], tag=g[at], bound=np.append(at, len(d)).astype(np.int64), start=s, stop=e)
         return pa.table({"r": pa.array([r], pa.int32()), "n": pa.array([table.num_rows], pa.int64())})
 
     return run
@@ -454,19 +482,19 @@ def _keep_spans(folder: str):
 
 def _cut(folder: str, ranges: int, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored = Ranges(folder, ranges, key=U64, bound=np.int64, start=np.int64, stop=np.int64)
+        stored = Ranges(folder, ranges, doc=np.int64, tag=np.int64, bound=np.int64, start=np.int64, stop=np.int64)
         for batch in in_slices(batches, "text", 2 * PART):
             data, offsets = text_buffer(batch.column(3))
             doc, tag, of = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            keys = _key(doc, tag)
             raw = data.tobytes()
             rows = []
             for i, r in enumerate(of.tolist()):
                 own = raw[offsets[i] : offsets[i + 1]]
-                have = stored.get(r, "key")
-                at = int(np.searchsorted(have, keys[i]))
-                if at < len(have) and have[at] == keys[i]:
-                    a, b = stored.get(r, "bound")[at : at + 2]
+                a, b = (int(np.searchsorted(stored.get(r, "doc"), doc[i], side=side)) for side in ("left", "right"))
+                tags = stored.get(r, "tag")[a:b]
+                at = int(np.searchsorted(tags, tag[i]))
+                if at < len(tags) and tags[at] == tag[i]:
+                    a, b = stored.get(r, "bound")[a + at : a + at + 2]
                     edges = [0, *np.stack([stored.get(r, "start")[a:b], stored.get(r, "stop")[a:b]], axis=1).ravel().tolist(), len(own)]
                 else:
                     edges = [0, len(own)]
@@ -483,8 +511,8 @@ def _cut(folder: str, ranges: int, with_bytes: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay; a cut may split a character)."""
     spark = docs.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    ranges = ranges_for(docs.select(text.alias("text")), "text")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     of = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(ranges)).cast("int")
     folder = shared_local_dir(spark, "spans")
