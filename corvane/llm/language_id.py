@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_slices, written
-from .html_main import blocks, edges, min_cut
+from .html_main import labelled
 from .url_filter import host_of
 
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
@@ -73,8 +73,7 @@ def page_evidence(html: str | None, logs: np.ndarray) -> tuple[str, int, np.ndar
     """Declared language ("" if none), characters of main text (else of all visible text), log-likelihoods."""
     html = html or ""
     m = _DECLARED.search(html) or _META.search(html)
-    found = blocks(html)
-    keep = min_cut([b.odds() for b in found], edges(found))
+    found, keep = labelled(html)
     text = "\n".join(b.text for b, k in zip(found, keep, strict=True) if k) or "\n".join(b.text for b in found)
     if not text:
         return (m[1].lower() if m else ""), 0, np.zeros(len(logs))
