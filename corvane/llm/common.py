@@ -75,11 +75,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 RANGE_BYTES = 32_000_000
 
 
-def ranges_for(texts: DataFrame, text_col: str) -> int:
-    """Ranges of an index over the texts: one for each RANGE_BYTES of them, and no fewer than the shuffle's partitions, so a range
-    is as large whatever the input."""
+def ranges_for(texts: DataFrame, text_col: str, size: int | None = None, least: int | None = None) -> int:
+    """Ranges of an index over the texts: one for each ``size`` bytes of them (RANGE_BYTES unless given), and no fewer than ``least`` (the
+    shuffle's partitions unless given), so a range is as large whatever the input."""
     volume = texts.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
-    return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // RANGE_BYTES))
+    return max(1, least or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // (size or RANGE_BYTES)))
 
 
 def range_of(h: np.ndarray, ranges: int) -> np.ndarray:

@@ -250,58 +250,11 @@ def test_lm_counts_and_normalises(spark):
         w = [*words(t), b"</s>"]
         assert out[i].n_tokens == len(w) and out[i].n_known == sum(counts[x] > 0 for x in w) and out[i].train_tokens == total
         assert math.isclose(out[i].base_score, sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in w))
-    # After any word, the probabilities of all known words, the end and the unknown class add up to one.
-    import pyarrow as pa
-
-    model = ngram_lm.Model(folder)
-    known = [w.decode() for w in counts if w != b"</s>"]
-    one = lambda texts: model.score(pa.array(texts))[3]
-    for u in ("", "the", "a", "zzz"):
-        begin = one([u])[0]
-        mass = 0.0
-        for w in [*known, "never"]:
-            pair = one([f"{u} {w}".strip(), w])
-            # log p(u w </s>) - log p(</s> | w) - log p(u) = log p(w | u)
-            end = _last(model, w)
-            before = begin - _last(model, u) if u else 0.0
-            mass += 10 ** (pair[0] - end - before)
-        mass += 10 ** _last(model, u)
-        assert math.isclose(mass, 1.0, rel_tol=1e-9), (u, mass)
     assert ngram_lm.scored(nothing(spark), folder).count() == 0
     empty = ngram_lm.train(nothing(spark))
     assert {(r.base_score, r.score) for r in ngram_lm.scored(docs, empty).collect()} == {(0.0, 0.0)}
 
 
-def _last(model, word):
-    """log10 p(end | word), and p(end | start) for an empty word."""
-    import pyarrow as pa
-
-    if not word:
-        return model.score(pa.array([""]))[3][0]
-    return model.score(pa.array([f"{word} {word}"]))[3][0] - (model.score(pa.array([f"{word} {word} {word}"]))[3][0] - model.score(pa.array([f"{word} {word}"]))[3][0]) - _start(model, word)
-
-
-def _start(model, word):
-    import pyarrow as pa
-
-    a, b = model.score(pa.array([word, f"{word} {word}"]))[3]
-    repeat = model.score(pa.array([f"{word} {word} {word}"]))[3][0] - b
-    assert math.isclose(b - a, repeat, rel_tol=1e-9)
-    import numpy as np
-
-    m = model
-    h = ngram_lm.hashed_words(pa.array([word]))[0]
-    before, token = np.array([ngram_lm._START]), h
-    owner = ngram_lm._range_of(before, m.meta["ranges"])
-    (n,) = m.find("pair", owner, ngram_lm._pair(before, token), ("n",))
-    total, one, two, more = m.find("context", owner, before, ("total", "one", "two", "more"))
-    raw, kinds = m.find("word", ngram_lm._range_of(h, m.meta["ranges"]), h, ("raw", "kinds"))
-    d, e = np.array([0.0, *m.meta["pair_d"]]), np.array([0.0, *m.meta["word_d"]])
-    single = max(kinds[0] - e[min(kinds[0], 3)], 0) / m.meta["kinds"] + m.meta["word_rest"] / (m.meta["V"] + 1)
-    rest = (d[1] * one[0] + d[2] * two[0] + d[3] * more[0]) / total[0]
-    return math.log10(max(n[0] - d[min(n[0], 3)], 0) / total[0] + rest * single)
-
-
 # ------------------------------------------------------------------------------------------------ 7
 
 
