@@ -23,6 +23,8 @@ class Plain:
         self.two = Counter((v, w) for _, v, w in self.three)
         self.one = Counter(w for _, w in self.two)
         self.d3, self.d2, self.d1 = (ngram_lm.discounts([list(c.values()).count(k) for k in (1, 2, 3, 4)]) for c in (self.three, self.two, self.one))
+        every = list(self.one.values())
+        self.single = {n: self.mixed(n, self.d1, every, 1 / (len(self.raw) + 1)) for n in {0, *every}}
         self.after3, self.after2 = defaultdict(list), defaultdict(list)
         for (u, v, _), n in self.three.items():
             self.after3[u, v].append(n)
@@ -33,12 +35,11 @@ class Plain:
     def mixed(n, d, after, lower):
         if not after:
             return lower
-        taken = lambda k: d[min(k, 3) - 1] if k else 0
-        return max(n - taken(n), 0) / sum(after) + sum(map(taken, after)) / sum(after) * lower
+        total, taken = sum(after), (0, *d)
+        return max(n - taken[min(n, 3)], 0) / total + sum(taken[min(k, 3)] for k in after) / total * lower
 
     def p(self, u, v, w):
-        one = self.mixed(self.one[w], self.d1, list(self.one.values()), 1 / (len(self.raw) + 1))
-        two = self.mixed(self.two[v, w], self.d2, self.after2.get(v), one)
+        two = self.mixed(self.two[v, w], self.d2, self.after2.get(v), self.single[self.one[w]])
         return self.mixed(self.three[u, v, w], self.d3, self.after3.get((u, v)), two)
 
     def score(self, text):
@@ -58,7 +59,7 @@ def test_plain_version_is_a_distribution():
 @pytest.mark.parametrize(("ranges", "wide"), [(None, 32), (1, 32), (9, 2)])
 def test_scores_are_those_of_the_plain_version(spark, sf_dir, monkeypatch, ranges, wide):
     monkeypatch.setattr(ngram_lm, "FLUSH", 20_000)  # several arrays from each task
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(150)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("n_chars < 2000").limit(60)
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "no id"), (900, None), (901, ""), (902, "the the the the"), (902, "the the the the"), (903, "word " * 3000), (904, "word " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"r": F.lit("clash"), "n": F.lit(1)}).repartition(5)
     learnt = docs.where("doc_id is null or doc_id % 3 <> 0")
