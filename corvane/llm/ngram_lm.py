@@ -30,15 +30,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, hashed_words, in_slices, mixed, range_of, ranges_for, shared_local_dir, written
 
 _END = U64(0xE7037ED1A0B428DB)
-FLUSH = 3_000_000  # tokens that a counting task holds
-SLICE = 5_000_000  # bytes of text looked up at a time
-RANGE = 16_000_000  # bytes of text for each owner
+FLUSH = 2_000_000  # tokens that a counting task holds
+SLICE = 4_000_000  # bytes of text looked up at a time
+RANGE = 12_000_000  # bytes of text for each owner
 WIDE = 32  # followers from which on a context's sums are stored
 _MANY = 255  # counts from here on stand beside the array
 
@@ -101,15 +102,24 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
     return [int(x) for x in np.bincount(np.minimum(n, 5), minlength=6)[1:5]]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """An array on its way to an owner: byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
 def _blob(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
+    out = [np.zeros(0, kind)]
+    for x in table.column(name).to_pylist():
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return np.concatenate(out)
 
 
 def _dealt(owner: np.ndarray, **arrays: np.ndarray) -> tuple[list[int], dict[str, list[bytes]]]:
     """Owners in order, and each array's part for each of them; all come sorted by owner."""
     edge = _heads(owner)
     cut = [*edge.tolist(), len(owner)]
-    return owner[edge].tolist(), {name: [x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] for name, x in arrays.items()}
+    return owner[edge].tolist(), {name: [_packed(x[a:b]) for a, b in zip(cut, cut[1:], strict=False)] for name, x in arrays.items()}
 
 
 # ------------------------------------------------------------------------------------------------ words
@@ -379,7 +389,7 @@ def train(texts: DataFrame, text_col: str = "text", ranges: int | None = None) -
     chosen = texts.select(F.col(text_col).cast("string").alias("text"))
     ranges = ranges or ranges_for(chosen, "text", RANGE, spark.sparkContext.defaultParallelism)
     folder = shared_local_dir(spark, "lm")
-    counted = chosen.mapInArrow(_count_words(ranges), "r int, h binary, n binary").groupBy("r")
+    counted = chosen.mapInArrow(_count_words(ranges), "r int, h binary, n binary").repartition(ranges, "r").groupBy("r")
     sizes = counted.applyInArrow(_keep_words(folder), "r int, size long, n long").collect()  # three numbers for each owner
     size = np.zeros(ranges, np.int64)
     for x in sizes:
@@ -388,8 +398,8 @@ def train(texts: DataFrame, text_col: str = "text", ranges: int | None = None) -
     V = int(size.sum())
     meta = {"ranges": ranges, "V": V, "N": sum(x["n"] for x in sizes), "rows": chosen.count(), "number": "uint32" if V < 2**32 - 2 else "uint64"}
     _write_meta(folder, meta)
-    sent = written(chosen.mapInArrow(_count_triples(folder), _TRIPLES).groupBy("r").applyInArrow(_merge_triples(folder), _SENT), "lm-sent")
-    shared = written(sent.where("kind = 'pair'").groupBy("r").applyInArrow(_merge_shared(folder), _SENT), "lm-shared")
+    sent = written(chosen.mapInArrow(_count_triples(folder), _TRIPLES).repartition(ranges, "r").groupBy("r").applyInArrow(_merge_triples(folder), _SENT), "lm-sent")
+    shared = written(sent.where("kind = 'pair'").repartition(ranges, "r").groupBy("r").applyInArrow(_merge_shared(folder), _SENT), "lm-shared")
     both = sent.unionByName(shared)
     # One row for each owner of a word that has several; there are at most two for each owner.
     totals: dict[int, np.ndarray] = {}
@@ -398,7 +408,7 @@ def train(texts: DataFrame, text_col: str = "text", ranges: int | None = None) -
         totals[word] = totals.get(word, 0) + np.frombuffer(x["k"], np.int64)
     words = sorted(totals)
     _store(folder, "total", 0, v=np.array(words, np.int64), stat=np.stack([totals[x] for x in words], axis=1).ravel() if words else np.zeros(0, np.int64))
-    facts = both.where("kind = 'word'").groupBy("r").applyInArrow(_keep_kinds(folder), "facts array<bigint>")
+    facts = both.where("kind = 'word'").repartition(ranges, "r").groupBy("r").applyInArrow(_keep_kinds(folder), "facts array<bigint>")
     row = facts.agg(*[F.coalesce(F.sum(F.col("facts")[k]), F.lit(0)) for k in range(6)]).first()
     cc = {x["kind"]: list(x)[1:] for x in both.where("cc is not null").groupBy("kind").agg(*[F.sum(F.col("cc")[k]) for k in range(4)]).collect()}
     d1 = discounts(row[2:6])

@@ -445,7 +445,7 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, hot: int = HOT) -
     ranges = ranges or ranges_for(docs, "text")
     folder = shared_local_dir(spark, "anchors")
     counted = docs.select("text").mapInArrow(_count_anchors(ranges), "r int, h binary, v binary, many binary")
-    counted.groupBy("r").applyInArrow(_keep_repeated(folder), "r int, n long").agg(F.sum("n")).first()
+    counted.repartition(ranges, "r").groupBy("r").applyInArrow(_keep_repeated(folder), "r int, n long").agg(F.sum("n")).first()
     sent = written(docs.select("doc_id", "tag", "text").mapInArrow(_send_stretches(folder, ranges), _SENT), "stretches")
     spans = sent.where("repeat").select("doc_id", "tag", "start", "stop")
     rare, rest = _split_hot(sent.where("not repeat"), hot)
@@ -516,7 +516,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     of = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(ranges)).cast("int")
     folder = shared_local_dir(spark, "spans")
-    repeated_spans(keyed, ranges, hot).groupBy(of.alias("r")).applyInArrow(_keep_spans(folder), "r int, n long").agg(F.sum("n")).first()
+    repeated_spans(keyed, ranges, hot).withColumn("r", of).repartition(ranges, "r").groupBy("r").applyInArrow(_keep_spans(folder), "r int, n long").agg(F.sum("n")).first()
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
     out = keyed.select("doc_id", "tag", of.alias("r"), "text").mapInArrow(_cut(folder, ranges, with_bytes), kinds)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
