@@ -5,9 +5,10 @@ bytes, with word ends) and of its beginnings (5 to 9 bytes), so unseen word form
 both directions run over each window, attention pools their states, and a text's score is that of its worst window.
 All windows of every text are scored.
 
-Training reads a bounded sample: at most MAX_TOXIC toxic and MAX_CLEAN clean labelled rows, smallest hashes of doc_id
-first, of texts of at most MAX_CHARS characters. A text's label is for its windows together: the loss is on a
-soft maximum over them. Labels, lang, source and doc_id never enter a score.
+Training reads a bounded sample: at most MAX_TOXIC toxic and MAX_CLEAN clean labelled rows of MAX_CHARS characters together, smallest
+hashes of doc_id first, whole texts of any length. A text's label is for its windows together: the loss is on a
+soft maximum over them, and of a text of more than TOP windows those TOP that score highest at the time carry it.
+Labels, lang, source and doc_id never enter a score.
 
 Defined cases: null text is empty; an empty text is one window without words; repeated rows are scored one by one; texts of any
 length are scored whole; a sample without both classes gives the share of toxic labels in it (0 without labels) as each
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, in_slices, mixed, prefix_hash, span_hash, text_buffer
+from .common import U64, in_slices, mixed, prefix_hash, span_hash, text_buffer, written, xx64
 from .decontaminate import _FOLD, _SEPARATOR
 
 WINDOW, STRIDE = 40, 30
@@ -31,7 +32,8 @@ WORD_BUCKETS, WORD_DIM = 1 << 16, 6
 #: For each group of a word's parts: buckets and dimensions.
 PARTS = {"gram": (1 << 15, 10), "head": (1 << 15, 6)}
 HIDDEN, ATTENTION = 12, 8
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2500, 6000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2500, 60_000_000
+TOP = 32
 EPOCHS, STEPS, BATCH, RATE = 5, 250, 50, 0.006
 #: Words and n-grams of fewer training texts than one for each so many toxic ones, or than two, have no vector: a text
 #: can't be learnt by heart.
@@ -57,7 +59,7 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     edge[offsets] = True
     starts = np.flatnonzero(letter & (~np.concatenate([[False], letter[:-1]]) | edge[:-1]))
     ends = np.flatnonzero(letter & (~np.concatenate([letter[1:], [False]]) | edge[1:])) + 1
-    return folded, starts, ends, span_hash(prefix_hash(folded, 4), starts, ends), np.searchsorted(starts, offsets)
+    return folded, starts, ends, xx64(folded, starts, ends, 4), np.searchsorted(starts, offsets)
 
 
 class Words:
@@ -325,8 +327,8 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
         batches = -(-len(y) // BATCH)
         for k in range(batches):
             docs = np.concatenate([a[k::batches], b[k::batches]])
-            w = np.concatenate([np.arange(at[i], at[i + 1]) for i in docs])
-            doc = np.repeat(np.arange(len(docs)), [at[i + 1] - at[i] for i in docs])
+            own = [_highest(p, words, of_word, first[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) + at[i] for i in docs]
+            w, doc = np.concatenate(own), np.repeat(np.arange(len(docs)), list(map(len, own)))
             ids = _ids(of_word, first[w], n[w], -1)
             used, local = np.unique(ids[ids >= 0], return_inverse=True)
             flat = np.full(ids.shape, len(used))
@@ -375,6 +377,21 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
     return p
 
 
+def _highest(p: dict[str, np.ndarray], words: Words, of_word: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places, in order, of the TOP windows of a text that score highest; all of a short one."""
+    if len(first) <= TOP:
+        return np.arange(len(first))
+    logits = np.empty(len(first), np.float32)
+    for k in range(0, len(first), _LANES):
+        ids = _ids(of_word, first[k : k + _LANES], n[k : k + _LANES], -1)
+        used, local = np.unique(ids[ids >= 0], return_inverse=True)
+        flat = np.full(ids.shape, len(used))
+        flat[ids >= 0] = local
+        x = inputs(p, *words.chosen(used))
+        logits[k : k + _LANES] = _pooled(p, {d: _projected(p, x, d) for d in "fb"}, flat, len(x))
+    return np.sort(np.argsort(-logits, kind="stable")[:TOP])
+
+
 def scores(p: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
     """The score of each row."""
     if "share" in p:
@@ -414,10 +431,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * most) for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     # At most 2 * (MAX_TOXIC + MAX_CLEAN) rows of two numbers.
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id")
-    sample = sample.where(F.length("text") <= MAX_CHARS)
+    sample = written(sample.select("id", "y", "text", F.length("text").alias("size")), "labelled")
     rows = []
     for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
-        rows += sample.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "text").limit(most).collect()
+        taken = sample.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "text").limit(most)
+        total = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, 0))  # of at most ``most`` rows
+        rows += taken.withColumn("total", total).where(F.col("total") <= MAX_CHARS // 2).orderBy("total", "text").select("y", "text").collect()
     return fit([r["text"] for r in rows], [r["y"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
