@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Patterns and word lists that decide results.
 TOKEN = r"\p{Nd}+(?:\.\p{Nd}+)*|[\p{L}\p{Nl}\p{No}]+"
-COUNTED = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
+COUNTED = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1C}-\x{1F}\x{85}]"
 ELISIONS = "l d j m t s n c qu jusqu lorsqu puisqu quoiqu".split()
 FRENCH = """
     a au aux avec ce ces dans de des du elle en et eux il ils je la le les leur lui ma mais
@@ -65,9 +65,9 @@ def tokens(text: Column) -> Column:
 
 def content_tokens(text: Column, language: Column) -> Column:
     """Tokens without the language's stop words; numbers always stay. Null text has none."""
-    stop = F.when(language == "fr", words_array(STOPWORDS["fr"])).otherwise(words_array(STOPWORDS["en"]))
-    kept = F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
-    return F.coalesce(kept, F.array().cast("array<string>"))
+    every = tokens(text)
+    english, french = F.filter(every, lambda t: ~t.isin(STOPWORDS["en"])), F.filter(every, lambda t: ~t.isin(STOPWORDS["fr"]))
+    return F.coalesce(F.when(language == "fr", french).otherwise(english), F.array().cast("array<string>"))
 
 
 def analyse(text: Column, language: Column) -> Column:

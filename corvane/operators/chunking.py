@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import provision_text, token_count
+from ..functions.text import provision_text, strip, token_count
 
 SEPARATOR = "\n\n"
 BREADCRUMB = " > "
@@ -28,7 +32,8 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 def windows(df: DataFrame, tokens: str, size: int, overlap: int) -> DataFrame:
     """``df`` with a row for each window of an array of tokens: order, start, tokens of the window."""
     starts = window_starts(F.size(tokens), size, overlap)
-    return df.select("*", F.posexplode(starts).alias("order", "start")).withColumn("window", F.slice(tokens, F.col("start") + 1, size))
+    each = F.transform(starts, lambda start: F.struct(start.alias("start"), F.slice(tokens, start + 1, size).alias("window")))
+    return df.select("*", F.posexplode(each).alias("order", "cut")).select(*[c for c in df.columns], "order", "cut.start", "cut.window")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
@@ -42,6 +47,65 @@ def token_offsets(texts):
     return pd.Series([[{"start": m.start(), "end": m.end()} for m in pattern.finditer(t or "")] for t in texts])
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
+def token_offsets_of_each(texts):
+    """The same for arrays of texts."""
+    import re
+
+    import pandas as pd
+
+    pattern = re.compile(r"\w+|[^\w\s]")
+    return pd.Series([[[{"start": m.start(), "end": m.end()} for m in pattern.finditer(t or "")] for t in (own if own is not None else [])] for own in texts])
+
+
+@dataclass(frozen=True)
+class TokenCounter:
+    """What a token is: the number of tokens of a text, their places, and those of each text of an array."""
+
+    count: Callable[[Column], Column]
+    offsets: Callable[[Column], Column]
+    offsets_of_each: Callable[[Column], Column]
+
+
+WORDS = TokenCounter(token_count, token_offsets, token_offsets_of_each)
+
+
+def tokenizer_counter(path: str) -> TokenCounter:
+    """Tokens of a tokenizer file that all workers can read, without special tokens; it is opened once in a worker."""
+    place = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+    def places(texts: list[str | None]) -> list[list[dict[str, int]]]:
+        found = _tokenizer(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return [[{"start": a, "end": b} for a, b in x.offsets] for x in found]
+
+    @F.pandas_udf(T.IntegerType())
+    def count(texts):
+        import pandas as pd
+
+        return pd.Series([len(x) for x in places(list(texts))])
+
+    @F.pandas_udf(place)
+    def offsets(texts):
+        import pandas as pd
+
+        return pd.Series(places(list(texts)))
+
+    @F.pandas_udf(T.ArrayType(place))
+    def offsets_of_each(texts):
+        import pandas as pd
+
+        return pd.Series([places(list(own) if own is not None else []) for own in texts])
+
+    return TokenCounter(count, offsets, offsets_of_each)
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def rendered(provisions: DataFrame) -> DataFrame:
     """Per document: text (texts of its provisions joined by blank lines) and spans (start, end, provision_id)."""
     own = provisions.select("document_id", "source_id", "language", "ord", "provision_id", provision_text(F.col("paragraphs")).alias("text")).where("text <> ''")
@@ -64,22 +128,27 @@ def overlap_join(windows: DataFrame, spans: DataFrame, on: str) -> DataFrame:
     return windows.join(spans, (windows[on] == spans[on]) & (spans["s"] < windows["b"]) & (windows["a"] < spans["e"])).drop(spans[on])
 
 
-def fixed_chunks(provisions: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+def fixed_chunks(provisions: DataFrame, size: int = 512, overlap: int = 64, counter: TokenCounter = WORDS) -> DataFrame:
     """Sliding windows over whole documents; places come from token offsets, so repeated text is never mislocated."""
-    docs = rendered(provisions).withColumn("offsets", token_offsets("text"))
-    each = windows(docs, "offsets", size, overlap)
-    first, last = F.element_at("window", 1)["start"], F.element_at("window", -1)["end"]
-    cut = each.withColumn("from", first).withColumn("to", last)
-    return cut.select(
+    docs = rendered(provisions).withColumn("offsets", counter.offsets(F.col("text")))
+
+    def cut(start: Column) -> Column:
+        own = F.slice("offsets", start + 1, size)
+        a, b = F.element_at(own, 1)["start"], F.element_at(own, -1)["end"]
+        return F.struct(F.substring("text", a + 1, b - a).alias("text"), F.size(own).alias("token_count"), overlapping(F.col("spans"), a, b).alias("provision_ids"))
+
+    # A window is made as a small struct, so no row holds the whole text beside it.
+    each = docs.select("document_id", "source_id", "language", F.posexplode(F.transform(window_starts(F.size("offsets"), size, overlap), cut)).alias("order", "cut"))
+    return each.select(
         chunk_id(F.col("document_id"), F.lit("fixed"), F.col("order")).alias("chunk_id"), "document_id", "source_id", "language", F.lit("fixed").alias("strategy"), F.col("order").alias("ord"), F.lit("").alias("header"),
-        F.substring("text", F.col("from") + 1, F.col("to") - F.col("from")).alias("text"), F.size("window").alias("token_count"), overlapping(F.col("spans"), F.col("from"), F.col("to")).alias("provision_ids"),
+        "cut.text", "cut.token_count", "cut.provision_ids",
     )
 
 
-def packed(pieces: Column, sizes: Column, budget: Column, least: int) -> Column:
+def packed(pieces: Column, sizes: Column, budget: Column, least: int, alone: Column | None = None) -> Column:
     """Greedy packing of pieces into bodies (text, n): a fold over the pieces, then the short tail joins its neighbour.
 
-    A piece over the budget must have been cut before (``windowed``). A tail under ``least`` tokens is merged if the two
+    A piece over the budget, or flagged ``alone``, is a body of its own. A tail under ``least`` tokens is merged if the two
     have at most budget + least together. Token counts add up over line ends.
     """
     kind = "struct<bodies:array<struct<text:string,n:int>>,text:string,n:int>"
@@ -103,66 +172,51 @@ def packed(pieces: Column, sizes: Column, budget: Column, least: int) -> Column:
         merged = F.struct(F.concat(before["text"], F.lit("\n"), tail["text"]).alias("text"), (before["n"] + tail["n"]).alias("n"))
         return F.when(short, F.concat(F.slice(bodies, 1, F.greatest(n - 2, F.lit(0))), F.array(merged))).otherwise(bodies)
 
-    zipped = F.transform(F.arrays_zip(pieces.alias("p"), sizes.alias("n")), lambda z: F.struct(z["p"].alias("text"), z["n"].alias("n"), (z["n"] > budget).alias("alone")))
+    flags = F.transform(sizes, lambda n: n > budget) if alone is None else alone
+    zipped = F.transform(F.arrays_zip(pieces.alias("p"), sizes.alias("n"), flags.alias("a")), lambda z: F.struct(z["p"].alias("text"), z["n"].alias("n"), z["a"].alias("alone")))
     return F.when(F.size(pieces) > 0, F.aggregate(zipped, zero, merge, finish)).otherwise(F.array().cast("array<struct<text:string,n:int>>"))
 
 
-def structural_chunks(provisions: DataFrame, size: int = 512, least: int = 48) -> DataFrame:
+def piece_windows(pieces: Column, offsets: Column, budget: Column) -> Column:
+    """Pieces (text, n, alone) that fit the budget: those over it are cut into windows, which stay alone."""
+
+    def cut(z: Column) -> Column:
+        text, places = z["p"], z["o"]
+        n = F.size(places)
+
+        def window(k: Column) -> Column:
+            own = F.slice(places, k * budget + 1, budget)
+            a, b = F.element_at(own, 1)["start"], F.element_at(own, -1)["end"]
+            return F.struct(F.substring(text, a + 1, b - a).alias("text"), F.size(own).alias("n"), F.lit(True).alias("alone"))
+
+        whole = F.array(F.struct(text.alias("text"), n.alias("n"), F.lit(False).alias("alone")))
+        return F.when(n > budget, F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / budget).cast("int") - 1, F.lit(0))), window)).otherwise(whole)
+
+    return F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), offsets.alias("o")), cut))
+
+
+def structural_chunks(provisions: DataFrame, size: int = 512, least: int = 48, counter: TokenCounter = WORDS) -> DataFrame:
     """One chunk for each provision that fits; else packed paragraphs, with windows of paragraphs that are too long."""
     header = F.array_join("breadcrumb", BREADCRUMB)
     own = provisions.select("*", header.alias("header"), provision_text(F.col("paragraphs")).alias("whole")).where("whole <> ''")
-    own = own.withColumn("budget", F.greatest(F.lit(1), F.lit(size) - token_count(F.col("header")))).withColumn("n", token_count(F.col("whole")))
-    bodies = _bodies("whole", "paragraphs", "n", "budget", F.lit(least))
-    cut = own.select("*", F.posexplode(bodies).alias("part", "body"))
+    own = own.withColumn("budget", F.greatest(F.lit(1), F.lit(size) - counter.count(F.col("header")))).withColumn("n", counter.count(F.col("whole")))
+    line = F.transform("paragraphs", lambda p: F.when(F.coalesce(p["label"], F.lit("")) == "", p["text"]).otherwise(F.concat(p["label"], F.lit(" "), p["text"])))
+    own = own.withColumn("lines", F.when(F.col("n") > F.col("budget"), F.filter(line, lambda x: strip(x) != "")).otherwise(F.array().cast("array<string>")))
+    own = own.withColumn("offsets", counter.offsets_of_each(F.col("lines"))).withColumn("pieces", piece_windows(F.col("lines"), F.col("offsets"), F.col("budget")))
+    field = lambda name: F.transform("pieces", lambda x: x[name])
+    bodies = F.transform(packed(field("text"), field("n"), F.col("budget"), least, field("alone")), lambda x: x["text"])
+    cut = own.withColumn("bodies", F.when(F.col("n") > F.col("budget"), bodies).otherwise(F.array("whole"))).select("document_id", "source_id", "language", "provision_id", "ord", "header", F.posexplode("bodies").alias("part", "body"))
     order = F.row_number().over(Window.partitionBy("document_id").orderBy("ord", "provision_id", "part")) - 1
     cut = cut.withColumn("order", order)
     return cut.select(
         chunk_id(F.col("document_id"), F.lit("structural"), F.col("order")).alias("chunk_id"), "document_id", "source_id", "language", F.lit("structural").alias("strategy"), F.col("order").alias("ord"), "header",
-        F.col("body").alias("text"), token_count(F.col("body")).alias("token_count"), F.array("provision_id").alias("provision_ids"),
+        F.col("body").alias("text"), counter.count(F.col("body")).alias("token_count"), F.array("provision_id").alias("provision_ids"),
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _bodies(whole, paragraphs, n, budget, least):
-    """Bodies of provisions; only those over their budget are packed."""
-    import re
-
-    import pandas as pd
-
-    token = re.compile(r"\w+|[^\w\s]")
-
-    def one(text: str, parts: list, count: int, most: int, short: int) -> list[str]:
-        if count <= most:
-            return [text]
-        out: list[tuple[str, int]] = []
-        held: list[str] = []
-        size = 0
-        for p in parts:
-            piece = f"{p['label']} {p['text']}" if p["label"] else p["text"]
-            places = [m.span() for m in token.finditer(piece)]
-            if not piece.strip():
-                continue
-            if held and (len(places) > most or size + len(places) > most):
-                out.append(("\n".join(held), size))
-                held, size = [], 0
-            if len(places) > most:
-                out += [(piece[w[0][0] : w[-1][1]], len(w)) for w in (places[k : k + most] for k in range(0, len(places), most))]
-            else:
-                held.append(piece)
-                size += len(places)
-        if held:
-            out.append(("\n".join(held), size))
-        if len(out) > 1 and out[-1][1] < short and out[-2][1] + out[-1][1] <= most + short:
-            tail = out.pop()
-            out[-1] = (f"{out[-1][0]}\n{tail[0]}", out[-1][1] + tail[1])
-        return [t for t, _ in out]
-
-    return pd.Series([one(*x) for x in zip(whole, paragraphs, n, budget, least, strict=True)])
-
-
-def chunk(provisions: DataFrame, strategy: str = "structural", size: int = 512, overlap: int = 64, least: int = 48) -> DataFrame:
+def chunk(provisions: DataFrame, strategy: str = "structural", size: int = 512, overlap: int = 64, least: int = 48, counter: TokenCounter = WORDS) -> DataFrame:
     if strategy == "fixed":
-        return fixed_chunks(provisions, size, overlap)
+        return fixed_chunks(provisions, size, overlap, counter)
     if strategy == "structural":
-        return structural_chunks(provisions, size, least)
+        return structural_chunks(provisions, size, least, counter)
     raise ValueError(f"unknown strategy {strategy!r}: fixed or structural")

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 
 
+#: Asked terms that are listed in a filter, so that scans of stored postings skip what they don't hold; more are joined.
+LISTED = 5_000
+#: Asked terms that are broadcast; more are joined by a shuffle.
+SENT = 1_000_000
+
+
 @dataclass(frozen=True)
 class Lexical:
-    """postings (id, term, tf), stats (id, len), terms (term, df), totals (n, avgdl), all with the columns ``by``: an index
+    """postings (id, term, tf, len), stats (id, len), terms (term, df), totals (n, avgdl), all with the columns ``by``: an index
     for each of their values, such as a language."""
 
     postings: DataFrame
@@ -21,11 +27,30 @@ class Lexical:
     by: tuple[str, ...] = ()
 
 
-def build(docs: DataFrame, id_col: str, tokens_col: str, by: tuple[str, ...] = ()) -> Lexical:
-    """Index of documents with an array of tokens. Documents without tokens count for n and avgdl."""
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """Distinct terms of queries (tokens)."""
+    return queries.select(F.explode("tokens").alias("term")).distinct()
+
+
+def only(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows whose term is one of the asked: by a filter that scans can use, a broadcast, or a join, by their number."""
+    some = [r["term"] for r in asked.limit(LISTED + 1).collect()]
+    if len(some) <= LISTED:
+        return rows.where(F.col("term").isin(some))
+    return rows.join(F.broadcast(asked) if asked.limit(SENT + 1).count() <= SENT else asked, "term", "left_semi")
+
+
+def build(docs: DataFrame, id_col: str, tokens_col: str, by: tuple[str, ...] = (), asked: DataFrame | None = None) -> Lexical:
+    """Index of documents with an array of tokens. Documents without tokens count for n and avgdl. With ``asked`` (term) it
+    holds only those terms, which are sifted before anything is grouped."""
     own = docs.select(F.col(id_col).alias("id"), *by, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias("tokens"))
-    stats = own.select("id", *by, F.size("tokens").alias("len"))
-    postings = own.select("id", *by, F.explode("tokens").alias("term")).groupBy("id", *by, "term").agg(F.count("*").alias("tf"))
+    each = own.select("id", *by, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    postings = (each if asked is None else only(each, asked)).groupBy("id", *by, "len", "term").agg(F.count("*").alias("tf"))
+    return of(postings, own.select("id", *by, F.size("tokens").alias("len")), by)
+
+
+def of(postings: DataFrame, stats: DataFrame, by: tuple[str, ...] = ()) -> Lexical:
+    """The index of postings (id, by, len, term, tf) and the lengths of all documents (id, by, len)."""
     terms = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
     totals = stats.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
     return Lexical(postings, stats, terms, totals, by)
@@ -52,7 +77,7 @@ def search(index: Lexical, queries: DataFrame, k: int, k1: float = 1.5, b: float
     asked = queries.select("qid", *index.by, F.explode("tokens").alias("term")).groupBy("qid", *index.by, "term").agg(F.count("*").alias("times"))
     on = [*index.by, "term"]
     weighted = _with_totals(asked.join(index.terms, on), index).select("qid", *on, "times", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    hits = index.postings.join(weighted, on).join(index.stats, ["id", *index.by])
+    hits = index.postings.join(weighted, on)
     ratio = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("len") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
     return best(hits.groupBy("qid", "id").agg(F.round(F.sum(part), digits).alias("score")), k)

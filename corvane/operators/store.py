@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,8 +90,17 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+BUCKETS = 64
+
+
 class Tables:
-    """Parquet tables below a folder; replacing a key rewrites only its partitions."""
+    """Parquet tables below a folder, with one catalog file that says which folders are current.
+
+    Keyed tables are kept in BUCKETS buckets by a hash of their key column. Replacing keys writes the buckets they fall into
+    anew, without the keys' old rows, into fresh folders; then the catalog is replaced by one rename, for all tables of
+    a call at once. A reader sees all of a replacement or nothing of it, a failed one leaves only folders that nobody names, and
+    other buckets are neither read nor written. ``vacuum`` removes folders that are no longer current.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -97,20 +108,94 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def read(self, name: str, schema: T.StructType) -> DataFrame:
-        """The table, or no rows if it doesn't exist yet."""
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(self.folder).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if "://" in self.folder or self.folder.startswith("file:") else self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return context, path
+
+    def catalog(self) -> dict[str, dict[str, list[str]]]:
+        """Folders of each table by bucket; those of tables without a key are all in bucket ""."""
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.schema(schema).parquet(self.path(name))
+            rows = self.spark.read.text(self.path("catalog.json"), wholetext=True).collect()
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return {}
+        return json.loads(rows[0]["value"])
+
+    def _commit(self, catalog: dict[str, dict[str, list[str]]]) -> None:
+        context, path = self._fs()
+        new = self.path(f"catalog-{uuid.uuid4().hex}.json")
+        jvm = self.spark._jvm
+        flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.CreateOpts.createParent()
+        out = context.create(path(new), flags, options)
+        out.write(json.dumps(catalog, sort_keys=True).encode())
+        out.close()
+        renames = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(path(new), path(self.path("catalog.json")), renames)
 
-    def replace_partitions(self, name: str, df: DataFrame, by: list[str]) -> None:
-        """Partitions that ``df`` has are replaced, others stay."""
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(self.path(name))
+    def read(self, name: str, schema: T.StructType) -> DataFrame:
+        """The table, or no rows if it doesn't exist yet."""
+        return self._read(self.catalog().get(name, {}), schema)
+
+    def _read(self, buckets: dict[str, list[str]], schema: T.StructType) -> DataFrame:
+        paths = [self.path(p) for own in buckets.values() for p in own]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def replace(self, keys: DataFrame, column: str, new: dict[str, tuple[DataFrame, T.StructType, dict[str, str]]]) -> None:
+        """In each table of ``new`` (rows, schema, scope), rows of the ``keys`` (one column) go, and those of ``new`` come: keys
+        without new rows are deleted. With a scope (column: value), only old rows that have it go."""
+        catalog = self.catalog()
+        bucket = F.pmod(F.xxhash64(F.col(column)), F.lit(BUCKETS)).cast("string")
+        keys = keys.select(column).distinct()
+        touched = sorted(r[0] for r in keys.select(bucket).distinct().collect())  # at most BUCKETS
+        version = uuid.uuid4().hex
+        for name, (rows, schema, scope) in new.items():
+            had = catalog.get(name, {})
+            old = self._read({b: had[b] for b in touched if b in had}, schema)
+            goes = old.join(keys.withColumn("__goes", F.lit(True)), column, "left").withColumn("__goes", F.coalesce("__goes", F.lit(False)) & reduce(Column.__and__, [F.col(k).eqNullSafe(v) for k, v in scope.items()], F.lit(True)))
+            kept = goes.where(~F.col("__goes")).select(*schema.fieldNames())
+            out = f"{name}/{version}"
+            sort = [c for c in ("term", column) if c in schema.fieldNames()]
+            both = kept.unionByName(rows.select(*schema.fieldNames())).withColumn("bucket", bucket)
+            both.repartition("bucket").sortWithinPartitions("bucket", *sort).write.partitionBy("bucket").parquet(self.path(out))
+            context, path = self._fs()
+            made = {b for b in touched if context.util().exists(path(self.path(f"{out}/bucket={b}")))}
+            catalog[name] = {b: p for b, p in had.items() if b not in touched} | {b: [f"{out}/bucket={b}"] for b in made}
+        self._commit(catalog)
 
     def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(self.path(name))
+        own = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path(own))
+        catalog = self.catalog()
+        catalog.setdefault(name, {}).setdefault("", []).append(own)
+        self._commit(catalog)
+
+    def overwrite(self, name: str, df: DataFrame, part: str = "") -> None:
+        """The table's ``part`` becomes ``df``."""
+        own = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path(own))
+        catalog = self.catalog()
+        catalog.setdefault(name, {})[part] = [own]
+        self._commit(catalog)
+
+    def count(self, name: str, schema: T.StructType, **values: object) -> int:
+        """Rows of a table that equal every value that isn't None."""
+        return where_given(self.read(name, schema), **values).count()
+
+    def vacuum(self) -> int:
+        """Deletes folders that the catalog doesn't name; their number. Not while others read or write."""
+        context, path = self._fs()
+        catalog = self.catalog()
+        named = {p.split("/")[1] for buckets in catalog.values() for own in buckets.values() for p in own}
+        gone = 0
+        for name in catalog:
+            for status in context.util().listStatus(path(self.path(name))):
+                if status.getPath().getName() not in named:
+                    gone += bool(context.delete(status.getPath(), True))
+        return gone

@@ -11,18 +11,26 @@ from ..config import CONFIGURATIONS, Settings
 from ..functions.text import analyse, detect_language, embedding_text
 from ..functions.vectors import hashing_embedding
 from ..operators import answers, evaluation, lexical, retrieval, store
-from ..operators.chunking import chunk
-from ..schemas import CHUNK_EMBEDDINGS, CHUNKS, DOCUMENTS, EMBEDDING_CACHE, PROVISIONS
+from ..operators.chunking import WORDS, TokenCounter, chunk
+from ..schemas import CHUNK_EMBEDDINGS, CHUNKS, DOCUMENTS, EMBEDDING_CACHE, LENGTHS, POSTINGS, PROVISIONS
 
 
-def ingest(tables: store.Tables, documents: DataFrame, provisions: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Stores documents, provisions and chunks, replacing those of the same document (chunks: and strategy); the report."""
+def ingest(tables: store.Tables, documents: DataFrame, provisions: DataFrame, settings: Settings | None = None, counter: TokenCounter = WORDS) -> DataFrame:
+    """Stores documents, provisions, chunks and the chunks' postings, replacing those of the same document (of chunks and postings:
+    of the same strategy); the report. All tables change at once, and what a document no longer has is deleted."""
     settings = settings or Settings()
-    # Written by document, so replacing one rewrites only its own folder.
-    tables.replace_partitions("documents", documents.select(*DOCUMENTS.fieldNames()), ["document_id"])
-    tables.replace_partitions("provisions", provisions.select(*PROVISIONS.fieldNames()), ["document_id"])
-    cut = chunk(provisions, settings.chunk_strategy, settings.chunk_max_tokens, settings.chunk_overlap_tokens, settings.chunk_min_tokens)
-    tables.replace_partitions("chunks", cut.select(*CHUNKS.fieldNames()), ["strategy", "document_id"])
+    cut = chunk(provisions, settings.chunk_strategy, settings.chunk_max_tokens, settings.chunk_overlap_tokens, settings.chunk_min_tokens, counter).select(*CHUNKS.fieldNames()).persist()
+    tokens = cut.select("document_id", "strategy", "language", F.col("chunk_id").alias("id"), analyse(embedding_text(F.col("header"), F.col("text")), F.col("language")).alias("tokens")).withColumn("len", F.size("tokens")).persist()
+    keys = ["document_id", "strategy", "language", "id", "len"]
+    postings = tokens.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    own = {"strategy": settings.chunk_strategy}
+    try:
+        tables.replace(documents, "document_id", {
+            "documents": (documents, DOCUMENTS, {}), "provisions": (provisions, PROVISIONS, {}), "chunks": (cut, CHUNKS, own), "postings": (postings, POSTINGS, own), "lengths": (tokens, LENGTHS, own),
+        })
+    finally:
+        tokens.unpersist()
+        cut.unpersist()
     stored = tables.read("chunks", CHUNKS).join(documents.select("document_id"), "document_id", "left_semi").where(F.col("strategy") == settings.chunk_strategy)
     return store.ingest_report(documents, provisions, stored)
 
@@ -35,7 +43,7 @@ def index(tables: store.Tables, embed: Callable[[Column], Column] = hashing_embe
     fresh = store.pending(hashes.select("text_sha256", F.col("embedding_text").alias("text")), cache, model)
     tables.append("embedding_cache", store.embedded(fresh, embed, model, dimensions))
     links = hashes.select("chunk_id", F.lit(model).alias("model"), "text_sha256")
-    links.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(tables.path("chunk_embeddings"))
+    tables.overwrite("chunk_embeddings", links, model)
     return tables.spark.createDataFrame(report)
 
 
@@ -46,9 +54,7 @@ class Searcher:
         self.settings, self.embed = settings or Settings(), embed
         chunks = store.where_given(tables.read("chunks", CHUNKS), strategy=self.settings.chunk_strategy)
         self.chunks = chunks.withColumn("id", F.col("chunk_id"))
-        text = embedding_text(F.col("header"), F.col("text"))
-        analysed = self.chunks.select("id", "language", analyse(text, F.col("language")).alias("tokens"))
-        self.lexical = lexical.build(analysed, "id", "tokens", by=("language",))
+        self.postings, self.lengths = (store.where_given(tables.read(name, schema), strategy=self.settings.chunk_strategy) for name, schema in (("postings", POSTINGS), ("lengths", LENGTHS)))
         cache, links = tables.read("embedding_cache", EMBEDDING_CACHE), tables.read("chunk_embeddings", CHUNK_EMBEDDINGS)
         self.vectors = store.vector_matrix(links, cache, chunks, model).withColumnRenamed("chunk_id", "id")
 
@@ -58,8 +64,14 @@ class Searcher:
         own = queries.withColumn("language", language)
         return own.withColumns({"tokens": analyse(F.col("text"), F.col("language")), "vector": self.embed(F.col("text"))})
 
+    def lexical(self, asked: DataFrame) -> lexical.Lexical:
+        """The stored index's part for the questions' terms: other postings aren't read."""
+        own = lexical.only(self.postings.select("id", "language", "len", "term", "tf"), lexical.asked_terms(asked))
+        return lexical.of(own, self.lengths.select("id", "language", "len"), ("language",))
+
     def search(self, queries: DataFrame, signals: tuple[str, ...] | None = None, weights: Mapping[str, float] | None = None, sources: list[str] | None = None, limit: int | None = None) -> DataFrame:
-        hits = retrieval.search(self.questions(queries), self.chunks, self.lexical, self.vectors, self.settings, signals, weights, sources, limit, same=("language",))
+        asked = self.questions(queries)
+        hits = retrieval.search(asked, self.chunks, self.lexical(asked) if "bm25" in (signals or self.settings.signals) else None, self.vectors, self.settings, signals, weights, sources, limit, same=("language",))
         return hits.join(self.chunks.select("id", "header", "text"), "id")
 
     def answer(self, queries: DataFrame, complete: Callable[[Column, Column], Column], **more) -> DataFrame:
@@ -69,7 +81,7 @@ class Searcher:
     def evaluate(self, cases: DataFrame, limit: int = 5, configurations: Mapping[str, Mapping[str, float]] = CONFIGURATIONS) -> DataFrame:
         """Scores of every configuration on cases (id, question, language, expected_provisions, ord), in one plan."""
         asked = self.questions(cases.select(F.col("id").alias("qid"), F.col("question").alias("text"), "language"))
-        hits = retrieval.compare(asked, self.chunks, self.lexical, self.vectors, self.settings, limit, configurations, same=("language",))
+        hits = retrieval.compare(asked, self.chunks, self.lexical(asked), self.vectors, self.settings, limit, configurations, same=("language",))
         lists = hits.groupBy("config", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "provision_ids"))), lambda x: x["provision_ids"]).alias("retrieved"))
         names = cases.sparkSession.createDataFrame([(c,) for c in configurations], "config string")
         every = cases.select("id", "ord", F.col("expected_provisions").alias("expected")).crossJoin(F.broadcast(names))

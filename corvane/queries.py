@@ -209,7 +209,7 @@ _BM25 = f"""
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.col("text")).alias("tokens"))
-    return lexical.search(lexical.build(docs, "doc_id", "tokens"), asked, k)
+    return lexical.search(lexical.build(docs, "doc_id", "tokens", asked=lexical.asked_terms(asked)), asked, k)
 
 
 @query(f"WITH {_BM25} SELECT qid, id, score, position FROM bm WHERE position <= 10")
@@ -306,7 +306,7 @@ def _search_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), question.alias("text"))
     asked = items.join(vectors.withColumnRenamed("id", "qid"), "qid", "left").withColumn("language", T.detect_language(F.col("text"))).withColumn("tokens", T.content_tokens(F.col("text"), F.col("language")))
     own = chunks.select("id", "language", T.content_tokens(F.col("text"), F.col("language")).alias("tokens"))
-    return asked, chunks, lexical.build(own, "id", "tokens", by=("language",)), vectors
+    return asked, chunks, lexical.build(own, "id", "tokens", by=("language",), asked=lexical.asked_terms(asked)), vectors
 
 
 _SEARCH = f"""

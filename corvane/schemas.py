@@ -22,6 +22,8 @@ PARAGRAPH = struct(label=S, text=S)
 PROVISIONS = struct(provision_id=S, document_id=S, source_id=S, language=S, kind=S, number=S, title=S, breadcrumb=T.ArrayType(S), paragraphs=T.ArrayType(PARAGRAPH), ord=I)
 DOCUMENTS = struct(document_id=S, source_id=S, language=S, title=S, url=S, sha256=S, fetched_at=TS)
 CHUNKS = struct(chunk_id=S, document_id=S, source_id=S, language=S, strategy=S, ord=I, header=S, text=S, token_count=I, provision_ids=T.ArrayType(S))
+POSTINGS = struct(document_id=S, strategy=S, language=S, id=S, term=S, tf=L, len=I)
+LENGTHS = struct(document_id=S, strategy=S, language=S, id=S, len=I)
 EMBEDDING_CACHE = struct(text_sha256=S, model=S, dimensions=I, vector=T.ArrayType(T.FloatType()))
 CHUNK_EMBEDDINGS = struct(chunk_id=S, model=S, text_sha256=S)
 SOURCES = struct(id=S, title=S, short_title=S, format=S, languages=T.ArrayType(S), license=S, attribution=S, celex=S, urls=T.MapType(S, S))

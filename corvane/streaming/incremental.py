@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,23 +29,29 @@ def embed_new(stream: DataFrame, tables: Tables, embed, model: str, dimensions:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_STATE = "turns long, messages array<string>, provisions array<string>, last_answer string"
+_STATE = "turns array<long>, roles array<string>, texts array<string>, provisions array<string>"
 
 
 def thread_states(stream: DataFrame) -> DataFrame:
-    """Running state of each thread of messages (thread_id, turn, role, text, provisions): lists are appended to, in order
-    of turn within a batch; the last answer is that of the latest assistant message."""
+    """Running state of each thread of messages (thread_id, turn, role, text, provisions): lists in order of turn whatever the
+    order of arrival (equal turns: of arrival), provisions by their first mention, the last answer that of the assistant's latest turn.
+
+    A thread's messages are its state, as they are what a model call sends at once; a null list of provisions is empty.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns, messages, provisions, last = state.get if state.exists else (0, [], [], None)
-        messages, provisions = list(messages), list(provisions)
-        rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
-        for r in rows.itertuples():
-            messages.append(r.text)
-            provisions += [p for p in (r.provisions if r.provisions is not None else []) if p not in provisions]
-            last = r.text if r.role == "assistant" else last
-        state.update((turns + len(rows), messages, provisions, last))
-        yield pd.DataFrame([{"thread_id": key[0], "turns": turns + len(rows), "messages": messages, "provisions": provisions, "last_answer": last}])
+        held = [list(x) for x in state.get] if state.exists else [[], [], [], []]
+        for r in pd.concat(list(frames)).itertuples():
+            own = [] if r.provisions is None else [str(p) for p in r.provisions]
+            for values, x in zip(held, (int(r.turn), r.role, r.text, json.dumps(own)), strict=True):
+                values.append(x)
+        order = sorted(range(len(held[0])), key=held[0].__getitem__)
+        held = [[values[k] for k in order] for values in held]
+        state.update(tuple(held))
+        turns, roles, texts, provisions = held
+        said = [t for role, t in zip(roles, texts, strict=True) if role == "assistant"]
+        seen = list(dict.fromkeys(p for own in provisions for p in json.loads(own)))
+        yield pd.DataFrame([{"thread_id": key[0], "turns": len(turns), "messages": texts, "provisions": seen, "last_answer": said[-1] if said else None}])
 
     return stream.groupBy("thread_id").applyInPandasWithState(update, THREAD_STATE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
