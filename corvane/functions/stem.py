@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 _VOWELS = "aeiouy"
 #: Words with a stem of their own, and those that end early.
 _IRREGULAR = {
-    "skis": "ski", "skies": "sky", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
     **dict.fromkeys("sky news howe atlas cosmos bias andes".split()),
 }
 _STOP_EARLY = set("inning outing canning herring earring proceed exceed succeed".split())

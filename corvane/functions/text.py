@@ -81,6 +81,11 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, _FROM, _TO)
 
 
+def folded(text: Column) -> Column:
+    """Lower case for comparisons: also of letters whose lower case is no single letter or has two forms."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+
+
 def detect_language(text: Column) -> Column:
     """``fr`` by accents, then by marker words, then by more distinct stop words; else ``en``."""
     words = F.array_distinct(F.transform(F.regexp_extract_all(straight(text), F.lit(TOKEN), F.lit(0)), lambda w: strip_accents(F.lower(w))))

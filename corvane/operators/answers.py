@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_json, digest, strip
+from ..functions.text import canonical_json, digest, folded, strip
 from ..schemas import ANSWER, ROUTE_DECISION, ROUTES
 
 #: Fixed texts for runs without an answer.
@@ -57,6 +57,22 @@ def answered(questions: DataFrame, hits: DataFrame, complete: Callable[[Column,
     return got.select("qid", "language", F.when(~abstained, F.col("a.answer")).otherwise(_said(NOT_COVERED)).alias("answer"), F.when(~abstained, F.col("valid")).otherwise(F.array().cast("array<string>")).alias("citations"), "invalid", abstained.alias("abstained"))
 
 
+def extractive(question: Column, context: Column) -> Column:
+    """A completion without a model: the first passage, cited by its first id. It has the shape of one for tests and offline runs."""
+    first = F.split_part(context, F.lit("\n\n["), F.lit(1))
+    return F.to_json(F.struct(F.regexp_replace(first, r"^[^\n]*\n", "").alias("answer"), F.array(F.regexp_extract(first, r"^\[([^,\]]*)", 1)).alias("citations"), F.lit(False).alias("abstained")))
+
+
+def telemetry(answers: DataFrame, model: str) -> DataFrame:
+    """Audit rows (``schemas.AUDIT``) of answers (qid, answer, citations, invalid, abstained): one for each, however it ended."""
+    ended = F.when(F.col("abstained"), "abstained").when(F.size("invalid") > 0, "with dropped citations").otherwise("answered")
+    facts = {"model": F.lit(model), "ended": ended, "citations": F.size("citations").cast("string"), "invalid": F.size("invalid").cast("string")}
+    return answers.select(
+        F.col("qid").cast("string").alias("trace_id"), F.lit(None).cast("string").alias("parent"), F.lit("answer").alias("name"), F.lit("generation").alias("type"), F.lit(None).cast("string").alias("input"),
+        F.col("answer").alias("output"), F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)]).alias("metadata"), F.lit(0.0).alias("cost_usd"),
+    )
+
+
 def _said(texts: dict[str, str]) -> Column:
     return F.when(F.col("language") == "fr", texts["fr"]).otherwise(texts["en"])
 
@@ -72,7 +88,7 @@ def definitions(provisions: DataFrame, terms: DataFrame, provision_ids: list[str
     own = provisions if provision_ids is None else provisions.where(F.col("provision_id").isin(provision_ids))
     each = own.select("provision_id", "ord", F.posexplode("paragraphs").alias("at", "p")).select("provision_id", "ord", "at", "p.*")
     # The terms asked for are a batch of questions' arguments; each task streams its paragraphs past them.
-    met = each.join(F.broadcast(terms.select("term").distinct()), F.contains(F.lower("text"), F.lower("term")))
+    met = each.join(F.broadcast(terms.select("term").distinct()), F.contains(folded(F.col("text")), folded(F.col("term"))))
     seq = F.row_number().over(Window.partitionBy("term").orderBy("ord", "provision_id", "at"))
     return met.withColumn("seq", seq).where(F.col("seq") <= DEFINITIONS_SHOWN).select("term", "seq", "provision_id", "label", "text")
 

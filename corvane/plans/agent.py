@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import answers, store
+from ..operators.tracing import Tracer, in_current_trace
 from ..schemas import ROUTES, TOOLS
 
 THREADS = 4
+EDGES = (
+    ("[*]", "route", ""), ("route", "rag_answer", "lookup"), ("route", "agent", "complex"), ("route", "abstain", "out_of_scope"), ("rag_answer", "verify", ""), ("agent", "tools", "calls"), ("agent", "verify", "text"),
+    ("agent", "finalize", "budget or refusal"), ("tools", "agent", ""), ("tools", "verify", "submitted"), ("verify", "agent", "one correction"), ("verify", "finalize", ""), ("abstain", "finalize", ""), ("finalize", "[*]", ""),
+)
 NO_SUCH_PROVISION = "No provision {} in {}. Ids look like source:art:6; search first."
 
 
@@ -116,15 +121,28 @@ class Agent:
     """``router(question) -> route``; ``model(messages) -> {text, calls, refused, input_tokens, output_tokens, cost_usd}``;
     ``rag(question, language) -> (answer, citations, abstained, provisions)``."""
 
-    def __init__(self, router: Callable[[str], str], model: Callable[[list[dict]], dict], rag: Callable[[str, str], tuple[str, list[str], bool, list[str]]], tools: dict[str, Tool], seen: Seen, settings: Settings | None = None) -> None:
-        self.router, self.model, self.rag, self.tools, self.seen, self.settings = router, model, rag, tools, seen, settings or Settings()
+    def __init__(self, router: Callable[[str], str], model: Callable[[list[dict]], dict], rag: Callable[[str, str], tuple[str, list[str], bool, list[str]]], tools: dict[str, Tool], seen: Seen, settings: Settings | None = None, tracer: Tracer | None = None) -> None:
+        self.router, self.model, self.rag, self.tools, self.seen, self.settings, self.tracer = router, model, rag, tools, seen, settings or Settings(), tracer or Tracer()
+
+    @staticmethod
+    def diagram() -> str:
+        """The state machine in Mermaid's notation."""
+        return "\n".join(["stateDiagram-v2", *(f"    {a} --> {b}" + (f": {why}" if why else "") for a, b, why in EDGES)])
+
+    def _observed(self, call: dict) -> tuple[str, bool]:
+        """A tool's run, in an observation named after it."""
+        with self.tracer.span(call["name"], "tool", call.get("arguments", {})) as found:
+            text, bad = self.tools[call["name"]].run(call.get("arguments", {}))
+            found |= {"output": text, "is_error": bad}
+            return text, bad
 
     def ask(self, question: str, language: str, thread_id: str, earlier: list[dict] | None = None) -> Run:
         run = Run(question, language, thread_id, [*(earlier or []), {"role": "user", "text": question}])
         self.seen.provisions.clear()
         node = "route"
         while node != "finalize":
-            node = getattr(self, f"_{node}")(run)
+            with self.tracer.span(node, "node") as found:
+                found["output"] = node = getattr(self, f"_{node}")(run)
         return self._finalize(run)
 
     def _route(self, run: Run) -> str:
@@ -172,7 +190,7 @@ class Agent:
                 wanted.append(call)
             run.calls_made.add(mark)
         pool = ThreadPoolExecutor(THREADS)
-        pending = [(call, pool.submit(self.tools[call["name"]].run, call.get("arguments", {}))) for call in wanted]
+        pending = [(call, pool.submit(in_current_trace(self._observed), call)) for call in wanted]
         done = []
         for call, result in pending:
             try:
@@ -204,3 +222,21 @@ class Agent:
             run.abstained = last is None
             run.answer = last or (answers.HALTED if run.halted_by else answers.NOT_COVERED)[run.language]
         return run
+
+
+def assembled(searcher, provisions: DataFrame, language: str, functions, settings: Settings | None = None, tracer: Tracer | None = None) -> Agent:
+    """An agent over stored tables. ``functions`` has complete (columns to JSON) and, where there is a model, router and model."""
+    seen = Seen()
+    spark = provisions.sparkSession
+
+    def rag(question: str, language: str) -> tuple[str, list[str], bool, list[str]]:
+        asked = spark.createDataFrame([(1, question, language)], "qid int, text string, language string")
+        hits = searcher.search(asked).withColumnRenamed("header", "breadcrumb").persist()
+        row = answers.answered(searcher.questions(asked).select("qid", "text", "language"), hits, functions.complete).first()
+        read = [p for r in hits.orderBy("rank").select("provision_ids").collect() for p in r.provision_ids]
+        hits.unpersist()
+        return row.answer, list(row.citations), row.abstained, read
+
+    router = getattr(functions, "router", None) or (lambda question: "lookup")
+    model = getattr(functions, "model", None) or (lambda messages: {"refused": True})
+    return Agent(router, model, rag, default_tools(searcher, provisions, language, seen), seen, settings, tracer)

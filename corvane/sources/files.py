@@ -85,16 +85,27 @@ def downloads_wanted(sources: DataFrame) -> DataFrame:
     )
 
 
+#: Where a row stands: a file's splits may come in any order, a split's rows come in theirs.
+_PLACE = ("_metadata.file_path", "_metadata.file_block_start")
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """With ``ord`` from 0. These are files that people write, so one task can number them."""
+    placed = rows.withColumn("__row", F.monotonically_increasing_id())
+    order = Window.orderBy("file_path", "file_block_start", "__row")
+    return placed.withColumn("ord", (F.row_number().over(order) - 1).cast("long")).drop("file_path", "file_block_start", "__row")
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases of a JSON-lines file, defaults filled in, in file order (``ord``). A malformed line is an error."""
     rows = spark.read.schema(CASES).option("mode", "FAILFAST").json(path)
-    filled = rows.na.fill({"expect_abstention": False, "reviewed": False, "notes": ""}).withColumn("expected_provisions", F.coalesce("expected_provisions", F.array().cast("array<string>")))
-    return filled.withColumn("ord", F.monotonically_increasing_id())
+    filled = rows.select("*", *_PLACE).na.fill({"expect_abstention": False, "reviewed": False, "notes": ""}).withColumn("expected_provisions", F.coalesce("expected_provisions", F.array().cast("array<string>")))
+    return _in_file_order(filled)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Human labels; of a case's lines the last counts."""
-    rows = spark.read.schema(HUMAN_LABELS).option("mode", "FAILFAST").json(path).withColumn("ord", F.monotonically_increasing_id())
+    rows = _in_file_order(spark.read.schema(HUMAN_LABELS).option("mode", "FAILFAST").json(path).select("*", *_PLACE))
     last = Window.partitionBy("case_id").orderBy(F.desc("ord"))
     return rows.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k", "ord")
 
@@ -125,7 +136,7 @@ def write_report(summary: DataFrame, cases: DataFrame, categories: DataFrame, fo
     os.makedirs(out)
     head, rows, groups = summary.first().asDict(), [r.asDict(True) for r in cases.collect()], [r.asDict() for r in categories.orderBy("category").collect()]
     with open(f"{out}/run.json", "w", encoding="utf-8") as f:
-        json.dump({"summary": {k: None if v is None else str(v) for k, v in head.items()}, "judge_model": judge_model, "dataset": dataset, "cases": rows}, f, ensure_ascii=False, indent=2)
+        json.dump({"summary": head, "judge_model": judge_model, "dataset": dataset, "cases": rows}, f, ensure_ascii=False, indent=2)
     with open(f"{out}/report.md", "w", encoding="utf-8") as f:
         f.write(markdown(head, groups, rows, judge_model, dataset))
     return out

@@ -1,7 +1,8 @@
 """Structured acts in XHTML, as provisions.
 
 One event pass over each file builds a small tree; provisions are the ``div`` elements whose id is a known prefix, an
-underscore and a number. Entities and document types are refused, so a file can't expand or fetch anything.
+underscore and a number. A document type that declares anything, and any entity, is refused, so a file can't expand or fetch anything;
+a plain document type is passed over. A file that can't be read is a row of ``failures`` and ends no job.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..schemas import PROVISIONS
 
@@ -88,12 +90,17 @@ def tree(raw: bytes) -> Node:
         at.append(node)
 
     def refuse(*_: object) -> None:
-        raise ValueError("document types and entities are not read")
+        raise ValueError("declarations and entities are not read")
+
+    def document_type(_name: str, _system: str | None, _public: str | None, declares: int) -> None:
+        if declares:
+            refuse()
 
     parser.StartElementHandler = start
     parser.EndElementHandler = lambda _: at.pop()
     parser.CharacterDataHandler = lambda s: at[-1].content.append(s)
     parser.EntityDeclHandler = refuse
+    parser.StartDoctypeDeclHandler = document_type
     parser.Parse(raw, True)
     return root
 
@@ -171,14 +178,34 @@ def provisions(raw: bytes, source_id: str, language: str, short_title: str, comp
     return out
 
 
-def parse_acts(files: DataFrame, compat_nested_rows: bool = False) -> DataFrame:
-    """Provisions of files (content, source_id, language, short_title); one file is one row and is parsed in one task."""
+def _parsed(files: DataFrame, compat_nested_rows: bool) -> DataFrame:
+    """Provisions with a further column ``error``; a file that can't be read is one row with its error."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = T.StructType([*PROVISIONS.fields, T.StructField("error", T.StringType())])
+    kinds = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                rows = provisions(bytes(r.content), r.source_id, r.language, r.short_title, compat_nested_rows)
+            for content, source, language, title in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                try:
+                    if content is None:
+                        raise ValueError("no content")
+                    rows = provisions(content, source, language, title, compat_nested_rows)
+                except (expat.ExpatError, ValueError) as e:
+                    rows = [{"document_id": f"{source}:{language}", "source_id": source, "language": language, "error": f"{type(e).__name__}: {e}"}]
                 if rows:
-                    yield pd.DataFrame(rows, columns=PROVISIONS.fieldNames())
+                    yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in out.fields} for r in rows], kinds)
+
+    return files.select("content", "source_id", "language", "short_title").mapInArrow(run, out)
+
+
+def parse_acts(files: DataFrame, compat_nested_rows: bool = False) -> DataFrame:
+    """Provisions of files (content, source_id, language, short_title); one file is one row and is parsed in one task. Files that
+    can't be read have none: see ``failures``."""
+    return _parsed(files, compat_nested_rows).where("error is null").drop("error")
+
 
-    return files.select("content", "source_id", "language", "short_title").mapInPandas(run, PROVISIONS)
+def failures(files: DataFrame) -> DataFrame:
+    """(document_id, source_id, language, error) of files that can't be read."""
+    return _parsed(files, False).where("error is not null").select("document_id", "source_id", "language", "error")
