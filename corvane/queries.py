@@ -175,7 +175,9 @@ def prompt_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.prompts(texts).select("version", F.length("text").alias("n_chars"))
 
 
-@query(None)
+@query("""
+    SELECT r_name AS source_id, language, 'http://publications.europa.eu/resource/celex/3202' || r_regionkey || 'R0001' AS url, r_name || '_' || language || '.xhtml' AS filename,
+           'application/xhtml+xml' AS accept, code AS accept_language FROM region, (VALUES ('en', 'eng'), ('fr', 'fra')) v(language, code)""")
 def source_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for a manifest with a source for each region's nations: URL, file name, headers."""
     regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("id"), F.lit("eurlex-xhtml").alias("format"), F.array(F.lit("en"), F.lit("fr")).alias("languages"), F.concat(F.lit("3202"), F.col("r_regionkey").cast("string"), F.lit("R0001")).alias("celex"), F.lit(None).cast("map<string,string>").alias("urls"))
@@ -390,6 +392,9 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ chunks and sections
 
+#: ``text.COUNTED`` for DuckDB, whose white space leaves out the vertical tab.
+_COUNTED_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\p{Z}\x{1C}-\x{1F}\x{85}]"
+
 
 @query(f"""
     WITH t AS (SELECT doc_id, {sql_tokens("text")} AS w FROM documents),
@@ -504,11 +509,17 @@ def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.structural_chunks(_provisions(spark, sf_dir)).drop("text")
 
 
-@query(None)
+@query(rf"""
+    WITH d AS (SELECT *, concat_ws(':', source, 'art', doc_id) AS id, regexp_replace(text, '^[\t-\r\x{{85}}\p{{Z}}]+|[\t-\r\x{{85}}\p{{Z}}]+$', '', 'g') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '{_COUNTED_SQL}') AS w, string_split_regex(t, '{_COUNTED_SQL}') AS gaps FROM d WHERE t <> ''),
+    o AS (SELECT *, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 512 THEN 1 ELSE cast(ceil((len(w) - 512) / 448) AS INT) + 1 END)) AS k FROM w),
+    c AS (SELECT *, k * 448 + 1 AS a, least(k * 448 + 512, len(w)) AS b FROM o)
+    SELECT id || ':fixed:' || lpad(cast(k AS VARCHAR), 4, '0') AS chunk_id, id AS document_id, source AS source_id, lang AS language, 'fixed' AS strategy, cast(k AS INT) AS ord, '' AS header, cast(b - a + 1 AS INT) AS token_count,
+           id AS provisions, sha256(array_to_string(list_transform(range(a, b), lambda i: w[i] || gaps[i + 1]), '') || w[b]) AS sha FROM c""")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same provisions as documents of one provision each, cut into sliding windows."""
     own = _provisions(spark, sf_dir).withColumn("document_id", F.col("provision_id"))
-    return chunking.fixed_chunks(own).drop("text")
+    return chunking.fixed_chunks(own).withColumns({"sha": F.sha2("text", 256), "provisions": F.array_join("provision_ids", ",")}).drop("text", "provision_ids")
 
 
 def _provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -715,7 +726,18 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "language", F.array_join("citations", ",").alias("citations"), F.array_join("invalid", ",").alias("invalid"), "abstained")
 
 
-@query(None)
+def _redacted_sql(text: str) -> str:
+    """Nested replacements by ``text.PII``, with the classes that Spark reads as Unicode spelt out."""
+    for name, pattern in T.PII:
+        if name == "[EMAIL]":
+            pattern = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]*[\p{L}\p{N}_]"
+        text = f"regexp_replace({text}, '{pattern}', '{name}', 'g')"
+    return text
+
+
+@query(f"""
+    WITH c AS (SELECT *, {_redacted_sql("text")} AS x FROM conversations)
+    SELECT cast(conv_id AS VARCHAR) AS trace_id, role AS name, '[EMAIL]' AS mail, cast(turn AS VARCHAR) AS turn, length(x) AS n_chars, sha256(x) AS sha FROM c""")
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as observations, redacted."""
     rows = table(spark, sf_dir, "conversations").select(
@@ -723,4 +745,4 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("mail"), F.lit("a.b@c.org"), F.lit("turn"), F.col("turn").cast("string")).alias("metadata"), F.lit(0.0).alias("cost_usd"),
     )
     out = audit.observations(rows)
-    return out.select("trace_id", "name", F.col("metadata")["mail"].alias("mail"), F.col("metadata")["turn"].alias("turn"), F.length("input").alias("n_chars"))
+    return out.select("trace_id", "name", F.col("metadata")["mail"].alias("mail"), F.col("metadata")["turn"].alias("turn"), F.length("input").alias("n_chars"), F.sha2("input", 256).alias("sha"))
