@@ -712,7 +712,15 @@ def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.definitions(_provisions(spark, sf_dir), terms).select("term", "seq", "provision_id", F.sha2("text", 256).alias("sha"))
 
 
-@query(None)
+@query(f"""
+    WITH {_SEARCH},
+    fu AS (SELECT qid, id, round(sum(CASE signal WHEN 'reference' THEN 2.0 ELSE 1.0 END / (60 + position)), 9) AS score FROM rk WHERE signal <> 'bm25' GROUP BY ALL),
+    fi AS (SELECT fu.*, prov, source, text, row_number() OVER (PARTITION BY qid, prov ORDER BY score DESC, id) AS same FROM fu JOIN ch USING (id)),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fi WHERE same = 1),
+    cx AS (SELECT qid, min(prov) FILTER (rank = 1) AS first, string_agg('[' || prov || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ra WHERE rank <= 8 GROUP BY 1),
+    an AS (SELECT q.*, first, context, context IS NULL OR length(t) < 3 AS abstained FROM q LEFT JOIN cx USING (qid))
+    SELECT qid, lang AS language, CASE WHEN abstained THEN '' ELSE first END AS citations, CASE WHEN context IS NULL THEN '' ELSE 'none:art:1' END AS invalid, abstained,
+           sha256(CASE WHEN NOT abstained THEN left(context, 80) WHEN lang = 'fr' THEN '{answers.NOT_COVERED["fr"]}' ELSE '{answers.NOT_COVERED["en"]}' END) AS sha FROM an""")
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to all benchmark items by a stand-in model that cites the first passage and one that isn't there."""
     asked, chunks, index, vectors = _search_inputs(spark, sf_dir)
@@ -723,7 +731,7 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.to_json(F.struct(F.substring(context, 1, 80).alias("answer"), F.array(first, F.lit("[none:art:1]")).alias("citations"), (F.length(question) < 3).alias("abstained")))
 
     found = answers.answered(asked.select("qid", "text", "language"), hits, complete)
-    return found.select("qid", "language", F.array_join("citations", ",").alias("citations"), F.array_join("invalid", ",").alias("invalid"), "abstained")
+    return found.select("qid", "language", F.array_join("citations", ",").alias("citations"), F.array_join("invalid", ",").alias("invalid"), "abstained", F.sha2("answer", 256).alias("sha"))
 
 
 def _redacted_sql(text: str) -> str:
