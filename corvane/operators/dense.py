@@ -14,6 +14,8 @@ from .lexical import best
 
 #: Query numbers (vectors times dimensions) sent to all tasks at a time, 32 MB; more queries take further scans.
 SENT = 4_000_000
+#: Scores (queries times rows) that a task holds at a time beside its best ``k`` of each query.
+SCORES = 4_000_000
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, allowed: DataFrame | None = None) -> DataFrame:
@@ -37,14 +39,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, allo
     return best(found, k)
 
 
-def _near(held: pd.DataFrame, k: int, digits: int):
+def _near(held: pd.DataFrame, k: int, digits: int, most: int = SCORES):
+    """Best ``k`` rows of a task for each query, folded in slices of at most ``most`` scores; rows below a query's k-th are not sorted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held.empty:
+        if held.empty or k < 1:
             return
         q = np.array(held["vector"].tolist(), np.float64)
-        ids: list[np.ndarray] = []
-        scores: list[np.ndarray] = []
-        kinds = None
+        step = max(1, most // len(q))
+        ids = scores = kinds = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -53,22 +56,27 @@ def _near(held: pd.DataFrame, k: int, digits: int):
             if len(flat) != len(column) * q.shape[1]:
                 raise ValueError(f"vectors of {q.shape[1]} dimensions are expected")
             kinds = batch.column(0).type
-            s = np.round(q @ flat.reshape(len(column), -1).T, digits)
-            i = np.broadcast_to(np.array(batch.column(0).to_pylist()), s.shape)
-            scores.append(s)
-            ids.append(i)
-            if sum(x.shape[1] for x in scores) > 20 * k + 4096:
-                ids, scores = ([x] for x in _cut(ids, scores, k))
-        if scores:
-            i, s = _cut(ids, scores, k)
-            names = np.repeat(held["qid"].to_numpy(), i.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(i.ravel().tolist(), kinds), pa.array(s.ravel())], ["qid", "id", "score"])
+            names, rows = np.array(batch.column(0).to_pylist()), flat.reshape(len(column), -1)
+            for at in range(0, len(rows), step):
+                s = np.round(q @ rows[at : at + step].T, digits)
+                i = np.broadcast_to(names[at : at + step], s.shape)
+                if scores is None:
+                    ids, scores = _cut(i, s, k)
+                elif scores.shape[1] < k:
+                    ids, scores = _cut(np.concatenate([ids, i], axis=1), np.concatenate([scores, s], axis=1), k)
+                else:
+                    better = np.flatnonzero(~(s < scores[:, -1:]).all(axis=1))
+                    new_ids, new_scores = _cut(np.concatenate([ids[better], i[better]], axis=1), np.concatenate([scores[better], s[better]], axis=1), k)
+                    ids = ids.astype(new_ids.dtype, copy=False)  # longer names need a wider type
+                    ids[better], scores[better] = new_ids, new_scores
+        if scores is not None:
+            named = np.repeat(held["qid"].to_numpy(), ids.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(ids.ravel().tolist(), kinds), pa.array(scores.ravel())], ["qid", "id", "score"])
 
     return run
 
 
-def _cut(ids: list[np.ndarray], scores: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    i, s = np.concatenate(ids, axis=1), np.concatenate(scores, axis=1)
-    order = np.stack([np.lexsort((a, -b)) for a, b in zip(i, s, strict=True)])
-    order = order[:, :k]
-    return np.take_along_axis(i, order, 1), np.take_along_axis(s, order, 1)
+def _cut(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` columns of each row, by score, then by id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)

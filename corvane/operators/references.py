@@ -56,11 +56,13 @@ def reference_hits(queries: DataFrame, chunks: DataFrame, sources: DataFrame) ->
     takes its last position.
     """
     refs = find_references(queries)
-    named = refs.where("source_id is not null")
-    # A manifest of acts is a handful of rows.
-    fanned = refs.where("source_id is null").drop("source_id").crossJoin(F.broadcast(sources.select("source_id").distinct()))
-    wanted = named.unionByName(fanned).select("qid", "seq", "source_id", provision_id(F.col("source_id"), F.col("kind"), F.col("number")).alias("provision_id"))
     of_provision = chunks.select("id", "ord", F.explode("provision_ids").alias("provision_id"))
+    named = refs.where("source_id is not null").select("qid", "seq", "source_id", provision_id(F.col("source_id"), F.col("kind"), F.col("number")).alias("provision_id")).join(of_provision, "provision_id")
+    # Without an act, references meet provisions by kind and number, so nothing is multiplied by the number of acts.
+    part = lambda group: F.regexp_extract("provision_id", r"^(.*):([^:]*:[^:]*)$", group)
+    local = of_provision.select("id", "ord", "provision_id", part(1).alias("source_id"), part(2).alias("local")).join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    fanned = refs.where("source_id is null").select("qid", "seq", F.concat_ws(":", "kind", "number").alias("local")).join(local, "local")
+    wanted = named.unionByName(fanned.drop("local"))
     order = Window.partitionBy("qid").orderBy("seq", "source_id", "ord", "id")
-    hits = wanted.join(of_provision, "provision_id").withColumn("position", F.row_number().over(order))
+    hits = wanted.withColumn("position", F.row_number().over(order))
     return hits.groupBy("qid", "id").agg(F.max("position").alias("position"))
