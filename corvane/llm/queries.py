@@ -91,6 +91,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main": op1_html_main,
     "op2_exact_dedup": op2_exact_dedup,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +125,26 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS k
               FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op11_filter_audit": r"""
+        WITH w AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        l AS (SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic FROM labels GROUP BY doc_id),
+        m AS (
+          SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+            'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t),
+            'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS x
+          FROM w LEFT JOIN l USING (doc_id)),
+        f AS (
+          SELECT part, x.A::INT + 2 * x.B::INT + 4 * x.C::INT + 8 * x.D::INT + 16 * x.E::INT AS fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS tox
+          FROM m GROUP BY ALL),
+        b(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+              FROM b a JOIN b ON b.bit <> a.bit JOIN b c ON c.bit NOT IN (a.bit, b.bit) JOIN b d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN b e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+        s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+        r AS (
+          SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (fails & before > 0 AND fails & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(g) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(tox) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS toxic_lost
+          FROM f, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
 }
