@@ -97,6 +97,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import proof_digest, tamper_check
+
+    found = tamper_check(table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0)
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(found["proof"]).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main": op1_html_main,
     "op2_exact_dedup": op2_exact_dedup,
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,4 +155,39 @@ ORACLE_SQL: dict[str, str] = {
                  coalesce(sum(g) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(tox) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS toxic_lost
           FROM f, s GROUP BY part, filter_order, step, bit)
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
+    "op13_merkle": r"""
+        WITH RECURSIVE v AS (
+          SELECT row_number() OVER () AS id, doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+            list_reduce(list_transform(range(1, length(coalesce(doc_id::VARCHAR, '')) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::UBIGINT),
+              lambda c, x: list_reduce(range(8), lambda r, j: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END, xor(c, x)), 4294967295::UBIGINT) AS crc FROM documents),
+        d AS (
+          SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                 sha256(head || CASE WHEN text IS NULL THEN '-' WHEN xor(crc, 4294967295::UBIGINT) % 5 > 0 THEN strlen(text) || ':' || text
+                   ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS seen FROM v),
+        leaves AS (
+          SELECT *, CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+        up AS (
+          SELECT tree, 0 AS level, pos, leaf AS digest, n FROM leaves
+          UNION ALL
+          SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 15) // 16) FROM up WHERE n > 1 GROUP BY tree, level, pos // 16),
+        tops AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+        above AS (
+          SELECT 0 AS level, pos, digest, n FROM tops
+          UNION ALL
+          SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 15) // 16) FROM above WHERE n > 1 GROUP BY level, pos // 16),
+        low AS (
+          SELECT id, tree, 0 AS level, pos, n, seen AS h, '' AS proof FROM leaves
+          UNION ALL
+          SELECT id, l.tree, l.level + 1, l.pos // 16, any_value((l.n + 15) // 16), sha256(string_agg(CASE WHEN u.pos = l.pos THEN l.h ELSE u.digest END, '' ORDER BY u.pos)),
+                 any_value(l.proof) || coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos <> l.pos), '')
+          FROM low l JOIN up u ON u.tree = l.tree AND u.level = l.level AND u.pos // 16 = l.pos // 16 WHERE l.n > 1 GROUP BY id, l.tree, l.level, l.pos),
+        high AS (
+          SELECT id, 0 AS level, t.pos, t.n, h, proof FROM low JOIN tops t USING (tree) WHERE low.n = 1
+          UNION ALL
+          SELECT id, l.level + 1, l.pos // 16, any_value((l.n + 15) // 16), sha256(string_agg(CASE WHEN u.pos = l.pos THEN l.h ELSE u.digest END, '' ORDER BY u.pos)),
+                 any_value(l.proof) || coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos <> l.pos), '')
+          FROM high l JOIN above u ON u.level = l.level AND u.pos // 16 = l.pos // 16 WHERE l.n > 1 GROUP BY id, l.level, l.pos)
+        SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = r.digest AS verified
+        FROM leaves JOIN tops t USING (tree) JOIN high ON high.id = leaves.id AND high.n = 1 JOIN above r ON r.n = 1""",
 }
