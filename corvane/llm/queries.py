@@ -97,6 +97,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import proof_digest, tamper_check
 
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
     "op13_merkle": op13_merkle,
 }
 
@@ -155,6 +162,12 @@ ORACLE_SQL: dict[str, str] = {
                  coalesce(sum(g) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(tox) FILTER (fails & before = 0 AND fails & bit > 0), 0)::BIGINT AS toxic_lost
           FROM f, s GROUP BY part, filter_order, step, bit)
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
+    "op12_warc": r"""
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, strlen(html) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31)]), '') AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p""",
     "op13_merkle": r"""
         WITH RECURSIVE v AS (
           SELECT row_number() OVER () AS id, doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')

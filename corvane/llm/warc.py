@@ -47,19 +47,35 @@ _CAPTURE = "key string, page_id long, file string, offset long, length long, kin
 _FIELDS = ["key", "page_id", "file", "offset", "length", "kind"]
 
 
+_PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
+
+
+def target_uri(url: str | None) -> str:
+    """The URL as a header holds it: other characters than printable ASCII are percent-encoded."""
+    return quote(url or "", safe=_PRINTABLE)
+
+
 def url_key(url: str | None) -> str:
-    """The host's labels in reverse with commas, ``)``, then path and query in lower case: pages of a domain stand together."""
+    """The host's labels in reverse with commas, ``)``, then path and query in lower case: pages of a domain stand together.
+    A URL and its target URI have one key, in ASCII without white space."""
+    url = target_uri(url)
     try:
-        parts = urlparse((url or "").strip())
+        parts = urlparse(url)
         host, port = (parts.hostname or "").rstrip("."), parts.port
     except ValueError:  # no such port or host
-        return (url or "").lower()
+        return url.lower()
     if not host:
-        return (url or "").lower()
+        return url.lower()
     tail = (parts.path or "/") + (f";{parts.params}" if parts.params else "") + (f"?{parts.query}" if parts.query else "")
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + tail.lower()
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the key of the last column, a URL."""
+    for batch in batches:
+        yield batch.append_column("key", pa.array([url_key(u) for u in batch.column(batch.num_columns - 1).to_pylist()], pa.string()))
+
+
 def record_id(page_id: int | None, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}')}>"
 
@@ -73,11 +89,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers: tuple[i
     digest = _digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers else http + payload
-    uri = lambda u: quote(u, safe="".join(map(chr, range(0x21, 0x7F))))
     head = [("WARC-Type", "revisit" if refers else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date)]
-    head += [("WARC-Target-URI", uri(url))] * (url is not None) + [("WARC-Payload-Digest", f"sha1:{digest}")]
+    head += [("WARC-Target-URI", target_uri(url))] * (url is not None) + [("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers[0], digest)), ("WARC-Refers-To-Date", date)] + [("WARC-Refers-To-Target-URI", uri(refers[1]))] * (refers[1] is not None)
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers[0], digest)), ("WARC-Refers-To-Date", date)] + [("WARC-Refers-To-Target-URI", target_uri(refers[1]))] * (refers[1] is not None)
         head += [(f"Refers-To-{_PAGE}", refers[0])]
     head += [(_PAGE, page_id)] * (page_id is not None) + [(_FULL, len(payload)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + block + b"\r\n\r\n"
@@ -171,15 +186,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _line(row: tuple) -> str:
-    key, page_id, *rest = row
-    return "\t".join([quote(key, safe="".join(c for c in map(chr, range(0x20, 0x7F)) if c not in "%\t\n")), "" if page_id is None else str(page_id), *map(str, rest)])
+    return "\t".join("" if x is None else str(x) for x in row)
 
 
 def _row(line: str) -> tuple:
-    from urllib.parse import unquote
-
     key, page_id, file, offset, length, kind = line.split("\t")
-    return unquote(key), int(page_id) if page_id else None, file, int(offset), int(length), kind
+    return key, int(page_id) if page_id else None, file, int(offset), int(length), kind
 
 
 def build_index(archive: Archive, block: int = BLOCK) -> Index:
@@ -201,7 +213,7 @@ def build_index(archive: Archive, block: int = BLOCK) -> Index:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part = part or _Part(base, "captures.idx")
-                first = first or row[0]
+                first = row[0] if first is None else first
                 held.append(row)
                 rows += 1
                 if len(held) == block:
@@ -216,7 +228,7 @@ def build_index(archive: Archive, block: int = BLOCK) -> Index:
 
     sorted_rows = archive.captures.select(*_FIELDS).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     files = written(sorted_rows.mapInArrow(run, "name string, n long, at long, length long, first string, last string"), "index-files")
-    return Index(base, sorted((tuple(r) for r in files.collect()), key=lambda r: (r[4].encode(), r[5].encode())))
+    return Index(base, sorted((tuple(r) for r in files.collect()), key=lambda r: r[4:]))
 
 
 class _Reader:
@@ -226,8 +238,8 @@ class _Reader:
         fs, folder = _store(base)
         self.file = fs.open_input_file(f"{folder}/{name}")
         self.entries = [x.rsplit("\t", 2) for x in self._text(at, length).split("\n")]
-        self.firsts = [_row(e[0])[0].encode() for e in self.entries]
-        self.block: tuple[int, list[bytes], list[tuple]] = (-1, [], [])
+        self.firsts = [_row(e[0])[0] for e in self.entries]
+        self.block: tuple[int, list[str], list[tuple]] = (-1, [], [])
 
     def _text(self, at: int, length: int) -> str:
         self.file.seek(at)
@@ -236,24 +248,23 @@ class _Reader:
     def _load(self, k: int) -> None:
         if self.block[0] != k:
             rows = [_row(x) for x in self._text(*map(int, self.entries[k][1:])).split("\n")]
-            self.block = (k, [r[0].encode() for r in rows], rows)
+            self.block = (k, [r[0] for r in rows], rows)
 
     def captures(self, key: str) -> Iterator[tuple]:
-        own = key.encode()
-        for k in range(max(0, bisect_left(self.firsts, own) - 1), bisect_right(self.firsts, own)):
+        for k in range(max(0, bisect_left(self.firsts, key) - 1), bisect_right(self.firsts, key)):
             self._load(k)
-            yield from self.block[2][bisect_left(self.block[1], own) : bisect_right(self.block[1], own)]
+            yield from self.block[2][bisect_left(self.block[1], key) : bisect_right(self.block[1], key)]
 
 
 def lookup(index: Index, keys: DataFrame) -> DataFrame:
     """The captures of distinct ``keys`` (key), each with all columns of a capture."""
     if not index.files:
         return keys.sparkSession.createDataFrame([], _CAPTURE)
-    firsts, lasts = [f[4].encode() for f in index.files], [f[5].encode() for f in index.files]
+    firsts, lasts = [f[4] for f in index.files], [f[5] for f in index.files]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(key, k) for key in batch.column(0).to_pylist() for k in range(bisect_left(lasts, key.encode()), bisect_right(firsts, key.encode()))]
+            own = [(key, k) for key in batch.column(0).to_pylist() for k in range(bisect_left(lasts, key), bisect_right(firsts, key))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.string()), pa.array([k for _, k in own], pa.int32())], ["key", "file"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +285,26 @@ def lookup(index: Index, keys: DataFrame) -> DataFrame:
     return routed.select("file", "key").repartitionByRange(len(index.files), "file", "key").sortWithinPartitions("file", "key").mapInArrow(run, _CAPTURE)
 
 
+_RECORD = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "refers_to_url": pa.string(), "payload": pa.binary()}
+
+
+def _read(member: bytes) -> tuple:
+    fields, payload = parsed(zlib.decompress(member, 31))
+    digest, kind, full = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], int(fields[_FULL])
+    if kind == "response" and (_digest(payload) != digest or len(payload) != full):
+        raise ValueError(f"the payload of {fields['WARC-Record-ID']} isn't what its header says")
+    number = lambda name: int(fields[name]) if name in fields else None
+    return number(_PAGE), fields.get("WARC-Target-URI"), full, digest, kind, number(f"Refers-To-{_PAGE}"), fields.get("WARC-Refers-To-Target-URI"), None if kind == "revisit" else payload
+
+
 def read(archive: Archive, captures: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of captures: page_id, url (target URI), payload_bytes, payload_digest, record_type, refers_to, and with ``payloads``
-    the payload (null for revisits). A payload that doesn't have its digest is an error."""
+    """The records of captures: page_id, url (target URI), payload_bytes, payload_digest, record_type, refers_to, refers_to_url, and with
+    ``payloads`` the payload (null for revisits). A payload that doesn't have its digest is an error."""
     base = archive.base
-    kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    names = [*_RECORD][: 7 + payloads]
+
+    def records(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _RECORD[c]) for k, c in enumerate(names)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _store(base)
@@ -289,48 +315,26 @@ def read(archive: Archive, captures: DataFrame, payloads: bool = False) -> DataF
                 if name != last:
                     file, last = fs.open_input_file(f"{folder}/{name}"), name
                 file.seek(at)
-                rows.append(_read(file.read(length)))
-                size += len(rows[-1][6] or b"") if payloads else 0
+                rows.append(_read(file.read(length))[: len(names)])
+                size += rows[-1][2]
                 if size > 8_000_000:
-                    yield table(rows)
+                    yield records(rows)
                     rows, size = [], 0
-            yield table(rows)
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 6 + payloads]
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names[: 6 + payloads])
-
-    chunk = F.expr(f"offset div {READ_BYTES}")
-    near = captures.select("file", "offset", "length").repartition("file", chunk).sortWithinPartitions("file", "offset")
-    return near.mapInArrow(run, kind)
-
+            yield records(rows)
 
-def _read(member: bytes) -> tuple:
-    fields, payload = parsed(zlib.decompress(member, 31))
-    digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-    if kind == "response" and (_digest(payload) != digest or len(payload) != int(fields[_FULL])):
-        raise ValueError(f"the payload of {fields['WARC-Record-ID']} isn't what its header says")
-    page_id, refers = fields.get(_PAGE), fields.get(f"Refers-To-{_PAGE}")
-    return page_id and int(page_id), fields.get("WARC-Target-URI"), int(fields[_FULL]), digest, kind, refers and int(refers), None if kind == "revisit" else payload
+    near = captures.select("file", "offset", "length").repartition("file", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("file", "offset")
+    return near.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_to_url string" + ", payload binary" * payloads)
 
 
 def resolved(archive: Archive, index: Index, revisits: DataFrame) -> DataFrame:
-    """(page_id, payload, payload_digest) of the responses that revisits (refers_to, url of the response) point to, each once, by the index."""
-    keyed = F.udf(url_key)
-    asked = revisits.select("refers_to", keyed("url").alias("key")).distinct()
-    captures = lookup(index, asked.select("key")).where("kind = 'response'").join(asked, "key").where("page_id <=> refers_to")
+    """(page_id, payload, payload_digest) of the responses that revisits (refers_to, refers_to_url) point to, each once, by the index."""
+    asked = revisits.select("refers_to", "refers_to_url").distinct().mapInArrow(_keys, "refers_to long, refers_to_url string, key string").select("refers_to", "key")
+    captures = lookup(index, asked).where("kind = 'response'").join(asked, "key").where("page_id = refers_to")
     return read(archive, captures, payloads=True).select("page_id", "payload", "payload_digest")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Writes archives of all pages, indexes them, and reads every record back by the keys of the pages' URLs."""
     archive = write(pages, id_col, url_col, payload_col, least)
-    index = build_index(archive)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], ["key"])
-
-    asked = pages.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(keys, "key string")
-    return read(archive, lookup(index, asked))
+    asked = pages.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(_keys, "url string, key string")
+    return read(archive, lookup(build_index(archive), asked))
