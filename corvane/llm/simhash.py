@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import in_slices, written
-from .similar import candidates, common_shingles, prefixes, similar, still_apart
 
 SHINGLE = 3
 RADIUS = 2
@@ -259,13 +259,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Here texts are linked within RADIUS bits, and also at a 5-word similarity of 0.8 or more (see ``similar``), which differ
     in up to a dozen bits. Fingerprints are the nodes for both.
+
+    Defined cases: null and empty texts are one text without shingles, linked by their fingerprint alone; a null id is larger than
+    all others; of rows that share an id each is judged by its own text; rows that repeat the kept id and its text all stay;
+    an empty table gives no rows; other columns pass through.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts.select("h", "text")))
+    spark = texts.sparkSession
+    order = similar.common_shingles(texts.select("h", "text"))
+    common = spark.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", 3_000_000):
-            n, keys = prefixes(batch.column(2), common.value)
+            n, keys = similar.prefixes(batch.column(2), common.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints_of(batch.column(2).to_pylist())), pa.array(n, pa.int32()), keys], ["doc_id", "h", "fp", "n", "keys"])
 
     marked = written(texts.mapInArrow(run, "doc_id long, h long, fp long, n int, keys array<long>"), "marked")
@@ -274,14 +280,37 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def edges(pairs: DataFrame) -> DataFrame:
         u, v = (prints.select(F.col("h").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "uv")
-        return similar(texts.select("h", "text"), pairs).join(u, "u").join(v, "v").where("u_fp <> v_fp").select(F.greatest("u_fp", "v_fp").alias("u"), F.least("u_fp", "v_fp").alias("v"))
+        return similar.similar(texts.select("h", "text"), pairs).join(u, "u").join(v, "v").where("u_fp <> v_fp").select(F.greatest("u_fp", "v_fp").alias("u"), F.least("u_fp", "v_fp").alias("v"))
+
+    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(edges(pairs))).withColumnRenamed("u", "fp")
+
+    def named() -> DataFrame:
+        return prints.join(roots, "fp", "left").select("h", F.coalesce("root", "fp").alias("root"))
 
-    found = candidates(marked)
+    found = similar.candidates(marked)
     roots = components(links(classes.select("fp")).unionByName(edges(found.where("key is null")))).withColumnRenamed("u", "fp")
-    if not found.where("key is not null").isEmpty():
-        named = prints.join(roots, "fp", "left").select("h", F.coalesce("root", "fp").alias("root"))
-        roots = components(roots.select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(edges(still_apart(found, named)))).withColumnRenamed("u", "fp")
+    left = []
+    for _ in range(similar.ROUNDS):
+        rows, counts = similar.large(found, named())
+        last = counts.orderBy(F.desc("n"), "key").limit(similar.COMMON).toArrow()
+        if not last.num_rows:
+            break
+        if last.num_rows == similar.COMMON:  # more keys than are sent to all tasks: the others wait for the end
+            sent = F.broadcast(spark.createDataFrame(last.select(["key"])))
+            left.append((rows.join(sent, "key", "left_anti"), counts.join(sent, "key", "left_anti")))
+            rows = rows.join(sent, "key", "left_semi")
+        order = similar.put_last(order, *(last.column(c).to_numpy() for c in ("key", "n")))
+        found = similar.candidates(written(similar.filed(texts, rows.select("h").distinct(), order), "filed"))
+        roots = written(joined(roots, found.where("key is null")), "roots")
+    else:
+        left.append(similar.large(found, named()))
+    for rows, counts in left:
+        if not counts.isEmpty():
+            roots = written(joined(roots, similar.still_apart(rows, counts, texts)), "roots")
     rooted = classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("rep").alias("__corvane_id")).select("__corvane_id").distinct()
-    rows = docs.withColumn("__corvane_id", F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)))
-    return rows.join(kept, "__corvane_id", "left_semi").select(*docs.columns)
+    kept = rooted.groupBy("root").agg(F.min("rep").alias("__corvane_id"))
+    # By id and text: another text of the same id may be in another component.
+    kept = prints.join(rooted.select("fp", "root"), "fp").join(kept, "root").select("__corvane_id", F.col("h").alias("__corvane_h")).distinct()
+    rows = docs.withColumns({"__corvane_id": F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)), "__corvane_h": F.xxhash64(docs[text_col].cast("string"))})
+    return rows.join(kept, ["__corvane_id", "__corvane_h"], "left_semi").select(*docs.columns)

@@ -6,7 +6,10 @@ missed whatever the sample says; it only keeps lines that stand in many texts ou
 shingle turn most others away, and what is left is compared set by set.
 
 Links join into components, so pairs that are in one component already needn't be compared. Of a bucket of more than
-BUCKET texts the first round compares stars only; the second compares what is still in different components, all of it.
+BUCKET texts a round compares stars only. Keys whose buckets hold several components after that are put last in the order, and the
+texts under them are filed anew by what then comes first: a pair that only met there shares one of those keys. After ROUNDS such
+rounds, texts that still meet under a large key are compared all with all in pieces of at most 4 * PIECE^2 pairs, each by parity
+bitmaps: bits that differ are no more than shingles that differ, so no similar pair is turned away.
 
 Shingles are 64-bit hashes of words in lower case (A-Z); texts of fewer words than a shingle are one shingle; empty texts have none;
 texts are told apart by XXH64.
@@ -29,6 +32,10 @@ PART, WHOLE = 4, 5
 #: Texts in the sample, how often a common shingle stands in it at least, and how many of those are sent to all tasks.
 SAMPLE, SEEN, COMMON = 20_000, 4, 100_000
 BUCKET = 64
+#: Times that texts of large buckets are filed anew, and texts of a key in a piece (about) when they are then compared.
+ROUNDS, PIECE = 2, 1024
+#: Bits of a parity bitmap, and of its fold that is compared first.
+BITS, FOLD = 4096, 512
 #: Texts to compare that are sent to all tasks (8 bytes each); more are joined by a shuffle.
 SENT = 200_000
 _ROWS = 1 << 20  # pairs tried at a time
@@ -68,6 +75,14 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
+def put_last(common: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order with ``keys`` behind all others, by their counts; others stay in the order they had."""
+    stays = ~np.isin(common[0], keys)
+    key, rank = np.concatenate([common[0][stays], keys]), np.concatenate([common[1][stays], (1 << 40) + counts])
+    order = np.argsort(key)
+    return key[order], rank[order]
+
+
 def prefixes(column: pa.Array, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, pa.Array]:
     """Shingles of each row, and those that it is filed under, in order."""
     row, h, n = shingles(column)
@@ -144,14 +159,47 @@ def _first_round(key: np.ndarray, at: np.ndarray, text: np.ndarray) -> Iterator[
         yield batch(text[large], at[large], key[large])
 
 
-def _second_round(key: np.ndarray, root: np.ndarray, at: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket whose roots differ; rows are sorted by key and root."""
-    n = len(key)
-    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, n)
-    of_root = np.append(np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1, n)
-    i = np.arange(n)
-    for u, v in _pairs(text, at, of_root[np.searchsorted(of_root, i, side="right")], ends[np.searchsorted(ends, i, side="right")]):
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+def bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """For each row the parity of its shingles at each of BITS places, packed."""
+    odd = np.zeros(rows * BITS, bool)
+    place, times = np.unique(row * BITS + (h.view(np.uint64) % U64(BITS)).astype(np.int64), return_counts=True)
+    odd[place] = times % 2 == 1
+    return np.packbits(odd.reshape(rows, BITS), axis=1)
+
+
+def _apart(key: np.ndarray, side: np.ndarray, root: np.ndarray, at: np.ndarray, text: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of a piece that may be similar and have different roots; a piece has one side, or two that meet each other only."""
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    for a, b in zip(begin, np.append(begin[1:], len(key)), strict=True):
+        words = np.frombuffer(b"".join(bits[a:b]), np.uint64).reshape(b - a, -1)
+        fold = np.bitwise_xor.reduce(words.reshape(b - a, -1, FOLD // 64), axis=1)
+        own, number, sides = at[a:b], text[a:b], side[a:b]
+        size = own >> 32
+        two = sides.min() != sides.max()
+        left, right = (np.flatnonzero(sides == sides.min()), np.flatnonzero(sides == sides.max())) if two else (np.arange(b - a),) * 2
+        step = max(1, _ROWS // max(1, len(right)))
+        for i in range(0, len(left), step):
+            x, y = left[i : i + step, None], right[None, :]
+            ok = _may_be(own[x], own[y]) & (root[a:b][x] != root[a:b][y]) & (two | (x < y))
+            u, v = (z[ok] for z in np.broadcast_arrays(x, y))
+            for planes in (fold, words):
+                most = (size[u] + size[v]) * (WHOLE - PART) // (PART + WHOLE)
+                near = np.concatenate([np.bitwise_count(planes[u[k : k + 65536]] ^ planes[v[k : k + 65536]]).sum(axis=1, dtype=np.int64) <= most[k : k + 65536] for k in range(0, len(u), 65536)] or [np.zeros(0, bool)])
+                u, v = u[near], v[near]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(number[u], number[v])), pa.array(np.maximum(number[u], number[v]))], ["u", "v"])
+
+
+def filed(texts: DataFrame, asked: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, n, keys) of the distinct texts asked for (h), under another order."""
+    held = texts.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text", 3_000_000):
+            n, keys = prefixes(batch.column(1), held.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), keys], ["h", "n", "keys"])
+
+    return texts.select("h", "text").join(asked, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(run, "h long, n int, keys array<long>")
 
 
 def candidates(marked: DataFrame) -> DataFrame:
@@ -176,7 +224,30 @@ def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("a", "b")) * (PART + WHOLE) >= PART * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def still_apart(found: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs of the large buckets whose roots, by (h, root), differ."""
-    rows = found.where("key is not null").select("key", F.col("v").alias("at"), F.col("u").alias("h")).join(named, "h").select("key", "root", "at", "h")
-    return rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_whole_buckets(_second_round), "u long, v long")
+def large(found: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, at, h, root) of large buckets of which some have different roots, by (h, root), written; and (key, n) of those."""
+    rows = found.where("key is not null").select("key", F.col("v").alias("at"), F.col("u").alias("h")).join(named, "h").select("key", "at", "h", "root")
+    rows = written(rows, "large")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "n")
+    counts = written(counts, "large-keys")
+    return rows.join(counts.select("key"), "key", "left_semi"), counts
+
+
+def still_apart(rows: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of rows (key, at, h, root) of one key that may be similar and have different roots; counts: (key, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text", 3_000_000):
+            row, h, n = shingles(batch.column(1))
+            bits = np.concatenate([bitmaps(row[np.searchsorted(row, k) : np.searchsorted(row, k + 512)] - k, h[np.searchsorted(row, k) : np.searchsorted(row, k + 512)], min(512, len(n) - k)) for k in range(0, len(n), 512)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in bits], pa.binary())], ["h", "bits"])
+
+    asked = rows.select("h").distinct()
+    bits = written(texts.select("h", "text").join(asked, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(run, "h long, bits binary"), "bitmaps")
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    dealt = rows.join(counts, "key").withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int"))
+    # A row goes to the pieces of its own share with every share; the same two shares meet in one piece.
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)"))).join(bits, "h")
+    piece = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    both = dealt.select(piece.alias("piece"), F.col("own").cast("long").alias("own"), "root", "at", "h", "bits")
+    return both.repartition("piece").sortWithinPartitions("piece").mapInArrow(_whole_buckets(_apart), "u long, v long")

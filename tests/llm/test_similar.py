@@ -1,6 +1,10 @@
 """The near-dedup stage against a brute force over 5-word shingles."""
 
 import random
+import time
+
+import numpy as np
+import pytest
 
 from corvane.llm import simhash, similar
 from pyspark.sql import functions as F
@@ -53,6 +57,56 @@ def test_near_copies_from_similarity_0_8_on(spark, sf_dir, monkeypatch):
     assert len(rows) - kept.count() > 60
 
 
+def families(rng, n):
+    """Texts of one template with changed words: some alike, most not, and all under the same shingles."""
+    lines = [" ".join(f"{c}{k}" for k in range(9)) for c in "abcdefghij"]
+    own = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([3, 12, 40])))
+    texts = [" ".join(rng.sample(lines, rng.randrange(3, 9)) + [own()]) for _ in range(n)]
+    return [(k, t if k % 5 else texts[rng.randrange(n)] + " end") for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("rounds", "common", "piece"), [(0, 10**5, 7), (1, 10**5, 16), (2, 3, 10), (2, 10**5, 1024)])
+def test_texts_under_common_keys_against_brute_force(spark, monkeypatch, rounds, common, piece):
+    for name, value in {"BUCKET": 4, "ROUNDS": rounds, "COMMON": common, "PIECE": piece, "SEEN": 10**9}.items():
+        monkeypatch.setattr(similar, name, value)
+    rows = families(random.Random(rounds * 7 + piece), 160)
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def test_a_piece_of_many_texts_is_quick_and_loses_no_pair():
+    rng = np.random.default_rng(1)
+    n, m = 8000, 60
+    sets = rng.integers(0, 1 << 62, (n, m))
+    sets[:, :6] = np.arange(6)  # one line that all have
+    sets[1::100] = sets[::100]
+    sets[1::100, 50:56] = rng.integers(0, 1 << 62, (n // 100, 6))  # 54 of 66
+    bits = similar.bitmaps(np.repeat(np.arange(n), m), sets.ravel(), n)
+    column = np.array([x.tobytes() for x in bits], object)
+    began = time.process_time()
+    size = np.full(n, m << 32)
+    found = [(u, v) for batch in similar._apart(np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), size, np.arange(n), column) for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert time.process_time() - began < 10
+    assert {(k, k + 1) for k in range(0, n, 100)} <= set(found) and len(found) < 200
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = random.Random(3)
+    for _ in range(50):
+        a = {rng.randrange(1 << 62) for _ in range(rng.randrange(1, 3000))}
+        b = {x for x in a if rng.random() < 0.9} | {rng.randrange(1 << 62) for _ in range(rng.randrange(300))}
+        row = np.array([0] * len(a) + [1] * len(b))
+        x, y = similar.bitmaps(row, np.array([*a, *b]), 2)
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(a ^ b)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    kept = simhash.near_dedup(spark.createDataFrame([(1, a), (5, a), (5, b), (5, b)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (5, b), (5, b)])
+
+
 def test_copy_with_a_few_edits_goes(spark):
     words = [f"w{k}" for k in range(100)]
     near = " ".join("other" if k in (30, 70) else w for k, w in enumerate(words))  # 86 of 106 shingles
