@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import provision_text, strip, token_count
+from . import packing
 
 SEPARATOR = "\n\n"
 BREADCRUMB = " > "
@@ -36,38 +40,46 @@ def windows(df: DataFrame, tokens: str, size: int, overlap: int) -> DataFrame:
     return df.select("*", F.posexplode(each).alias("order", "cut")).select(*[c for c in df.columns], "order", "cut.start", "cut.window")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def token_offsets(texts):
-    """Character places of words and single symbols, by an Arrow function: linear in the text."""
-    import re
+_PLACE = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end")])
 
-    import pandas as pd
 
+def _places(texts: list[str | None]) -> tuple[np.ndarray, pa.Array]:
+    """Number of tokens of each text, and the places of all of them."""
     pattern = re.compile(r"\w+|[^\w\s]")
-    return pd.Series([[{"start": m.start(), "end": m.end()} for m in pattern.finditer(t or "")] for t in texts])
+    spans = [[m.span() for m in pattern.finditer(t or "")] for t in texts]
+    flat = np.array([x for own in spans for x in own], np.int32).reshape(-1, 2)
+    return np.array([len(own) for own in spans], np.int64), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
-def token_offsets_of_each(texts):
-    """The same for arrays of texts."""
-    import re
+def _lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
 
-    import pandas as pd
 
-    pattern = re.compile(r"\w+|[^\w\s]")
-    return pd.Series([[[{"start": m.start(), "end": m.end()} for m in pattern.finditer(t or "")] for t in (own if own is not None else [])] for own in texts])
+@F.arrow_udf(T.ArrayType(_PLACE))
+def token_offsets(texts: pa.Array) -> pa.Array:
+    """Character places of words and single symbols: linear in the text."""
+    return _lists(*_places(texts.to_pylist()))
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(_PLACE)))
+def token_offsets_of_each(texts: pa.Array) -> pa.Array:
+    """The same for arrays of texts."""
+    return _lists(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), _lists(*_places(texts.flatten().to_pylist())))
 
 
 @dataclass(frozen=True)
 class TokenCounter:
-    """What a token is: the number of tokens of a text, their places, and those of each text of an array."""
+    """What a token is: the number of tokens of a text, their places, and both for each text of an array. ``adds_up``: whether the tokens of
+    texts joined by line ends are those of the texts."""
 
     count: Callable[[Column], Column]
     offsets: Callable[[Column], Column]
     offsets_of_each: Callable[[Column], Column]
+    count_of_each: Callable[[Column], Column]
+    adds_up: bool = False
 
 
-WORDS = TokenCounter(token_count, token_offsets, token_offsets_of_each)
+WORDS = TokenCounter(token_count, token_offsets, token_offsets_of_each, lambda texts: F.transform(texts, token_count), True)
 
 
 def tokenizer_counter(path: str) -> TokenCounter:
@@ -96,7 +108,13 @@ def tokenizer_counter(path: str) -> TokenCounter:
 
         return pd.Series([places(list(own) if own is not None else []) for own in texts])
 
-    return TokenCounter(count, offsets, offsets_of_each)
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def count_of_each(texts):
+        import pandas as pd
+
+        return pd.Series([[len(x) for x in places(list(own) if own is not None else [])] for own in texts])
+
+    return TokenCounter(count, offsets, offsets_of_each, count_of_each)
 
 
 @lru_cache(maxsize=2)
@@ -145,73 +163,59 @@ def fixed_chunks(provisions: DataFrame, size: int = 512, overlap: int = 64, coun
     )
 
 
-def packed(pieces: Column, sizes: Column, budget: Column, least: int, alone: Column | None = None) -> Column:
-    """Greedy packing of pieces into bodies (text, n): a fold over the pieces, then the short tail joins its neighbour.
-
-    A piece over the budget, or flagged ``alone``, is a body of its own. A tail under ``least`` tokens is merged if the two
-    have at most budget + least together. Token counts add up over line ends.
-    """
-    kind = "struct<bodies:array<struct<text:string,n:int>>,text:string,n:int>"
-    zero = F.struct(F.array().cast("array<struct<text:string,n:int>>").alias("bodies"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("n")).cast(kind)
+def packed(pieces: Column, sizes: Column, budget: Column, least: int) -> Column:
+    """Greedy packing of pieces into bodies (n, parts, see ``packing``): a piece over the budget is one of its own, the short tail joins its
+    neighbour. Token counts add up over line ends."""
+    return packing.bodies(F.when(pieces.isNotNull(), sizes), budget, least, cut=False)
 
-    def close(s: Column) -> Column:
-        return F.when(s["text"].isNull(), s["bodies"]).otherwise(F.concat(s["bodies"], F.array(F.struct(s["text"].alias("text"), s["n"].alias("n")))))
 
-    def merge(s: Column, x: Column) -> Column:
-        fits = s["text"].isNotNull() & ~x["alone"] & (s["n"] + x["n"] <= budget)
-        new = F.struct(close(s).alias("bodies"), x["text"].alias("text"), x["n"].alias("n"))
-        single = F.struct(F.concat(close(s), F.array(F.struct(x["text"].alias("text"), x["n"].alias("n")))).alias("bodies"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("n"))
-        grown = F.struct(s["bodies"].alias("bodies"), F.concat(s["text"], F.lit("\n"), x["text"]).alias("text"), (s["n"] + x["n"]).alias("n"))
-        return F.when(x["alone"], single).when(fits, grown).otherwise(new).cast(kind)
+#: Provisions of a document whose chunks are counted in one group.
+COUNTED_TOGETHER = 4096
 
-    def finish(s: Column) -> Column:
-        bodies = close(s)
-        n = F.size(bodies)
-        tail, before = F.element_at(bodies, -1), F.try_element_at(bodies, F.lit(-2))
-        short = (n >= 2) & (tail["n"] < least) & (before["n"] + tail["n"] <= budget + least)
-        merged = F.struct(F.concat(before["text"], F.lit("\n"), tail["text"]).alias("text"), (before["n"] + tail["n"]).alias("n"))
-        return F.when(short, F.concat(F.slice(bodies, 1, F.greatest(n - 2, F.lit(0))), F.array(merged))).otherwise(bodies)
 
-    flags = F.transform(sizes, lambda n: n > budget) if alone is None else alone
-    zipped = F.transform(F.arrays_zip(pieces.alias("p"), sizes.alias("n"), flags.alias("a")), lambda z: F.struct(z["p"].alias("text"), z["n"].alias("n"), z["a"].alias("alone")))
-    return F.when(F.size(pieces) > 0, F.aggregate(zipped, zero, merge, finish)).otherwise(F.array().cast("array<struct<text:string,n:int>>"))
+def first_numbers(provisions: DataFrame, count: str) -> DataFrame:
+    """(document_id, ord, provision_id, before): the sum of ``count`` over the document's earlier provisions, from narrow rows in groups
+    of COUNTED_TOGETHER numbers, so no task holds a whole document."""
+    rows = provisions.select("document_id", "ord", "provision_id", count).withColumn("part", F.expr(f"ord div {COUNTED_TOGETHER}"))
+    earlier = lambda w: F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("document_id", "part").agg(F.sum(count).alias(count)).withColumn("base", earlier(Window.partitionBy("document_id").orderBy("part"))).drop(count)
+    own = rows.withColumn("within", earlier(Window.partitionBy("document_id", "part").orderBy("ord", "provision_id")))
+    return own.join(parts, (own["part"].eqNullSafe(parts["part"])) & (own["document_id"] == parts["document_id"])).select(own["document_id"], "ord", "provision_id", (F.col("base") + F.col("within")).cast("int").alias("before"))
 
 
-def piece_windows(pieces: Column, offsets: Column, budget: Column) -> Column:
-    """Pieces (text, n, alone) that fit the budget: those over it are cut into windows, which stay alone."""
-
-    def cut(z: Column) -> Column:
-        text, places = z["p"], z["o"]
-        n = F.size(places)
-
-        def window(k: Column) -> Column:
-            own = F.slice(places, k * budget + 1, budget)
-            a, b = F.element_at(own, 1)["start"], F.element_at(own, -1)["end"]
-            return F.struct(F.substring(text, a + 1, b - a).alias("text"), F.size(own).alias("n"), F.lit(True).alias("alone"))
-
-        whole = F.array(F.struct(text.alias("text"), n.alias("n"), F.lit(False).alias("alone")))
-        return F.when(n > budget, F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / budget).cast("int") - 1, F.lit(0))), window)).otherwise(whole)
+def structural_chunks(provisions: DataFrame, size: int = 512, least: int = 48, counter: TokenCounter = WORDS) -> DataFrame:
+    """One chunk for each provision that fits; else packed paragraphs, with windows of paragraphs that are too long.
 
-    return F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), offsets.alias("o")), cut))
+    Chunks of a document are numbered by (ord, provision_id), which are different for its provisions.
+    """
+    cut = _bodies(provisions, size, least, counter)
+    number = first_numbers(cut.withColumn("k", F.size("cuts")), "k")
+    keys = ["document_id", "ord", "provision_id"]
+    each = cut.join(number, keys).select(*keys, "before", "source_id", "language", "header", "whole", "lines", "places", F.posexplode("cuts").alias("part", "cut"))
+    body = F.when(F.size("cut.parts") == 0, F.col("whole")).otherwise(packing.body_text(F.col("cut"), F.col("lines"), F.col("places")))
+    order = F.col("before") + F.col("part")
+    tokens = F.col("cut.n") if counter.adds_up else counter.count(F.col("text"))
+    each = each.select("document_id", "source_id", "language", order.alias("number"), "header", body.alias("text"), "cut", "provision_id")
+    return each.select(
+        chunk_id(F.col("document_id"), F.lit("structural"), F.col("number")).alias("chunk_id"), "document_id", "source_id", "language", F.lit("structural").alias("strategy"), F.col("number").alias("ord"), "header",
+        "text", tokens.alias("token_count"), F.array("provision_id").alias("provision_ids"),
+    )
 
 
-def structural_chunks(provisions: DataFrame, size: int = 512, least: int = 48, counter: TokenCounter = WORDS) -> DataFrame:
-    """One chunk for each provision that fits; else packed paragraphs, with windows of paragraphs that are too long."""
+def _bodies(provisions: DataFrame, size: int, least: int, counter: TokenCounter) -> DataFrame:
+    """Provisions with their cuts: bodies by numbers, one without parts for a provision that fits as a whole."""
     header = F.array_join("breadcrumb", BREADCRUMB)
-    own = provisions.select("*", header.alias("header"), provision_text(F.col("paragraphs")).alias("whole")).where("whole <> ''")
-    own = own.withColumn("budget", F.greatest(F.lit(1), F.lit(size) - counter.count(F.col("header")))).withColumn("n", counter.count(F.col("whole")))
     line = F.transform("paragraphs", lambda p: F.when(F.coalesce(p["label"], F.lit("")) == "", p["text"]).otherwise(F.concat(p["label"], F.lit(" "), p["text"])))
-    own = own.withColumn("lines", F.when(F.col("n") > F.col("budget"), F.filter(line, lambda x: strip(x) != "")).otherwise(F.array().cast("array<string>")))
-    own = own.withColumn("offsets", counter.offsets_of_each(F.col("lines"))).withColumn("pieces", piece_windows(F.col("lines"), F.col("offsets"), F.col("budget")))
-    field = lambda name: F.transform("pieces", lambda x: x[name])
-    bodies = F.transform(packed(field("text"), field("n"), F.col("budget"), least, field("alone")), lambda x: x["text"])
-    cut = own.withColumn("bodies", F.when(F.col("n") > F.col("budget"), bodies).otherwise(F.array("whole"))).select("document_id", "source_id", "language", "provision_id", "ord", "header", F.posexplode("bodies").alias("part", "body"))
-    order = F.row_number().over(Window.partitionBy("document_id").orderBy("ord", "provision_id", "part")) - 1
-    cut = cut.withColumn("order", order)
-    return cut.select(
-        chunk_id(F.col("document_id"), F.lit("structural"), F.col("order")).alias("chunk_id"), "document_id", "source_id", "language", F.lit("structural").alias("strategy"), F.col("order").alias("ord"), "header",
-        F.col("body").alias("text"), counter.count(F.col("body")).alias("token_count"), F.array("provision_id").alias("provision_ids"),
-    )
+    own = provisions.select("document_id", "source_id", "language", "provision_id", "ord", header.alias("header"), provision_text(F.col("paragraphs")).alias("whole"), F.filter(line, lambda x: strip(x) != "").alias("lines")).where("whole <> ''")
+    own = own.withColumns({"budget": F.greatest(F.lit(1), F.lit(size) - counter.count(F.col("header"))), "sizes": counter.count_of_each(F.col("lines"))})
+    total = F.aggregate("sizes", F.lit(0), lambda a, n: a + n) if counter.adds_up else counter.count(F.col("whole"))
+    own = own.withColumn("n", total)
+    # The Arrow function stands between the counts and what uses them, so each text is counted once.
+    own = own.withColumn("found", packing.bodies(F.when(F.col("n") > F.col("budget"), F.col("sizes")), F.col("budget"), least))
+    long = F.transform("lines", lambda x, i: F.when(F.col("sizes")[i] > F.col("budget"), x))
+    one = F.array(F.struct(F.col("n").cast("int").alias("n"), F.array().cast("array<struct<first:int,last:int,start:int,count:int>>").alias("parts")))
+    own = own.withColumn("places", counter.offsets_of_each(F.when(F.col("n") > F.col("budget"), long).otherwise(F.array().cast("array<string>"))))
+    return own.withColumn("cuts", F.when(F.col("n") > F.col("budget"), F.col("found")).otherwise(one)).drop("found", "sizes")
 
 
 def chunk(provisions: DataFrame, strategy: str = "structural", size: int = 512, overlap: int = 64, least: int = 48, counter: TokenCounter = WORDS) -> DataFrame:

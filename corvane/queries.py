@@ -442,8 +442,8 @@ def structural_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as paragraphs, packed to 100 tokens; a line over the budget stays alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("p"))
     docs = docs.withColumn("n", F.transform("p", T.token_count))
-    bodies = chunking.packed(F.col("p"), F.col("n"), F.lit(100), 20)
-    return docs.select("doc_id", F.posexplode(bodies).alias("part", "b")).select("doc_id", "part", F.col("b.n").alias("n_tokens"))
+    docs = docs.withColumn("bodies", chunking.packed(F.col("p"), F.col("n"), F.lit(100), 20))
+    return docs.select("doc_id", F.posexplode("bodies").alias("part", "b")).select("doc_id", "part", F.col("b.n").alias("n_tokens"))
 
 
 #: Documents' lines, every fifth made a numbered heading whose numbers come again.
@@ -503,10 +503,35 @@ def act_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("provision_id", F.element_at("breadcrumb", -1).alias("label"), F.size("paragraphs").cast("long").alias("n_paragraphs"), chars.alias("n_chars"))
 
 
-@query(None)
+_STRIPPED_SQL = r"^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$"
+
+
+@query(rf"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, source, lang, text, regexp_replace(text, '{_STRIPPED_SQL}', '', 'g') AS t, 512 - len(regexp_extract_all(source || ' > Article ' || doc_id, '{_COUNTED_SQL}')) AS budget FROM documents),
+    l0 AS (SELECT doc_id, budget, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS i0 FROM d WHERE t <> ''),
+    l1 AS (SELECT *, len(regexp_extract_all(line, '{_COUNTED_SQL}')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i0) AS i FROM l0 WHERE regexp_replace(line, '{_STRIPPED_SQL}', '', 'g') <> ''),
+    s AS (SELECT doc_id, sum(n) AS total FROM l1 GROUP BY doc_id),
+    l AS (SELECT l1.* FROM l1 JOIN s USING (doc_id) WHERE total > budget),
+    r AS (SELECT doc_id, budget, i, n AS size, n > budget AS alone, 0 AS part FROM l WHERE i = 1
+          UNION ALL SELECT l.doc_id, l.budget, l.i, CASE WHEN NOT r.alone AND r.size + l.n <= l.budget THEN r.size + l.n ELSE l.n END, l.n > l.budget,
+                           CASE WHEN NOT r.alone AND r.size + l.n <= l.budget THEN r.part ELSE r.part + 1 END
+          FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+    g AS (SELECT l.doc_id, budget, part, line, l.n, i, alone FROM r JOIN l USING (doc_id, budget, i)),
+    w AS (SELECT doc_id, budget, part, regexp_extract_all(line, '{_COUNTED_SQL}') AS w, string_split_regex(line, '{_COUNTED_SQL}') AS gaps, unnest(range(cast(ceil(n / budget) AS INT))) AS k FROM g WHERE alone),
+    b AS (SELECT doc_id, budget, part, 0 AS k, string_agg(line, E'\n' ORDER BY i) AS body, sum(n) AS n FROM g WHERE NOT alone GROUP BY ALL
+          UNION ALL SELECT doc_id, budget, part, k, array_to_string(list_transform(range(k * budget + 1, least((k + 1) * budget, len(w))), lambda x: w[x] || gaps[x + 1]), '') || w[least((k + 1) * budget, len(w))], least(budget, len(w) - k * budget) FROM w),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part DESC, k DESC) AS back, lag(n) OVER q AS n_before, lag(body) OVER q AS body_before, lead(n) OVER q AS n_after FROM b WINDOW q AS (PARTITION BY doc_id ORDER BY part, k)),
+    m AS (SELECT doc_id, part, k, n + CASE WHEN back = 1 AND n < 48 AND n_before + n <= budget + 48 THEN n_before ELSE 0 END AS n,
+                 CASE WHEN back = 1 AND n < 48 AND n_before + n <= budget + 48 THEN body_before || E'\n' || body ELSE body END AS body
+          FROM o WHERE NOT (back = 2 AND n_after < 48 AND n + n_after <= budget + 48)),
+    a AS (SELECT doc_id, 0 AS part, 0 AS k, coalesce(total, 0) AS n, t AS body FROM d LEFT JOIN s USING (doc_id) WHERE t <> '' AND coalesce(total, 0) <= budget UNION ALL FROM m SELECT doc_id, part, k, n, body),
+    f AS (SELECT d.*, a.n, a.body, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id, a.part, a.k) - 1 AS ord FROM a JOIN d USING (doc_id))
+    SELECT source || ':' || lang || ':structural:' || lpad(cast(ord AS VARCHAR), 4, '0') AS chunk_id, source || ':' || lang AS document_id, source AS source_id, lang AS language, 'structural' AS strategy, cast(ord AS INT) AS ord,
+           source || ' > Article ' || doc_id AS header, cast(n AS INT) AS token_count, source || ':art:' || doc_id AS provision, sha256(body) AS sha FROM f""")
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as provisions of their source, lines as paragraphs, cut by structure."""
-    return chunking.structural_chunks(_provisions(spark, sf_dir)).drop("text")
+    """Documents as provisions of their source and language, lines as paragraphs, cut by structure."""
+    return chunking.structural_chunks(_provisions(spark, sf_dir)).withColumns({"sha": F.sha2("text", 256), "provision": F.element_at("provision_ids", 1)}).drop("text", "provision_ids")
 
 
 @query(rf"""
