@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
 #: Asked terms that are listed in a filter, so that scans of stored postings skip what they don't hold; more are joined.
 LISTED = 5_000
 #: Asked terms that are broadcast; more are joined by a shuffle.
@@ -17,11 +15,10 @@ SENT = 1_000_000
 
 @dataclass(frozen=True)
 class Lexical:
-    """postings (id, term, tf, len), stats (id, len), terms (term, df), totals (n, avgdl), all with the columns ``by``: an index
-    for each of their values, such as a language."""
+    """postings (id, term, tf, len), terms (term, df), totals (n, avgdl), all with the columns ``by``: an index for each of their
+    values, such as a language."""
 
     postings: DataFrame
-    stats: DataFrame
     terms: DataFrame
     totals: DataFrame
     by: tuple[str, ...] = ()
@@ -53,21 +50,21 @@ def of(postings: DataFrame, stats: DataFrame, by: tuple[str, ...] = ()) -> Lexic
     """The index of postings (id, by, len, term, tf) and the lengths of all documents (id, by, len)."""
     terms = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
     totals = stats.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
-    return Lexical(postings, stats, terms, totals, by)
+    return Lexical(postings, terms, totals, by)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def _with_totals(df: DataFrame, index: Lexical) -> DataFrame:
+def with_totals(df: DataFrame, index: Lexical) -> DataFrame:
     """One row of totals for each value of ``by``: a handful."""
     totals = F.broadcast(index.totals)
     return df.join(totals, list(index.by)) if index.by else df.crossJoin(totals)
 
 
 def term_stats(index: Lexical) -> DataFrame:
-    return _with_totals(index.terms, index).select(*index.by, "term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+    return with_totals(index.terms, index).select(*index.by, "term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def search(index: Lexical, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
@@ -76,7 +73,7 @@ def search(index: Lexical, queries: DataFrame, k: int, k1: float = 1.5, b: float
     """
     asked = queries.select("qid", *index.by, F.explode("tokens").alias("term")).groupBy("qid", *index.by, "term").agg(F.count("*").alias("times"))
     on = [*index.by, "term"]
-    weighted = _with_totals(asked.join(index.terms, on), index).select("qid", *on, "times", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+    weighted = with_totals(asked.join(index.terms, on), index).select("qid", *on, "times", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     hits = index.postings.join(weighted, on)
     ratio = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("len") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIGURATIONS, Settings
-from . import dense, lexical, references
+from . import blocks, dense, lexical, references
 
 
 def fuse(rankings: DataFrame, weights: Mapping[str, float], k: int = 60, by: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -37,7 +37,7 @@ def finish(fused: DataFrame, chunks: DataFrame, limit: int, sources: list[str] |
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def rankings(queries: DataFrame, chunks: DataFrame, index: lexical.Lexical | None, vectors: DataFrame, signals: tuple[str, ...], settings: Settings, same: tuple[str, ...] = ()) -> DataFrame:
+def rankings(queries: DataFrame, chunks: DataFrame, index: lexical.Lexical | blocks.Blocked | None, vectors: DataFrame, signals: tuple[str, ...], settings: Settings, same: tuple[str, ...] = ()) -> DataFrame:
     """(qid, signal, id, position) of each signal asked for.
 
     queries: qid, text, tokens, vector, and the columns ``same``; chunks: id, ord, source_id, provision_ids, and ``same``;
@@ -54,7 +54,10 @@ def rankings(queries: DataFrame, chunks: DataFrame, index: lexical.Lexical | Non
     if "dense" in signals:
         parts.append(_dense(queries, chunks, vectors, settings, same).select("qid", F.lit("dense").alias("signal"), "id", "position"))
     if "bm25" in signals:
-        hits = lexical.search(index, queries, settings.candidates, settings.bm25_k1, settings.bm25_b)
+        if isinstance(index, blocks.Blocked):
+            hits = blocks.search(index, queries, settings.candidates, settings.bm25_k1)
+        else:
+            hits = lexical.search(index, queries, settings.candidates, settings.bm25_k1, settings.bm25_b)
         parts.append(hits.select("qid", F.lit("bm25").alias("signal"), "id", "position"))
     out = parts[0]
     for p in parts[1:]:
@@ -77,7 +80,7 @@ def _dense(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, settings:
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame, index: lexical.Lexical | None, vectors: DataFrame, settings: Settings | None = None, signals: tuple[str, ...] | None = None,
+    queries: DataFrame, chunks: DataFrame, index: lexical.Lexical | blocks.Blocked | None, vectors: DataFrame, settings: Settings | None = None, signals: tuple[str, ...] | None = None,
     weights: Mapping[str, float] | None = None, sources: list[str] | None = None, limit: int | None = None, same: tuple[str, ...] = (),
 ) -> DataFrame:
     """Hybrid search: qid, rank, id, score, components, matched_reference, source_id, provision_ids. A limit of 0 means the default."""
@@ -87,7 +90,7 @@ def search(
     return finish(fused, chunks, limit or settings.top_k, sources).withColumn("matched_reference", F.map_contains_key("components", F.lit("reference")))
 
 
-def compare(queries: DataFrame, chunks: DataFrame, index: lexical.Lexical | None, vectors: DataFrame, settings: Settings | None = None, limit: int = 5, configurations: Mapping[str, Mapping[str, float]] = CONFIGURATIONS, same: tuple[str, ...] = ()) -> DataFrame:
+def compare(queries: DataFrame, chunks: DataFrame, index: lexical.Lexical | blocks.Blocked | None, vectors: DataFrame, settings: Settings | None = None, limit: int = 5, configurations: Mapping[str, Mapping[str, float]] = CONFIGURATIONS, same: tuple[str, ...] = ()) -> DataFrame:
     """Every configuration's results in one plan: config, qid, rank, id, score, provision_ids. Signals are ranked once."""
     settings = settings or Settings()
     found = rankings(queries, chunks, index, vectors, ("reference", "dense", "bm25"), settings, same)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,15 +93,22 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 BUCKETS = 64
+#: Times that an addition is tried again after another writer's commit came first.
+TRIES = 5
+
+
+class Conflict(RuntimeError):
+    """Another writer committed since this one read the catalog."""
 
 
 class Tables:
-    """Parquet tables below a folder, with one catalog file that says which folders are current.
+    """Parquet tables below a folder, with numbered catalog files of which the last says which folders are current.
 
-    Keyed tables are kept in BUCKETS buckets by a hash of their key column. Replacing keys writes the buckets they fall into
-    anew, without the keys' old rows, into fresh folders; then the catalog is replaced by one rename, for all tables of
-    a call at once. A reader sees all of a replacement or nothing of it, a failed one leaves only folders that nobody names, and
-    other buckets are neither read nor written. ``vacuum`` removes folders that are no longer current.
+    Keyed tables are kept in BUCKETS buckets by a hash of their first key column. Replacing keys writes the buckets they fall into
+    anew, without the keys' old rows, into fresh folders; then a catalog with the next number is created, for all tables of a call at
+    once. A number can be created only once: the second of two writers gets a Conflict and nothing of it is seen, so no update is lost.
+    A reader sees all of a replacement or nothing of it, a failed one leaves only folders that nobody names, and other buckets are
+    neither read nor written. ``vacuum`` removes folders and catalogs that are no longer current.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -110,34 +119,42 @@ class Tables:
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(self.folder).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if "://" in self.folder or self.folder.startswith("file:") else self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return context, path
+        return path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _versions(self) -> list[int]:
+        fs, path = self._fs()
+        if not fs.exists(path(self.folder)):
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(path(self.folder)))
+        return sorted(int(n[8:-5]) for n in names if re.fullmatch(r"catalog-\d+\.json", n))
+
+    def _latest(self) -> tuple[int, dict[str, dict[str, list[str]]]]:
+        versions = self._versions()
+        if not versions:
+            return 0, {}
+        row = self.spark.read.text(self.path(f"catalog-{versions[-1]}.json"), wholetext=True).first()
+        return versions[-1], json.loads(row["value"])
 
     def catalog(self) -> dict[str, dict[str, list[str]]]:
         """Folders of each table by bucket; those of tables without a key are all in bucket ""."""
-        from pyspark.errors import AnalysisException
+        return self._latest()[1]
 
-        try:
-            rows = self.spark.read.text(self.path("catalog.json"), wholetext=True).collect()
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return {}
-        return json.loads(rows[0]["value"])
-
-    def _commit(self, catalog: dict[str, dict[str, list[str]]]) -> None:
-        context, path = self._fs()
-        new = self.path(f"catalog-{uuid.uuid4().hex}.json")
-        jvm = self.spark._jvm
-        flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.CreateOpts.createParent()
-        out = context.create(path(new), flags, options)
+    def _commit(self, version: int, catalog: dict[str, dict[str, list[str]]]) -> None:
+        """Makes the catalog that follows ``version``: written under another name, then given its number if nobody has it."""
+        fs, path = self._fs()
+        new, name = path(self.path(f".{uuid.uuid4().hex}")), path(self.path(f"catalog-{version + 1}.json"))
+        out = fs.create(new, False)
         out.write(json.dumps(catalog, sort_keys=True).encode())
         out.close()
-        renames = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(path(new), path(self.path("catalog.json")), renames)
+        renames = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(new), fs.makeQualified(name), renames)
+        except Exception as e:
+            fs.delete(new, False)
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(f"catalog {version + 1} of {self.folder} was made by another writer") from None
+            raise
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         """The table, or no rows if it doesn't exist yet."""
@@ -147,55 +164,66 @@ class Tables:
         paths = [self.path(p) for own in buckets.values() for p in own]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def replace(self, keys: DataFrame, column: str, new: dict[str, tuple[DataFrame, T.StructType, dict[str, str]]]) -> None:
+    def replace(self, keys: DataFrame, column: str, new: dict[str, tuple[DataFrame, T.StructType, dict[str, str]]], others: dict[str, tuple[DataFrame, T.StructType, dict[str, str], DataFrame, list[str]]] | None = None) -> None:
         """In each table of ``new`` (rows, schema, scope), rows of the ``keys`` (one column) go, and those of ``new`` come: keys
-        without new rows are deleted. With a scope (column: value), only old rows that have it go."""
-        catalog = self.catalog()
-        bucket = F.pmod(F.xxhash64(F.col(column)), F.lit(BUCKETS)).cast("string")
-        keys = keys.select(column).distinct()
+        without new rows are deleted. With a scope (column: value), only old rows that have it go. ``others`` change in the same
+        commit and have keys of their own: (rows, schema, scope, keys, their columns)."""
+        version, catalog = self._latest()
+        for name, (rows, schema, scope, own, columns) in ({n: (*x, keys, [column]) for n, x in new.items()} | (others or {})).items():
+            catalog[name] = self._replaced(catalog.get(name, {}), name, rows, schema, scope, own.select(*columns).distinct(), columns)
+        self._commit(version, catalog)
+
+    def _replaced(self, had: dict[str, list[str]], name: str, rows: DataFrame, schema: T.StructType, scope: dict[str, str], keys: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+        bucket = F.pmod(F.xxhash64(F.col(columns[0])), F.lit(BUCKETS)).cast("string")
         touched = sorted(r[0] for r in keys.select(bucket).distinct().collect())  # at most BUCKETS
-        version = uuid.uuid4().hex
-        for name, (rows, schema, scope) in new.items():
-            had = catalog.get(name, {})
-            old = self._read({b: had[b] for b in touched if b in had}, schema)
-            goes = old.join(keys.withColumn("__goes", F.lit(True)), column, "left").withColumn("__goes", F.coalesce("__goes", F.lit(False)) & reduce(Column.__and__, [F.col(k).eqNullSafe(v) for k, v in scope.items()], F.lit(True)))
-            kept = goes.where(~F.col("__goes")).select(*schema.fieldNames())
-            out = f"{name}/{version}"
-            sort = [c for c in ("term", column) if c in schema.fieldNames()]
-            both = kept.unionByName(rows.select(*schema.fieldNames())).withColumn("bucket", bucket)
-            both.repartition("bucket").sortWithinPartitions("bucket", *sort).write.partitionBy("bucket").parquet(self.path(out))
-            context, path = self._fs()
-            made = {b for b in touched if context.util().exists(path(self.path(f"{out}/bucket={b}")))}
-            catalog[name] = {b: p for b, p in had.items() if b not in touched} | {b: [f"{out}/bucket={b}"] for b in made}
-        self._commit(catalog)
+        old = self._read({b: had[b] for b in touched if b in had}, schema)
+        goes = old.join(keys.withColumn("__goes", F.lit(True)), columns, "left").withColumn("__goes", F.coalesce("__goes", F.lit(False)) & reduce(Column.__and__, [F.col(k).eqNullSafe(v) for k, v in scope.items()], F.lit(True)))
+        kept = goes.where(~F.col("__goes")).select(*schema.fieldNames())
+        out = f"{name}/{uuid.uuid4().hex}"
+        sort = [c for c in ("term", columns[0]) if c in schema.fieldNames()]
+        both = kept.unionByName(rows.select(*schema.fieldNames())).withColumn("bucket", bucket)
+        both.repartition("bucket").sortWithinPartitions("bucket", *sort).write.partitionBy("bucket").parquet(self.path(out))
+        fs, path = self._fs()
+        made = {b for b in touched if fs.exists(path(self.path(f"{out}/bucket={b}")))}
+        return {b: p for b, p in had.items() if b not in touched} | {b: [f"{out}/bucket={b}"] for b in made}
 
     def append(self, name: str, df: DataFrame) -> None:
         own = f"{name}/{uuid.uuid4().hex}"
         df.write.parquet(self.path(own))
-        catalog = self.catalog()
-        catalog.setdefault(name, {}).setdefault("", []).append(own)
-        self._commit(catalog)
+        self._put(lambda catalog: catalog.setdefault(name, {}).setdefault("", []).append(own))
 
     def overwrite(self, name: str, df: DataFrame, part: str = "") -> None:
         """The table's ``part`` becomes ``df``."""
         own = f"{name}/{uuid.uuid4().hex}"
         df.write.parquet(self.path(own))
-        catalog = self.catalog()
-        catalog.setdefault(name, {})[part] = [own]
-        self._commit(catalog)
+        self._put(lambda catalog: catalog.setdefault(name, {}).update({part: [own]}))
+
+    def _put(self, change: Callable[[dict], object]) -> None:
+        """Commits a change that doesn't depend on what the tables hold, after other writers' commits if need be."""
+        for k in range(TRIES):
+            version, catalog = self._latest()
+            change(catalog)
+            try:
+                return self._commit(version, catalog)
+            except Conflict:
+                if k == TRIES - 1:
+                    raise
 
     def count(self, name: str, schema: T.StructType, **values: object) -> int:
         """Rows of a table that equal every value that isn't None."""
         return where_given(self.read(name, schema), **values).count()
 
     def vacuum(self) -> int:
-        """Deletes folders that the catalog doesn't name; their number. Not while others read or write."""
-        context, path = self._fs()
-        catalog = self.catalog()
+        """Deletes folders that the catalog doesn't name, and earlier catalogs; the number of folders. Not while others read or write."""
+        fs, path = self._fs()
+        version, catalog = self._latest()
         named = {p.split("/")[1] for buckets in catalog.values() for own in buckets.values() for p in own}
         gone = 0
         for name in catalog:
-            for status in context.util().listStatus(path(self.path(name))):
+            for status in fs.listStatus(path(self.path(name))):
                 if status.getPath().getName() not in named:
-                    gone += bool(context.delete(status.getPath(), True))
+                    gone += bool(fs.delete(status.getPath(), True))
+        for v in self._versions():
+            if v < version:
+                fs.delete(path(self.path(f"catalog-{v}.json")), False)
         return gone

@@ -10,29 +10,46 @@ from pyspark.sql import functions as F
 from ..config import CONFIGURATIONS, Settings
 from ..functions.text import analyse, detect_language, embedding_text
 from ..functions.vectors import hashing_embedding
-from ..operators import answers, evaluation, lexical, retrieval, store
+from ..operators import answers, blocks, evaluation, lexical, retrieval, statistics, store
 from ..operators.chunking import WORDS, TokenCounter, chunk
-from ..schemas import CHUNK_EMBEDDINGS, CHUNKS, DOCUMENTS, EMBEDDING_CACHE, LENGTHS, POSTINGS, PROVISIONS
+from ..schemas import BOUNDS, CHUNK_EMBEDDINGS, CHUNKS, DOCUMENTS, EMBEDDING_CACHE, LENGTHS, POSTINGS, PROVISIONS, TERMS, TOTALS
 
 
 def ingest(tables: store.Tables, documents: DataFrame, provisions: DataFrame, settings: Settings | None = None, counter: TokenCounter = WORDS) -> DataFrame:
-    """Stores documents, provisions, chunks and the chunks' postings, replacing those of the same document (of chunks and postings:
-    of the same strategy); the report. All tables change at once, and what a document no longer has is deleted."""
+    """Stores documents, provisions, chunks, the chunks' postings and their bounds, replacing those of the same document (from chunks on:
+    of the same strategy), and adds the change to the stored term statistics; the report. All tables change at once, and what a
+    document no longer has is deleted."""
     settings = settings or Settings()
-    cut = chunk(provisions, settings.chunk_strategy, settings.chunk_max_tokens, settings.chunk_overlap_tokens, settings.chunk_min_tokens, counter).select(*CHUNKS.fieldNames()).persist()
+    strategy = settings.chunk_strategy
+    cut = chunk(provisions, strategy, settings.chunk_max_tokens, settings.chunk_overlap_tokens, settings.chunk_min_tokens, counter).select(*CHUNKS.fieldNames()).persist()
     tokens = cut.select("document_id", "strategy", "language", F.col("chunk_id").alias("id"), analyse(embedding_text(F.col("header"), F.col("text")), F.col("language")).alias("tokens")).withColumn("len", F.size("tokens")).persist()
     keys = ["document_id", "strategy", "language", "id", "len"]
     postings = tokens.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    own = {"strategy": settings.chunk_strategy}
+    own = {"strategy": strategy}
+    names = documents.select("document_id").distinct()
+    gone = [store.where_given(tables.read(name, schema), strategy=strategy).join(names, "document_id", "left_semi") for name, schema in (("postings", POSTINGS), ("lengths", LENGTHS))]
+    stored = stored_statistics(tables, strategy)
+    changed = statistics.change(statistics.of(*gone, ("language",)), statistics.of(postings, tokens, ("language",)))
+    after = statistics.touched(stored, changed)
+    # The average length as it is after this change; later changes are allowed for by searches.
+    placed = postings.withColumn("block", F.col("document_id"))
+    bounds = blocks.bounds(placed, statistics.index(placed, statistics.merged(stored, changed)), settings.bm25_b).withColumnRenamed("block", "document_id").withColumn("strategy", F.lit(strategy))
     try:
         tables.replace(documents, "document_id", {
-            "documents": (documents, DOCUMENTS, {}), "provisions": (provisions, PROVISIONS, {}), "chunks": (cut, CHUNKS, own), "postings": (postings, POSTINGS, own), "lengths": (tokens, LENGTHS, own),
+            "documents": (documents, DOCUMENTS, {}), "provisions": (provisions, PROVISIONS, {}), "chunks": (cut, CHUNKS, own), "postings": (postings, POSTINGS, own), "lengths": (tokens, LENGTHS, own), "bounds": (bounds, BOUNDS, own),
+        }, {
+            "terms": (after.terms.withColumn("strategy", F.lit(strategy)), TERMS, own, changed.terms, ["term", "language"]), "totals": (after.totals.withColumn("strategy", F.lit(strategy)), TOTALS, own, changed.totals, ["language"]),
         })
     finally:
         tokens.unpersist()
         cut.unpersist()
-    stored = tables.read("chunks", CHUNKS).join(documents.select("document_id"), "document_id", "left_semi").where(F.col("strategy") == settings.chunk_strategy)
-    return store.ingest_report(documents, provisions, stored)
+    now = tables.read("chunks", CHUNKS).join(documents.select("document_id"), "document_id", "left_semi").where(F.col("strategy") == strategy)
+    return store.ingest_report(documents, provisions, now)
+
+
+def stored_statistics(tables: store.Tables, strategy: str) -> statistics.Statistics:
+    terms, totals = (store.where_given(tables.read(name, schema), strategy=strategy).drop("strategy") for name, schema in (("terms", TERMS), ("totals", TOTALS)))
+    return statistics.Statistics(terms, totals, ("language",))
 
 
 def index(tables: store.Tables, embed: Callable[[Column], Column] = hashing_embedding, model: str = "hashing-64", dimensions: int = 64) -> DataFrame:
@@ -54,7 +71,8 @@ class Searcher:
         self.settings, self.embed = settings or Settings(), embed
         chunks = store.where_given(tables.read("chunks", CHUNKS), strategy=self.settings.chunk_strategy)
         self.chunks = chunks.withColumn("id", F.col("chunk_id"))
-        self.postings, self.lengths = (store.where_given(tables.read(name, schema), strategy=self.settings.chunk_strategy) for name, schema in (("postings", POSTINGS), ("lengths", LENGTHS)))
+        self.postings, self.bounds = (store.where_given(tables.read(name, schema), strategy=self.settings.chunk_strategy).withColumn("block", F.col("document_id")) for name, schema in (("postings", POSTINGS), ("bounds", BOUNDS)))
+        self.statistics = stored_statistics(tables, self.settings.chunk_strategy)
         cache, links = tables.read("embedding_cache", EMBEDDING_CACHE), tables.read("chunk_embeddings", CHUNK_EMBEDDINGS)
         self.vectors = store.vector_matrix(links, cache, chunks, model).withColumnRenamed("chunk_id", "id")
 
@@ -64,10 +82,12 @@ class Searcher:
         own = queries.withColumn("language", language)
         return own.withColumns({"tokens": analyse(F.col("text"), F.col("language")), "vector": self.embed(F.col("text"))})
 
-    def lexical(self, asked: DataFrame) -> lexical.Lexical:
-        """The stored index's part for the questions' terms: other postings aren't read."""
-        own = lexical.only(self.postings.select("id", "language", "len", "term", "tf"), lexical.asked_terms(asked))
-        return lexical.of(own, self.lengths.select("id", "language", "len"), ("language",))
+    def lexical(self, asked: DataFrame) -> blocks.Blocked:
+        """The stored index's part for the questions' terms: other postings, bounds and frequencies aren't read, and no lengths."""
+        terms = lexical.asked_terms(asked)
+        own = lexical.only(self.postings.select("id", "language", "block", "len", "term", "tf"), terms)
+        kept = statistics.Statistics(lexical.only(self.statistics.terms, terms), self.statistics.totals, self.statistics.by)
+        return blocks.Blocked(own, lexical.only(self.bounds.select("language", "block", "term", "most", "base"), terms), statistics.index(own, kept), self.settings.bm25_b)
 
     def search(self, queries: DataFrame, signals: tuple[str, ...] | None = None, weights: Mapping[str, float] | None = None, sources: list[str] | None = None, limit: int | None = None) -> DataFrame:
         asked = self.questions(queries)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import CONFIGURATIONS, Settings
 from .functions import text as T
 from .functions.vectors import hashing_embedding
-from .operators import answers, audit, chunking, dense, evaluation, lexical, references, retrieval, store
+from .operators import answers, audit, blocks, chunking, dense, evaluation, lexical, references, retrieval, statistics, store
 from .sources import files, markup, sections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +219,45 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, 10)
 
 
+@query(f"""
+    WITH {_BM25},
+    wt AS (SELECT qid, term, times * ln(1 + (n - df + 0.5) / (df + 0.5)) AS weight FROM qt JOIN df USING (term), st),
+    bo AS (SELECT term, doc_id // 64 AS block, max(tf / (0.25 + 0.75 * len / avgdl)) AS most FROM tf JOIN dl USING (doc_id), st WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+    ea AS (SELECT qid, block, round(sum(weight * most * 2.5 / (most + 1.5)), 9) AS bound, round(max(weight * most * 2.5 / (most + 1.5)), 9) AS sure FROM wt JOIN bo USING (term) GROUP BY ALL),
+    th AS (SELECT qid, sure AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sure DESC) AS r FROM ea) WHERE r = 10),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bound DESC, block) AS place, coalesce(bound >= threshold - 2e-6, true) AS kept FROM ea LEFT JOIN th USING (qid)),
+    hd AS (SELECT qid, score AS scored FROM (SELECT sc.qid, score, row_number() OVER (PARTITION BY sc.qid ORDER BY score DESC) AS r FROM sc JOIN pl ON pl.qid = sc.qid AND pl.block = sc.id // 64 WHERE kept AND place <= 4) WHERE r = 10)
+    SELECT qid, count(*) AS blocks, count(*) FILTER (kept AND place <= 4) AS joined_first, count(*) FILTER (kept AND place > 4 AND coalesce(bound >= scored - 2e-6, true)) AS joined_after,
+           count(*) FILTER (kept AND place > 4 AND bound < scored - 2e-6) AS passed_by_scores, count(*) FILTER (NOT kept) AS passed_by_bounds FROM pl LEFT JOIN hd USING (qid) GROUP BY qid""")
+def bm25_blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of 64 documents each question of ``bm25_topk`` needs, and why others are passed over."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.col("text")).alias("tokens"))
+    _, _, told = blocks.plan(blocks.blocked(lexical.build(docs, "doc_id", "tokens", asked=lexical.asked_terms(asked))), asked, 10)
+    counts = [F.count_if(F.col("stage") == k).alias(c) for k, c in ((1, "joined_first"), (2, "joined_after"), (3, "passed_by_scores"), (4, "passed_by_bounds"))]
+    return told.groupBy("qid").agg(F.count("*").alias("blocks"), *counts)
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN text || ' replaced ' || source ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4),
+    dt AS (SELECT doc_id, lang, {sql_tokens("text")} AS tokens FROM d),
+    t AS (SELECT lang, term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, lang, unnest(tokens) AS term FROM dt) GROUP BY ALL),
+    n AS (SELECT lang, count(*) AS n, cast(sum(len(tokens)) AS BIGINT) AS tokens FROM dt GROUP BY lang)
+    SELECT lang, term, df, n, tokens FROM t JOIN n USING (lang)""")
+def index_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of an index after every second document was replaced and every tenth left out, by the change alone."""
+    docs = table(spark, sf_dir, "documents")
+    even = docs.where("doc_id % 2 = 0")
+    new = even.where("doc_id % 10 <> 4").withColumn("text", F.concat("text", F.lit(" replaced "), "source"))
+
+    def of(rows: DataFrame) -> statistics.Statistics:
+        own = rows.select("doc_id", "lang", T.tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
+        return statistics.of(own.select("doc_id", "lang", F.explode("tokens").alias("term")).distinct(), own, ("lang",))
+
+    now = statistics.merged(of(docs), statistics.change(of(even), of(new)))
+    return now.terms.join(F.broadcast(now.totals), "lang").select("lang", "term", "df", "n", "tokens")
+
+
 @query(None)
 def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies of stems: rows only, as DuckDB has no French stemmer."""

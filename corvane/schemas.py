@@ -23,6 +23,9 @@ PROVISIONS = struct(provision_id=S, document_id=S, source_id=S, language=S, kind
 DOCUMENTS = struct(document_id=S, source_id=S, language=S, title=S, url=S, sha256=S, fetched_at=TS)
 CHUNKS = struct(chunk_id=S, document_id=S, source_id=S, language=S, strategy=S, ord=I, header=S, text=S, token_count=I, provision_ids=T.ArrayType(S))
 POSTINGS = struct(document_id=S, strategy=S, language=S, id=S, term=S, tf=L, len=I)
+BOUNDS = struct(document_id=S, strategy=S, language=S, term=S, most=D, base=D)
+TERMS = struct(strategy=S, language=S, term=S, df=L)
+TOTALS = struct(strategy=S, language=S, n=L, tokens=L)
 LENGTHS = struct(document_id=S, strategy=S, language=S, id=S, len=I)
 EMBEDDING_CACHE = struct(text_sha256=S, model=S, dimensions=I, vector=T.ArrayType(T.FloatType()))
 CHUNK_EMBEDDINGS = struct(chunk_id=S, model=S, text_sha256=S)
