@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_json, digest, folded, strip
+from ..functions.text import canonical_json, digest, strip
 from ..schemas import ANSWER, ROUTE_DECISION, ROUTES
+from . import containment
 
 #: Fixed texts for runs without an answer.
 NOT_COVERED = {"en": "The indexed texts do not cover this question.", "fr": "Les textes indexés ne couvrent pas cette question."}
 OUT_OF_SCOPE = {"en": "This question is outside the scope of the indexed texts.", "fr": "Cette question sort du champ des textes indexés."}
 HALTED = {"en": "Stopped before an answer was found: the budget was used up.", "fr": "Arrêt avant une réponse : le budget est épuisé."}
 DEFINITIONS_SHOWN = 6
-#: Terms that are broadcast at a time.
-SENT_TERMS = 10_000
 SUBMIT = "submit_answer"
 
 
@@ -90,11 +88,7 @@ def definitions(provisions: DataFrame, terms: DataFrame, provision_ids: list[str
     """(term, seq, provision_id, label, text): the first paragraphs that contain each term, whatever its case."""
     own = provisions if provision_ids is None else provisions.where(F.col("provision_id").isin(provision_ids))
     each = own.select("provision_id", "ord", F.posexplode("paragraphs").alias("at", "p")).select("provision_id", "ord", "at", "p.*")
-    # A stated set of terms against all paragraphs, in blocks of about SENT_TERMS: each task streams its paragraphs past a block.
-    asked = terms.select("term").distinct()
-    blocks = max(1, -(-asked.count() // SENT_TERMS))
-    some = lambda block: F.broadcast(asked.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block))
-    met = reduce(DataFrame.unionByName, [each.join(some(block), F.contains(folded(F.col("text")), folded(F.col("term")))) for block in range(blocks)])
+    met = containment.containing(each, terms)
     seq = F.row_number().over(Window.partitionBy("term").orderBy("ord", "provision_id", "at"))
     return met.withColumn("seq", seq).where(F.col("seq") <= DEFINITIONS_SHOWN).select("term", "seq", "provision_id", "label", "text")
 

@@ -136,30 +136,41 @@ def rendered(provisions: DataFrame) -> DataFrame:
     return grouped.select("document_id", "source_id", "language", F.array_join(F.transform("parts", lambda p: p["text"]), SEPARATOR).alias("text"), spans.alias("spans"))
 
 
-def overlapping(spans: Column, start: Column, end: Column) -> Column:
-    """provision_ids of the spans that overlap [start, end), in order."""
-    return F.transform(F.filter(spans, lambda s: (s["start"] < end) & (start < s["end"])), lambda s: s["provision_id"])
+#: Characters of a step of the overlap join.
+STEP = 2048
 
 
-def overlap_join(windows: DataFrame, spans: DataFrame, on: str) -> DataFrame:
-    """Pairs of windows and spans of one document that overlap: hashed by document, so no pair of documents meets."""
-    return windows.join(spans, (windows[on] == spans[on]) & (spans["s"] < windows["b"]) & (windows["a"] < spans["e"])).drop(spans[on])
+def overlap_join(windows: DataFrame, spans: DataFrame, on: str, step: int = STEP) -> DataFrame:
+    """Pairs of windows [a, b) and spans [s, e) of one document that overlap. Both are filed under the steps of the document that they touch
+    and meet there, a pair at the first step that both touch: a window looks at the spans beside it, not at all of its document."""
+    steps = lambda first, end: F.sequence(F.floor(F.col(first) / step), F.floor(F.greatest(F.col(end) - 1, F.col(first)) / step))
+    left = windows.withColumn("__step", F.explode(steps("a", "b")))
+    right = spans.withColumn("__step", F.explode(steps("s", "e")))
+    met = left.join(right, [on, "__step"]).where((F.col("s") < F.col("b")) & (F.col("a") < F.col("e")))
+    return met.where(F.col("__step") == F.floor(F.greatest("a", "s") / step)).drop("__step")
 
 
 def fixed_chunks(provisions: DataFrame, size: int = 512, overlap: int = 64, counter: TokenCounter = WORDS) -> DataFrame:
     """Sliding windows over whole documents; places come from token offsets, so repeated text is never mislocated."""
-    docs = rendered(provisions).withColumn("offsets", counter.offsets(F.col("text")))
+    keys = ["document_id", "source_id", "language"]
+    docs = rendered(provisions)
+    placed = docs.withColumn("offsets", counter.offsets(F.col("text")))
 
     def cut(start: Column) -> Column:
         own = F.slice("offsets", start + 1, size)
         a, b = F.element_at(own, 1)["start"], F.element_at(own, -1)["end"]
-        return F.struct(F.substring("text", a + 1, b - a).alias("text"), F.size(own).alias("token_count"), overlapping(F.col("spans"), a, b).alias("provision_ids"))
+        return F.struct(F.substring("text", a + 1, b - a).alias("text"), F.size(own).alias("token_count"), a.alias("a"), b.alias("b"))
 
     # A window is made as a small struct, so no row holds the whole text beside it.
-    each = docs.select("document_id", "source_id", "language", F.posexplode(F.transform(window_starts(F.size("offsets"), size, overlap), cut)).alias("order", "cut"))
-    return each.select(
+    each = placed.select(*keys, F.xxhash64(*keys).alias("doc"), F.posexplode(F.transform(window_starts(F.size("offsets"), size, overlap), cut)).alias("order", "cut")).select(*keys, "doc", "order", "cut.*")
+    spans = docs.select(F.xxhash64(*keys).alias("doc"), *(F.col(c).alias(f"of_{c}") for c in keys), F.explode("spans").alias("span")).select("doc", *(f"of_{c}" for c in keys), F.col("span.start").alias("s"), F.col("span.end").alias("e"), "span.provision_id")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys]
+    met = overlap_join(each.select(*keys, "doc", "order", "a", "b"), spans, "doc").where(same[0] & same[1] & same[2])
+    named = met.groupBy(*keys, "order").agg(F.array_sort(F.collect_list(F.struct("s", "provision_id"))).alias("own")).select(*(F.col(c).alias(f"of_{c}") for c in keys), F.col("order").alias("of_order"), F.col("own.provision_id").alias("provision_ids"))
+    full = each.join(named, (F.col("order") == F.col("of_order")) & same[0] & same[1] & same[2], "left")
+    return full.select(
         chunk_id(F.col("document_id"), F.lit("fixed"), F.col("order")).alias("chunk_id"), "document_id", "source_id", "language", F.lit("fixed").alias("strategy"), F.col("order").alias("ord"), F.lit("").alias("header"),
-        "cut.text", "cut.token_count", "cut.provision_ids",
+        "text", "token_count", F.coalesce("provision_ids", F.array().cast("array<string>")).alias("provision_ids"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import CONFIGURATIONS, Settings
 from .functions import text as T
 from .functions.vectors import hashing_embedding
-from .operators import answers, audit, blocks, chunking, dense, evaluation, lexical, references, retrieval, statistics, store
+from .operators import answers, audit, blocks, cells, chunking, containment, dense, evaluation, lexical, references, retrieval, statistics, store
 from .sources import files, markup, sections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,6 +293,13 @@ def dense_topk_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.search(vectors, asked, 10, allowed=vectors.where("label % 2 = 0"))
 
 
+@query(f"WITH {_DENSE} SELECT qid, id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM de) WHERE position <= 10")
+def dense_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dense_topk`` over the partitioned index."""
+    vectors, asked = _vectors(spark, sf_dir)
+    return cells.search(cells.built(vectors.select("id", "vector")), asked.select("qid", "vector"), 10)[0]
+
+
 @query("""
     WITH w AS (SELECT doc_id, lower(x) AS w FROM (SELECT doc_id, unnest(%s) AS x FROM documents)),
     b AS (SELECT doc_id, cast('0x' || substr(sha256(w), 1, 2) AS INT) %% 64 AS b, count(*) AS n FROM w GROUP BY ALL)
@@ -462,7 +469,7 @@ def window_span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _lines(docs).select("doc_id", "i", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("s"), F.length("line").alias("n")).withColumn("e", F.col("s") + F.col("n")).drop("n")
     count = F.ceil(F.greatest(F.length("text"), F.lit(1)) / 500).cast("int")
     windows = docs.select("doc_id", F.explode(F.sequence(F.lit(0), count - 1)).alias("win")).withColumns({"a": F.col("win") * 500, "b": F.col("win") * 500 + 600})
-    met = chunking.overlap_join(windows, spans, "doc_id")
+    met = chunking.overlap_join(windows, spans, "doc_id", 512)
     return met.groupBy("doc_id", "win").agg(F.count("*").alias("spans"), F.min("i").alias("first_line"), F.max("i").alias("last_line"))
 
 
@@ -776,6 +783,23 @@ def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.definitions(_provisions(spark, sf_dir), terms).select("term", "seq", "provision_id", F.sha2("text", 256).alias("sha"))
 
 
+def _sql_folded(text: str) -> str:
+    return f"translate(replace(lower({text}), 'ß', 'ss'), 'ςſ', 'σs')"
+
+
+@query(f"""
+    WITH t AS (SELECT DISTINCT x AS term FROM (SELECT {sql_tokens("text")}[1 + doc_id % 7] AS x FROM documents UNION ALL SELECT ' ' || substr(text, 40 + doc_id % 50, 9) FROM documents WHERE doc_id % 5 = 0) WHERE x IS NOT NULL),
+    l AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line FROM documents)
+    SELECT term, count(*) AS lines, count(DISTINCT doc_id) AS documents FROM t JOIN l ON contains({_sql_folded("line")}, {_sql_folded("term")}) GROUP BY term""")
+def term_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many lines and documents each of many terms stands: a word of each document, and a piece of every fifth."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.try_element_at(T.tokens(F.col("text")), (F.lit(1) + F.col("doc_id") % 7).cast("int")).alias("term"))
+    pieces = docs.where("doc_id % 5 = 0").select(F.concat(F.lit(" "), F.substring(F.col("text"), (F.lit(40) + F.col("doc_id") % 50).cast("int"), F.lit(9))).alias("term"))
+    met = containment.containing(_lines(docs).withColumnRenamed("line", "text"), words.unionByName(pieces))
+    return met.groupBy("term").agg(F.count("*").alias("lines"), F.countDistinct("doc_id").alias("documents"))
+
+
 @query(f"""
     WITH {_SEARCH},
     fu AS (SELECT qid, id, round(sum(CASE signal WHEN 'reference' THEN 2.0 ELSE 1.0 END / (60 + position)), 9) AS score FROM rk WHERE signal <> 'bm25' GROUP BY ALL),

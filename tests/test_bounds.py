@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from corvane.operators import answers, dense, references
+from corvane.operators import answers, containment, dense, references
 
 
 def _brute(names, rows, asked, k, digits):
@@ -32,15 +32,16 @@ def test_dense_task_without_rows_or_queries():
     assert list(dense._near(pd.DataFrame({"qid": [1], "vector": [[1.0]]}), 3, 6)(iter([]))) == []
 
 
-def test_definitions_of_several_blocks(spark, monkeypatch):
+def test_definitions_by_broadcast_and_by_shuffle(spark, monkeypatch):
     rows = [(f"a:art:{n}", n, [(None, f"‘Term{n}’ means term{n % 3}"), (None, "nothing")]) for n in range(8)]
     provisions = spark.createDataFrame(rows, "provision_id string, ord int, paragraphs array<struct<label: string, text: string>>")
     terms = spark.createDataFrame([(f"term{n}",) for n in [*range(8), 3]], "term string")
     whole = sorted(answers.definitions(provisions, terms).collect())
-    monkeypatch.setattr(answers, "SENT_TERMS", 2)
+    monkeypatch.setattr(containment, "SENT", 0)
     assert sorted(answers.definitions(provisions, terms).collect()) == whole
     assert [r.seq for r in whole if r.term == "term1"] == [1, 2, 3]
     assert answers.definitions(provisions, terms.limit(0)).count() == 0
+    assert "NestedLoop" not in answers.definitions(provisions, terms)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_references_without_an_act_go_to_the_listed_acts(spark):
