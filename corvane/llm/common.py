@@ -256,12 +256,12 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 24_000_0
 HOT_SHARE = 256
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` left-joined with ``groups`` (key, n, ...), one row a key; n counts the rows of a key among all ``total``.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """``rows`` left-joined with ``groups`` (key, count, ...), one row a key; ``count`` names the number of rows of a key among all ``total``.
 
     Rows of hot keys meet them by a broadcast of fewer than HOT_SHARE rows and stay where they are, so no task gathers a hot group.
     """
-    hot = groups.where(F.col("n") * HOT_SHARE > total)
+    hot = groups.where(F.col(count) * HOT_SHARE > total)
     stay = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return stay.unionByName(rest.join(groups.where(F.col("n") * HOT_SHARE <= total), key, "left"))
+    return stay.unionByName(rest.join(groups.where(F.col(count) * HOT_SHARE <= total), key, "left"))

@@ -7,6 +7,9 @@ more weakly the more elements lie between them, and blocks that share a parent o
 scale with the costs. The minimum cut separates content from boilerplate. Blocks whose own capacity outweighs all their edges are
 labelled at once, which changes no minimum cut; max-flow (level graphs and blocking flows) settles the rest.
 
+An inline element whose words speak against it is a part of its block with a terminal capacity of its own, joined to the block's text; it goes
+if the cut says so, and the line stays. Within a sentence such words mostly name something else (a menu's name, a comment in code).
+
 An element's words speak about its blocks the less, the more of the page's text it holds beyond HELD of it (a form around the whole page, a
 layout's name), and not at all where they are said of something else ("has-sidebar", "ad-free").
 Hidden elements are not text.
@@ -74,14 +77,29 @@ GOOD_ROLES = frozenset({"main", "article"})
 NEARER = 0.8
 #: Share of the page's text from which on an element's soft evidence fades, and what is left of it at the whole page.
 HELD, LEFT = 0.75, 0.15
-NEIGHBOUR, APART, SIBLING, COUSIN = 1.0, 0.4, 0.5, 0.2
-LAYOUTS, RIDGE, SMOOTH = 240, 2.0, 2.0
-
+NEIGHBOUR, NESTED, APART, SIBLING, COUSIN = 1.0, 0.5, 0.4, 0.5, 0.2
+#: Words of adverts, and strength of words said of a part of a line: adverts, parts at its ends, parts within a sentence; and what joins
+#: a part within a sentence and other parts to the line, for each side on which the line goes on.
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner promo promoted promotion sponsor sponsored".split())
+ADVERT_PART, END_PART, INNER_PART, PART, LOOSE = 2.0, 1.0, 0.35, 1.5, 0.3
+#: Log-odds that a part of a line is text of its kind, before what its words say.
+PART_PRIOR = 3.0
+LAYOUTS, RIDGE, SMOOTH = 480, 2.0, 1.5
+
+#: Place of the weight of class, id and role words among the features.
+_WORDS = 3
 #: Evidence kinds of an element: unmistakable element, element that may hold anything, words and roles, milder words, good elements, good words.
 _KINDS = 6
 _FADES = (False, True, True, True, False, False)
 
 
+@lru_cache(maxsize=20_000)
+def advert(attributes: str) -> bool:
+    """Whether class or id words are those of an advert."""
+    values = (html_lib.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id"))
+    return any(w.lower() in ADVERT_WORDS for v in values for w in _SPLIT.split(v))
+
+
 @lru_cache(maxsize=20_000)
 def evidence(name: str, attributes: str) -> tuple[bool, tuple[float, ...]]:
     """Whether an element is hidden, and what it says about its blocks by kind."""
@@ -113,16 +131,36 @@ def evidence(name: str, attributes: str) -> tuple[bool, tuple[float, ...]]:
 
 
 class Block:
-    __slots__ = ("text", "chars", "linked", "heading", "element", "parent", "grand", "depth", "said", "share")
+    #: ``pieces``: raw texts of the line in order, each with the strength of what its element says against it (0: the line's own).
+    __slots__ = ("text", "chars", "linked", "heading", "element", "parent", "grand", "depth", "said", "share", "pieces", "whole")
 
     def features(self) -> tuple[float, ...]:
-        return (1.0, *self.said, min(1.0, math.log1p(self.chars / 40) / 4), self.share, self.linked / self.chars, 1.0 * self.heading, 1.0 * (self.chars < 20), 1.0 * (self.text[-1] in ".!?:;\u201d\"\u3002"))
+        said = (*self.said[:2], max(self.said[2], self.whole), *self.said[3:])
+        return (1.0, *said, min(1.0, math.log1p(self.chars / 40) / 4), self.share, self.linked / self.chars, 1.0 * self.heading, 1.0 * (self.chars < 20), 1.0 * (self.text[-1] in ".!?:;\u201d\"\u3002"))
+
+
+def strengths(pieces: list[str], parts: list[tuple[int, int, bool]]) -> tuple[list[tuple[str, float]], float]:
+    """The line cut into its own texts and parts, with the strength of what is said against each part; and that strength if the line is
+    nothing but such parts, which are then its own text."""
+    cut, at = [], 0
+    own = [x for k, x in enumerate(pieces) if not any(a <= k < b for a, b, _ in parts)]
+    if not "".join(own).strip():
+        return [("".join(pieces), 0.0)], END_PART
+    for a, b, is_advert in parts:
+        before, after = "".join(pieces[:a]).rstrip(), "".join(pieces[b:]).strip()
+        inner = before and after and before[-1] not in ".!?:;"
+        cut += [("".join(pieces[at:a]), 0.0), ("".join(pieces[a:b]), ADVERT_PART if is_advert else INNER_PART if inner else END_PART)]
+        at = b
+    return [*cut, ("".join(pieces[at:]), 0.0)], 0.0
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of visible text, in order."""
     out: list[Block] = []
     pieces: list[str] = []
+    #: Parts of the line with words against them: from which piece to which, and whether an advert; where the open one is over.
+    parts: list[tuple[int, int, bool]] = []
+    part: tuple[int, int, bool] | None = None
     #: Of each element that holds blocks, in order: its parent, its depth and what it says by kind.
     above, depths, own = [0], [0], [(0.0,) * _KINDS]
     stack: list[tuple[str, int]] = [("", 0)]
@@ -133,12 +171,20 @@ def blocks(page: str) -> list[Block]:
     cut = _CUT_OFF.search(page, last)
     end = cut.start() if cut else len(page)
 
+    def end_part() -> None:
+        nonlocal part
+        if part and len(pieces) > part[0]:
+            parts.append((part[0], len(pieces), part[2]))
+
     def flush() -> None:
-        nonlocal pieces, linked
+        nonlocal pieces, linked, part
         if pieces:
-            text = " ".join("".join(pieces).split())
+            end_part()
+            cut, whole = strengths(pieces, parts) if parts else ([("".join(pieces), 0.0)], 0.0)
+            text = " ".join("".join(x for x, against in cut if not against).split())
             if text:
                 b = Block()
+                b.pieces, b.whole = cut, whole
                 name, b.element = stack[-1]
                 b.parent = b.element
                 if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr"):  # the element is the block: its surroundings are its parent's
@@ -147,6 +193,9 @@ def blocks(page: str) -> list[Block]:
                 b.text, b.chars, b.linked, b.heading = text, len(text), min(linked, len(text)), name in ("h1", "h2", "h3")
                 out.append(b)
             pieces = []
+            parts.clear()
+        if part:
+            part = (0, *part[1:])
         linked = 0
 
     def add(text: str) -> None:
@@ -181,6 +230,9 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
+        if part and at >= part[1]:
+            end_part()
+            part = None
         close, name, attributes = m[1] or m[4], m[2] or m[5], m[3] or m[6] or ""
         if not name:
             continue
@@ -205,14 +257,16 @@ def blocks(page: str) -> list[Block]:
             pieces.append(" ")
             continue
         hidden, said = evidence(name, attributes) if attributes or name in BLOCK else (False, ())
-        if name not in VOID and name not in ("body", "html") and (hidden or attributes and name not in BLOCK and said[2]):
-            # Hidden parts, and adverts or notices within a line, go; the line stays whole.
+        if hidden and name not in VOID and name not in ("body", "html"):
             after = over(name, m.start())
             if after is not None:
                 if name in BLOCK:
                     flush()
                 at, links = after, 0 if name == "a" else links
                 continue
+        if attributes and not part and name not in VOID and name not in BLOCK and said[2]:
+            after = over(name, m.start())
+            part = (len(pieces), after, advert(attributes)) if after is not None else None
         if name == "a":
             links = 1
         elif name in SPACE:
@@ -280,7 +334,7 @@ def layout(rng: random.Random) -> tuple[str, dict[str, bool]]:
         return element("ul|ul class=menu|div|ul class=list", "".join(f"<li><a href=/x>{text(False, 1, 5, False)}</a></li>" for _ in range(n)))
 
     def paragraphs(content: bool, n: int) -> str:
-        kinds = [lambda: f"<p>{text(content, 12, 90)}</p>"] * 5 + [lambda: f"<p>{text(content, 1, 8)}</p>", lambda: f"<h2>{text(content, 1, 6, False)}</h2>", lambda: f"<ul><li>{text(content, 2, 20, False)}</li><li>{text(content, 2, 20)}</li></ul>",
+        kinds = [lambda: f"<p>{text(content, 12, 90)}</p>"] * 5 + [lambda: f"<p>{text(content, 1, 8)}</p>", lambda: f"<h2>{text(content, 1, 6, False)}</h2>", lambda: f"<ul><li>{text(content, 2, 20, False)}</li><li>{text(content, 2, 20)}</li></ul>", lambda: "<ul>" + "".join(f"<li>{text(content, 1, 3, False)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>",
                  lambda: f"<blockquote><p>{text(content, 8, 40)}</p></blockquote>", lambda: f"<p><a href=/y>{text(content, 3, 9)}</a></p>"]
         return "".join(rng.choice(kinds)() for _ in range(n))
 
@@ -335,9 +389,9 @@ def costs(pages: int = LAYOUTS, seed: int = 5) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def odds_of(found: list[Block]) -> list[float]:
+def odds_of(found: list[Block], weights: tuple[float, ...] | None = None) -> list[float]:
     """Log-odds of content of each block."""
-    w = costs()
+    w = weights or costs()
     return [sum(a * b for a, b in zip(w, block.features(), strict=True)) for block in found]
 
 
@@ -350,7 +404,8 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
         if i:
             before = found[i - 1]
             steps = 0 if before.parent == b.parent else 1 + abs(before.depth - b.depth)
-            out.append((i - 1, i, SMOOTH * (APART / steps if steps else NEIGHBOUR)))
+            nested = before.parent == b.grand or b.parent == before.grand  # a list between paragraphs
+            out.append((i - 1, i, SMOOTH * (NESTED if steps and nested else APART / steps if steps else NEIGHBOUR)))
         last = by_parent.get(b.parent, i - 1)
         if last != i - 1:
             out.append((last, i, SMOOTH * SIBLING))
@@ -431,14 +486,26 @@ def _max_flow_side(nodes: list[int], odds: list[float], near: list[dict[int, flo
                     tries[path[-1]] = iter(list(room[path[-1]]))
 
 
-def labelled(page: str | None) -> tuple[list[Block], list[bool]]:
-    """The page's blocks and whether each is content."""
+def labelled(page: str | None, weights: tuple[float, ...] | None = None) -> tuple[list[Block], list[bool], list[str]]:
+    """The page's blocks, whether each is content, and the text that it then has: without the parts that the cut takes from the line."""
+    w = weights or costs()
     found = blocks(page or "")
-    return found, min_cut(odds_of(found), edges(found))
+    odds, joined, of_part = odds_of(found, w), edges(found), {}
+    for i, b in enumerate(found):
+        for k, (text, against) in enumerate(b.pieces):
+            if against:
+                of_part[i, k] = len(odds)
+                sides = bool("".join(x for x, _ in b.pieces[:k]).strip()) + bool("".join(x for x, _ in b.pieces[k + 1 :]).strip())
+                joined.append((i, len(odds), SMOOTH * (PART if against == INNER_PART else LOOSE) * sides))
+                odds.append(PART_PRIOR + w[_WORDS] * against)
+    label = min_cut(odds, joined)
+    texts = [" ".join("".join(x for k, (x, _) in enumerate(b.pieces) if (i, k) not in of_part or label[of_part[i, k]]).split()) if len(b.pieces) > 1 else b.text for i, b in enumerate(found)]
+    return found, label[: len(found)], texts
 
 
-def main_blocks(page: str | None) -> list[str]:
-    return [b.text for b, content in zip(*labelled(page), strict=True) if content]
+def main_blocks(page: str | None, weights: tuple[float, ...] | None = None) -> list[str]:
+    _, label, texts = labelled(page, weights)
+    return [t for t, content in zip(texts, label, strict=True) if content]
 
 
 def main_text(page: str | None) -> str:
@@ -446,11 +513,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks of every page."""
+    """page_id, url, text, n_chars, n_blocks of every page. Costs are fitted once, on the driver."""
+    weights = costs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "html", 8_000_000):
-            found = [main_blocks(page) for page in batch.column(2).to_pylist()]
+            found = [main_blocks(page, weights) for page in batch.column(2).to_pylist()]
             texts = ["\n\n".join(x) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(list(map(len, found)), pa.int32())], ["page_id", "url", "text", "n_chars", "n_blocks"])
 

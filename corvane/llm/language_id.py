@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, written
-from .html_main import labelled
+from .common import in_slices, join_groups, written
+from .html_main import costs, labelled
 from .url_filter import host_of
 
 SAMPLE, HELD_OUT = 1000, 5
@@ -123,12 +123,12 @@ def calibrated(held: DataFrame, langs: list[str], logs: np.ndarray) -> tuple[int
     return min(zip([row[f"l{k}"] for k in range(len(COUNTED))], COUNTED, strict=True))[1], row["right"]
 
 
-def page_evidence(html: str | None, logs: np.ndarray, most: int) -> tuple[str, int, np.ndarray]:
+def page_evidence(html: str | None, logs: np.ndarray, most: int, weights: tuple[float, ...] | None = None) -> tuple[str, int, np.ndarray]:
     """Declared language ("" if none), characters of main text (else of all visible text), log-likelihoods."""
     html = html or ""
     m = _DECLARED.search(html) or _META.search(html)
-    found, keep = labelled(html)
-    text = "\n".join(b.text for b, k in zip(found, keep, strict=True) if k) or "\n".join(b.text for b in found)
+    found, keep, texts = labelled(html, weights)
+    text = "\n".join(t for t, k in zip(texts, keep, strict=True) if k) or "\n".join(b.text for b in found)
     if not text:
         return (m[1].lower() if m else ""), 0, np.zeros(len(logs))
     mean, n = mean_logs(text, logs)
@@ -158,10 +158,11 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
         none = F.lit(None).cast("string")
         return pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), none.alias("declared"), none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("long").alias("n_chars"))
     sent = spark.sparkContext.broadcast(logs)  # one number for each language and bucket
+    weights = costs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "html", 8_000_000):
-            rows = [page_evidence(h, sent.value, most) for h in batch.column(2).to_pylist()]
+            rows = [page_evidence(h, sent.value, most, weights) for h in batch.column(2).to_pylist()]
             lists = pa.array([r[2].tolist() for r in rows], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), lists], ["page_id", "host", "declared", "n_chars", "logs"])
 
@@ -177,16 +178,18 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     sums = F.array(*[F.sum(F.col("post")[k]) for k in range(size)])
     again = F.array(*[F.sum(F.col("n")[k]) for k in range(size)])
     hosts = written(seen.groupBy("host", "domain", "suffix").agg(sums.alias("n"), F.count("*").alias("n_pages")), "hosts")
-    domains = hosts.groupBy("domain").agg(again.alias("domain_n"))
-    suffixes = hosts.groupBy("suffix").agg(again.alias("suffix_n"))
-    n_suffixes = hosts.select("suffix").distinct().count()
+    domains = written(hosts.groupBy("domain").agg(F.count("*").alias("n"), again.alias("domain_n")), "domains").withColumnRenamed("n", "n_hosts")
+    suffixes = written(hosts.groupBy("suffix").agg(F.count("*").alias("n"), again.alias("suffix_n")), "suffixes").withColumnRenamed("n", "n_hosts")
+    n_suffixes, n_hosts = suffixes.count(), hosts.count()
     # A row for each known language and two more.
     said = {r["said"]: np.array(r["n"]) for r in seen.groupBy("said").agg(sums.alias("n")).collect()}
     total = np.sum(list(said.values()), axis=0) if said else np.zeros(size)
     world = F.lit(((total + 1) / (total.sum() + size)).tolist()).cast("array<double>")
     all_n = F.lit(total.tolist()).cast("array<double>")
     table = F.create_map(*[x for k, n in sorted(said.items()) for x in (F.lit(k), F.lit(((n + SMOOTH_TABLE) / (total + SMOOTH_TABLE * (size + 2))).tolist()).cast("array<double>"))]) if said else F.lit(None).cast("map<string,array<double>>")
-    priors = written(hosts.join(domains, "domain").join(suffixes, "suffix").select("host", "n", "domain_n", "suffix_n", "n_pages"), "priors")
+    # Half of all hosts may have one suffix: those of hot suffixes and domains meet them by a broadcast.
+    placed = join_groups(hosts, domains, "domain", n_hosts, "n_hosts").drop("n_hosts")
+    priors = written(join_groups(placed, suffixes, "suffix", n_hosts, "n_hosts").select("host", "n", "domain_n", "suffix_n", "n_pages"), "priors")
     less = lambda counts: F.zip_with(counts, F.col("post"), lambda c, p: F.greatest(c - p, F.lit(0.0)))
     # There is one hot host at most for each HOT_HOST pages.
     hot = F.broadcast(priors.where(F.col("n_pages") > HOT_HOST).drop("n_pages"))

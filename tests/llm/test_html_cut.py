@@ -26,6 +26,30 @@ def test_hidden_parts_go_whole():
     assert html_main.main_text(page) == SAID + "\n\nend of it."
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<p>Write <span class="comment"># add one</span> and then save</p>', "Write # add one and then save"),
+    ('<p>Choose <b class="menu">File</b> and press <kbd class="ui-menu">Save</kbd> to finish</p>', "Choose File and press Save to finish"),
+    (f"<article><p>{TEXT}</p><p>Open the <em class='nav'>Start <b>menu</b></em>, then wait.</p></article>", SAID + "\n\nOpen the Start menu, then wait."),
+    (f"<article><p>{TEXT} <span class='sponsored'>Buy now</span></p><p>Before <i class=ad>cheap</i> after it.</p></article>", SAID + "\n\nBefore after it."),
+    (f"<article><p>{TEXT}</p><p><span class='comment'>Nice post!</span></p></article><div class=comments><p>more</p></div>", SAID),
+    (f"<div class=x><h2>Steps</h2><ul><li>Cut</li><li>Stir</li><li>Bake</li></ul><p>{TEXT}</p></div>", "Steps\n\nCut\n\nStir\n\nBake\n\n" + SAID),
+])
+def test_no_word_removes_text_by_itself(page, text):
+    assert html_main.main_text(page) == text
+
+
+@pytest.mark.parametrize(("page", "kept"), [
+    (f"<section><p>{TEXT}</p><p><a href=/y>Map</a></p><p>{TEXT}</p></section>", [True, True, True]),  # a linked line between paragraphs
+    (f"<div><table><tr><td>{TEXT}</td></tr><tr><td><a href=/a>Source</a></td></tr><tr><td>{TEXT}</td></tr></table></div>", [True, True, True]),
+    (f"<div><p><a href=/a>Latest</a></p><p><a href=/b>Sport</a></p><p>Ten ways to make your garden bloom</p><p><a href=/c>Weather</a></p></div><article><p>{TEXT}</p></article>", [False] * 4 + [True]),  # a line without a link among links
+])
+def test_the_cut_is_right_where_the_threshold_is_not(page, kept):
+    """Layouts that the fit has not seen, by names that say nothing."""
+    found, keep, _ = html_main.labelled(page)
+    assert keep == kept
+    assert [o > 0 for o in html_main.odds_of(found)] != kept
+
+
 def test_the_cut_mends_labels_and_flow_settles_blocks(monkeypatch):
     settled = []
     flow = html_main._max_flow_side
@@ -34,7 +58,7 @@ def test_the_cut_mends_labels_and_flow_settles_blocks(monkeypatch):
     alone = cut = n = 0
     for _ in range(150):
         page, truth = html_main.layout(rng)
-        found, keep = html_main.labelled(page)
+        found, keep, _ = html_main.labelled(page)
         own = [truth[b.text] for b in found]
         alone += sum((o > 0) == t for o, t in zip(html_main.odds_of(found), own, strict=True))
         cut += sum(k == t for k, t in zip(keep, own, strict=True))
