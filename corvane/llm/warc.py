@@ -37,8 +37,10 @@ from .common import in_slices, join_groups, shared_path, written
 
 #: Captures of a compressed block, and index files at most.
 BLOCK, MAX_FILES = 1024, 4096
-#: Captures of an index file, bytes of an archive file before the next begins, and bytes of an archive that one task reads.
-FILE_ROWS, ARCHIVE_BYTES, READ_BYTES = 1_000_000, 1 << 30, 64 << 20
+#: Captures of an index file, bytes of an archive file before the next begins, bytes of an archive that are read together, and records of
+#: a task that reads.
+FILE_ROWS, ARCHIVE_BYTES, READ_BYTES = 1_000_000, 1 << 30, 16 << 20
+READ_RECORDS = 10_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "Page-Id"  # extension field: the row's number
@@ -322,7 +324,9 @@ def read(archive: Archive, captures: DataFrame, payloads: bool = False) -> DataF
                     rows, size = [], 0
             yield records(rows)
 
-    near = captures.select("file", "offset", "length").repartition("file", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("file", "offset")
+    # By what is read from the archives, which rows of captures don't show: about READ_RECORDS records a task.
+    tasks = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-archive.captures.count() // READ_RECORDS))
+    near = captures.select("file", "offset", "length").repartition(tasks, "file", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("file", "offset")
     return near.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_to_url string" + ", payload binary" * payloads)
 
 
