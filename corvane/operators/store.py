@@ -93,6 +93,8 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 BUCKETS = 64
+#: Entry of the catalog with the last batch of each stream's query.
+BATCHES = "#batches"
 #: Times that an addition is tried again after another writer's commit came first.
 TRIES = 5
 
@@ -164,11 +166,20 @@ class Tables:
         paths = [self.path(p) for own in buckets.values() for p in own]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def replace(self, keys: DataFrame, column: str, new: dict[str, tuple[DataFrame, T.StructType, dict[str, str]]], others: dict[str, tuple[DataFrame, T.StructType, dict[str, str], DataFrame, list[str]]] | None = None) -> None:
+    def done(self, query: str) -> int:
+        """The last batch of a stream's query that is in the tables; -1 before the first."""
+        return int(self.catalog().get(BATCHES, {}).get(query, ["-1"])[0])
+
+    def replace(
+        self, keys: DataFrame, column: str, new: dict[str, tuple[DataFrame, T.StructType, dict[str, str]]], others: dict[str, tuple[DataFrame, T.StructType, dict[str, str], DataFrame, list[str]]] | None = None,
+        batch: tuple[str, int] | None = None,
+    ) -> None:
         """In each table of ``new`` (rows, schema, scope), rows of the ``keys`` (one column) go, and those of ``new`` come: keys
         without new rows are deleted. With a scope (column: value), only old rows that have it go. ``others`` change in the same
-        commit and have keys of their own: (rows, schema, scope, keys, their columns)."""
+        commit and have keys of their own: (rows, schema, scope, keys, their columns). ``batch`` (query, number) is noted in that commit."""
         version, catalog = self._latest()
+        if batch:
+            catalog[BATCHES] = catalog.get(BATCHES, {}) | {batch[0]: [str(batch[1])]}
         for name, (rows, schema, scope, own, columns) in ({n: (*x, keys, [column]) for n, x in new.items()} | (others or {})).items():
             catalog[name] = self._replaced(catalog.get(name, {}), name, rows, schema, scope, own.select(*columns).distinct(), columns)
         self._commit(version, catalog)
@@ -217,6 +228,7 @@ class Tables:
         """Deletes folders that the catalog doesn't name, and earlier catalogs; the number of folders. Not while others read or write."""
         fs, path = self._fs()
         version, catalog = self._latest()
+        catalog.pop(BATCHES, None)
         named = {p.split("/")[1] for buckets in catalog.values() for own in buckets.values() for p in own}
         gone = 0
         for name in catalog:

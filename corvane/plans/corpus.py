@@ -15,7 +15,7 @@ from ..operators.chunking import WORDS, TokenCounter, chunk
 from ..schemas import BOUNDS, CHUNK_EMBEDDINGS, CHUNKS, DOCUMENTS, EMBEDDING_CACHE, LENGTHS, POSTINGS, PROVISIONS, TERMS, TOTALS
 
 
-def ingest(tables: store.Tables, documents: DataFrame, provisions: DataFrame, settings: Settings | None = None, counter: TokenCounter = WORDS) -> DataFrame:
+def ingest(tables: store.Tables, documents: DataFrame, provisions: DataFrame, settings: Settings | None = None, counter: TokenCounter = WORDS, batch: tuple[str, int] | None = None) -> DataFrame:
     """Stores documents, provisions, chunks, the chunks' postings and their bounds, replacing those of the same document (from chunks on:
     of the same strategy), and adds the change to the stored term statistics; the report. All tables change at once, and what a
     document no longer has is deleted."""
@@ -39,7 +39,7 @@ def ingest(tables: store.Tables, documents: DataFrame, provisions: DataFrame, se
             "documents": (documents, DOCUMENTS, {}), "provisions": (provisions, PROVISIONS, {}), "chunks": (cut, CHUNKS, own), "postings": (postings, POSTINGS, own), "lengths": (tokens, LENGTHS, own), "bounds": (bounds, BOUNDS, own),
         }, {
             "terms": (after.terms.withColumn("strategy", F.lit(strategy)), TERMS, own, changed.terms, ["term", "language"]), "totals": (after.totals.withColumn("strategy", F.lit(strategy)), TOTALS, own, changed.totals, ["language"]),
-        })
+        }, batch)
     finally:
         tokens.unpersist()
         cut.unpersist()

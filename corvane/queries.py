@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import CONFIGURATIONS, Settings
 from .functions import text as T
 from .functions.vectors import hashing_embedding
-from .operators import answers, audit, blocks, cells, chunking, containment, dense, evaluation, lexical, references, retrieval, statistics, store
+from .operators import answers, audit, blocks, cells, chunking, containment, dense, dictionary, evaluation, lexical, references, retrieval, spans, statistics, store
 from .sources import files, markup, sections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,8 +261,26 @@ def index_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies of stems: rows only, as DuckDB has no French stemmer."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.analyse(F.col("text"), F.col("lang")).alias("tokens"))
-    return lexical.build(docs, "doc_id", "tokens").terms
+    postings = _term_postings(spark, sf_dir)
+    return dictionary.mapped(postings, dictionary.stemmed(postings), "stem").groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, lang, unnest({sql_content("text", "lang")}) AS term FROM documents),
+    d AS (SELECT lang, term, row_number() OVER (ORDER BY substr(sha256(term), 1, 3), lang, term) - 1 AS id FROM (SELECT DISTINCT lang, term FROM t)),
+    p AS (SELECT lang, id, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t JOIN d USING (lang, term) GROUP BY ALL)
+    SELECT lang AS language, id, term, df, tf FROM p JOIN d USING (lang, id)""")
+def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of all terms, with the frequencies of postings that hold ids."""
+    postings = _term_postings(spark, sf_dir)
+    entries = dictionary.numbered(postings)
+    counts = dictionary.mapped(postings, entries, "id").groupBy("language", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return entries.join(counts.withColumnRenamed("term", "id"), ["language", "id"]).select("language", "id", "term", "df", "tf")
+
+
+def _term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.explode(T.content_tokens(F.col("text"), F.col("lang"))).alias("term"))
+    return each.groupBy("id", "language", "term").agg(F.count("*").alias("tf"))
 
 
 @query(f"SELECT lang, {sql_language('text')} AS detected, count(*) AS n FROM documents GROUP BY ALL")
@@ -514,6 +532,28 @@ def section_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.max("raw_number").alias("raw_number"), F.sum(F.length("line")).alias("n_chars"))
 
 
+#: Documents as acts of one article: a line is a paragraph, the right of two cells, or a cell with a table of its own; notes stand between.
+@query(r"""
+    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, E'\n'), 1) - 1 AS i, trim(regexp_replace(unnest(string_split(text, E'\n')), '[\s\x{00a0}]+', ' ', 'g'), ' ') AS line FROM documents),
+    b AS (SELECT doc_id, i, 0 AS k, CASE WHEN i % 3 > 0 THEN '(' || i || ')' END AS label, line AS text FROM l WHERE line <> ''
+          UNION ALL SELECT doc_id, i, 1, CASE WHEN line = '' THEN '(' || i || ')' ELSE '(a)' END, 'inner ' || i FROM l WHERE i % 3 = 2)
+    SELECT doc_id, count(*) AS blocks, count(label) AS labelled, cast(sum(length(text)) AS BIGINT) AS n_chars, sha256(string_agg(coalesce(label, '-') || ' ' || text, E'\n' ORDER BY i, k)) AS sha FROM b GROUP BY doc_id""")
+def act_block_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block walk over tables, nested tables and notes."""
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    row = lambda label, *inner: F.concat(F.lit("<table><tr><td><p>"), label, F.lit("</p></td><td>"), *inner, F.lit("</td></tr></table>"))
+
+    def block(x: Column, i: Column) -> Column:
+        own, number = F.concat(F.lit("<p>"), safe(x), F.lit("<a href='#n'><span class='oj-super oj-note-tag'>1</span></a></p>")), F.concat(F.lit("("), i.cast("string"), F.lit(")"))
+        inner = row(F.lit("(a)"), F.lit("<p>inner "), i.cast("string"), F.lit("</p>"))
+        return F.concat(F.when(i % 3 == 0, own).when(i % 3 == 1, row(number, own)).otherwise(row(number, own, inner)), F.lit("<p class='oj-note'>a note</p>"))
+
+    page = F.concat(F.lit("<html xmlns='http://www.w3.org/1999/xhtml'><body><div id='art_1'><p class='oj-ti-art'>Article 1</p>"), F.array_join(F.transform(F.split("text", "\n"), block), ""), F.lit("</div></body></html>"))
+    found = markup.act_blocks(table(spark, sf_dir, "documents").select("doc_id", F.encode(page, "UTF-8").alias("content")))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "label", "text"))), lambda x: F.concat(F.coalesce(x["label"], F.lit("-")), F.lit(" "), x["text"])), "\n")
+    return found.groupBy("doc_id").agg(F.count("text").alias("blocks"), F.count("label").alias("labelled"), F.sum(F.length("text")).alias("n_chars"), F.sha2(said, 256).alias("sha"))
+
+
 @query(rf"""
     WITH {_HEADED},
     g AS (SELECT doc_id, section, coalesce(max(raw), '1') AS raw, coalesce(max(CASE WHEN raw IS NOT NULL THEN regexp_extract(line, '^[\d.]+\s+(.*)$', 1) END), 'Untitled') AS heading, count(*) FILTER (raw IS NULL) AS n_lines FROM il GROUP BY ALL),
@@ -755,6 +795,24 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("conv_id", F.sha2(lines, 256).alias("sha"), F.size("messages").cast("long").alias("n"))
 
 
+@query("""
+    WITH RECURSIVE s AS (SELECT conv_id, turn, CASE WHEN turn > (SELECT min(turn) FROM conversations) THEN turn // 2 END AS parent, role || turn AS name, length(text) AS cost FROM conversations),
+    p AS (SELECT s.conv_id, s.turn, s.name, s.cost, CASE WHEN q.turn IS NULL THEN NULL ELSE s.parent END AS parent FROM s LEFT JOIN s q ON q.conv_id = s.conv_id AND q.turn = s.parent AND q.turn < s.turn),
+    d AS (SELECT conv_id, turn, 0 AS depth, name AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.conv_id, p.turn, depth + 1, path || '/' || name FROM d JOIN p ON p.conv_id = d.conv_id AND p.parent = d.turn),
+    u AS (SELECT conv_id, turn AS ancestor, cost FROM p UNION ALL SELECT u.conv_id, p.parent, u.cost FROM u JOIN p ON p.conv_id = u.conv_id AND p.turn = u.ancestor WHERE p.parent IS NOT NULL),
+    t AS (SELECT conv_id, ancestor, count(*) AS spans, cast(sum(cost) AS BIGINT) AS inclusive_cost FROM u GROUP BY ALL)
+    SELECT d.conv_id AS trace_id, d.turn AS span_id, depth, path, spans, inclusive_cost FROM d JOIN t ON t.conv_id = d.conv_id AND t.ancestor = d.turn""")
+def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as traces: a turn is a span below that of half its number, its cost the length of its text."""
+    said = table(spark, sf_dir, "conversations")
+    own = said.select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("span_id"), F.expr("turn div 2").alias("parent"), F.concat("role", F.col("turn").cast("string")).alias("name"), F.length("text").cast("long").alias("cost"))
+    there = own.select("trace_id", F.col("span_id").alias("parent"), F.col("span_id").alias("parent_id"))
+    first = said.agg(F.min("turn").alias("first"))
+    rows = own.join(there, ["trace_id", "parent"], "left").join(F.broadcast(first), F.lit(True))
+    parent = F.when((F.col("parent_id") < F.col("span_id")) & (F.col("span_id") > F.col("first")), F.col("parent_id"))
+    return spans.rollup(rows.select("trace_id", "span_id", parent.alias("parent_id"), "name", "cost"))
+
+
 @query("""
     WITH s AS (SELECT ['route', 'rag_answer', 'agent', 'tools', 'verify', 'abstain'][event_id % 6 + 1] AS node, ['lookup', 'complex', 'out_of_scope'][event_id % 7 % 3 + 1] AS route, CASE WHEN event_id % 11 = 0 THEN 'steps' END AS halted,
                       event_id % 5 AS calls, event_id % 4 = 0 AS submitted, event_id % 2 AS invalid, event_id % 8 % 2 AS corrections FROM events),

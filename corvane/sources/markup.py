@@ -14,6 +14,7 @@ from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import PROVISIONS
@@ -209,3 +210,25 @@ def parse_acts(files: DataFrame, compat_nested_rows: bool = False) -> DataFrame:
 def failures(files: DataFrame) -> DataFrame:
     """(document_id, source_id, language, error) of files that can't be read."""
     return _parsed(files, False).where("error is not null").select("document_id", "source_id", "language", "error")
+
+
+class ActBlocks:
+    """The blocks of an act as rows, for a lateral join with the files: one row a paragraph, or one with the error."""
+
+    def eval(self, content: bytes, compat_nested_rows: bool) -> Iterator[tuple]:
+        try:
+            if content is None:
+                raise ValueError("no content")
+            found = provisions(bytes(content), "", "", "", bool(compat_nested_rows))
+        except (expat.ExpatError, ValueError) as e:
+            yield None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+            return
+        for p in found:
+            for k, own in enumerate(p["paragraphs"]):
+                yield p["ord"], p["kind"], p["number"], k, own["label"], own["text"], None
+
+
+def act_blocks(files: DataFrame, compat_nested_rows: bool = False) -> DataFrame:
+    """``files`` (content, ...) with a row for each block of each act: ord, kind, number, part, label, text, or error."""
+    walk = F.udtf(ActBlocks, returnType="ord int, kind string, number string, part int, label string, text string, error string")
+    return files.lateralJoin(walk(F.col("content").outer(), F.lit(compat_nested_rows))).drop("content")

@@ -6,12 +6,16 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import Settings
 from ..operators.store import Tables, embedded, pending
+from ..plans.corpus import ingest
 from ..schemas import EMBEDDING_CACHE, THREAD_STATE
+from ..sources.markup import parse_acts
 
 
 def new_files(stream: DataFrame, watermark: str = "7 days") -> DataFrame:
@@ -19,6 +23,29 @@ def new_files(stream: DataFrame, watermark: str = "7 days") -> DataFrame:
     return stream.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["sha256"])
 
 
+def ingest_files(stream: DataFrame, tables: Tables, name: str, checkpoint: str, settings: Settings | None = None):
+    """A query that parses, chunks and indexes the acts of a stream of files (content, source_id, language, short_title, url, sha256, seen_at), each
+    content once, and stores them exactly once.
+
+    A batch's number is committed with its rows under the query's ``name``. A batch that comes again, as its checkpoint wasn't
+    written, is recognised and left out; one whose commit didn't happen left nothing that is seen and is done anew. Of files of one
+    document in a batch the last seen counts.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        if number <= tables.done(name) or df.isEmpty():
+            return
+        files = df.withColumn("document_id", F.concat_ws(":", "source_id", "language"))
+        last = files.groupBy("document_id").agg(F.max_by(F.struct(*files.columns), F.struct("seen_at", "sha256")).alias("f")).select("f.*").persist()
+        try:
+            documents = last.select("document_id", "source_id", "language", F.col("short_title").alias("title"), "url", "sha256", F.col("seen_at").alias("fetched_at"))
+            ingest(tables, documents, parse_acts(last), settings, batch=(name, number))
+        finally:
+            last.unpersist()
+
+    return new_files(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def embed_new(stream: DataFrame, tables: Tables, embed, model: str, dimensions: int, checkpoint: str):
     """A query that adds vectors of texts (text_sha256, text) the cache doesn't have; a repeated batch adds nothing."""
 
@@ -56,6 +83,55 @@ def thread_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("thread_id").applyInPandasWithState(update, THREAD_STATE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+class _Thread(StatefulProcessor):
+    """Messages as a list that is only appended to, the latest answer and the count as values, provisions as a map of first mentions."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.messages = handle.getListState("messages", "turn long, role string, text string", ttlDurationMs=self.keep_ms)
+        self.latest = handle.getValueState("latest", "turns long, turn long, text string", ttlDurationMs=self.keep_ms)
+        self.provisions = handle.getMapState("provisions", "provision string", "turn long, place long", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        turns, turn, text = self.latest.get() if self.latest.exists() else (0, None, None)
+        fresh = []
+        for frame in rows:
+            for r in frame.itertuples():
+                fresh.append((int(r.turn), r.role, r.text))
+                if r.role == "assistant" and (turn is None or r.turn >= turn):
+                    turn, text = int(r.turn), r.text
+                for place, p in enumerate(() if r.provisions is None else r.provisions):
+                    if not self.provisions.containsKey((str(p),)) or tuple(self.provisions.getValue((str(p),))) > (int(r.turn), place):
+                        self.provisions.updateValue((str(p),), (int(r.turn), place))
+        self.messages.appendList(fresh)
+        turns += len(fresh)
+        self.latest.update((turns, turn, text))
+        seen = [k[0] for k, _ in sorted(self.provisions.iterator(), key=lambda x: (tuple(x[1]), x[0]))]
+        yield pd.DataFrame([{"thread_id": key[0], "turns": turns, "fresh": [t for _, _, t in sorted(fresh, key=lambda m: m[0])], "provisions": seen, "last_answer": text}])
+
+    def close(self) -> None:
+        pass
+
+
+def long_threads(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """What each batch of messages (thread_id, turn, role, text, provisions) changes of its threads: turns so far, the batch's messages by turn,
+    provisions by first mention, the answer of the assistant's latest turn, in whatever order turns arrive.
+
+    The messages of a thread lie in a list state that is only appended to, so a batch costs what it brings, not what the thread
+    has; all of them are in the state data source (``state_of``). A thread without messages for ``keep_ms`` is forgotten.
+    Needs the RocksDB state store.
+    """
+    mode = "ProcessingTime" if keep_ms else "None"
+    return stream.groupBy("thread_id").transformWithStateInPandas(_Thread(keep_ms), "thread_id string, turns long, fresh array<string>, provisions array<string>, last_answer string", "Update", mode)
+
+
+def state_of(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """Rows of a state (``messages``, ``latest``, ``provisions``) of ``long_threads`` as its last batch left it."""
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+
+
 def recent_activity(stream: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     """Sessions of threads by silence between messages (thread_id, at): an analytic view; the true key is the thread."""
     return stream.withWatermark("at", watermark).groupBy("thread_id", F.session_window("at", gap)).agg(F.count("*").alias("messages"))
