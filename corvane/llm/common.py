@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -63,14 +64,32 @@ def shared_local_dir(spark: SparkSession, name: str) -> str:
     return uri.path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read back: cuts lineage, survives lost executors."""
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back: cuts lineage, survives lost executors. Within ``scratch`` it is
+    deleted at the end, unless told to ``keep`` it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside when it is left. What comes out of it must be written with ``keep``, and so not read them any more."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Bytes of text for each range of an index's keys.
 RANGE_BYTES = 32_000_000
 

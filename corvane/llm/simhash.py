@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import in_slices, written
+from .common import in_slices, scratch, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -282,14 +282,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         u, v = (prints.select(F.col("h").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "uv")
         return similar.similar(texts.select("h", "text"), pairs).join(u, "u").join(v, "v").where("u_fp <> v_fp").select(F.greatest("u_fp", "v_fp").alias("u"), F.least("u_fp", "v_fp").alias("v"))
 
-    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-        return components(roots.select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(edges(pairs))).withColumnRenamed("u", "fp")
+    def joined(links: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(fp, root) of links and pairs; what was written on the way is deleted."""
+        with scratch(spark):
+            return written(components(links.unionByName(edges(pairs))).withColumnRenamed("u", "fp"), "roots", keep=True)
+
+    def links_of(roots: DataFrame) -> DataFrame:
+        return roots.select(F.col("fp").alias("u"), F.col("root").alias("v"))
 
     def named() -> DataFrame:
         return prints.join(roots, "fp", "left").select("h", F.coalesce("root", "fp").alias("root"))
 
     found = similar.candidates(marked)
-    roots = components(links(classes.select("fp")).unionByName(edges(found.where("key is null")))).withColumnRenamed("u", "fp")
+    roots = joined(links(classes.select("fp")), found.where("key is null"))
     left = []
     for _ in range(similar.ROUNDS):
         rows, counts = similar.large(found, named())
@@ -302,12 +307,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rows = rows.join(sent, "key", "left_semi")
         order = similar.put_last(order, *(last.column(c).to_numpy() for c in ("key", "n")))
         found = similar.candidates(written(similar.filed(texts, rows.select("h").distinct(), order), "filed"))
-        roots = written(joined(roots, found.where("key is null")), "roots")
+        roots = joined(links_of(roots), found.where("key is null"))
     else:
         left.append(similar.large(found, named()))
     for rows, counts in left:
         if not counts.isEmpty():
-            roots = written(joined(roots, similar.still_apart(rows, counts, texts)), "roots")
+            roots = joined(links_of(roots), similar.still_apart(rows, counts, texts))
     rooted = classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("rep").alias("__corvane_id"))
     # By id and text: another text of the same id may be in another component.

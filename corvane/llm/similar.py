@@ -32,8 +32,8 @@ PART, WHOLE = 4, 5
 #: Texts in the sample, how often a common shingle stands in it at least, and how many of those are sent to all tasks.
 SAMPLE, SEEN, COMMON = 20_000, 4, 100_000
 BUCKET = 64
-#: Times that texts of large buckets are filed anew, and texts of a key in a piece (about) when they are then compared.
-ROUNDS, PIECE = 2, 1024
+#: Times that texts of large buckets are filed anew, and texts of a key in a share (about), and shingles, when they are then compared.
+ROUNDS, PIECE, VOLUME = 2, 1024, 1_000_000
 #: Bits of a parity bitmap, and of its fold that is compared first.
 BITS, FOLD = 4096, 512
 #: Texts to compare that are sent to all tasks (8 bytes each); more are joined by a shuffle.
@@ -167,27 +167,49 @@ def bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd.reshape(rows, BITS), axis=1)
 
 
-def _apart(key: np.ndarray, side: np.ndarray, root: np.ndarray, at: np.ndarray, text: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of a piece that may be similar and have different roots; a piece has one side, or two that meet each other only."""
+def _apart(key: np.ndarray, side: np.ndarray, root: np.ndarray, at: np.ndarray, text: np.ndarray, bits: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of a piece that join different roots, as few as do so; a piece has one side, or two that meet each other only.
+
+    Pairs that the bitmaps let through are compared set by set, the closest first, and those of one component by then not at all."""
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     for a, b in zip(begin, np.append(begin[1:], len(key)), strict=True):
         words = np.frombuffer(b"".join(bits[a:b]), np.uint64).reshape(b - a, -1)
         fold = np.bitwise_xor.reduce(words.reshape(b - a, -1, FOLD // 64), axis=1)
         own, number, sides = at[a:b], text[a:b], side[a:b]
         size = own >> 32
+        names, now = np.unique(root[a:b], return_inverse=True)
+        parent = list(range(len(names)))
+
+        def find(x: int, parent: list[int] = parent) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         two = sides.min() != sides.max()
         left, right = (np.flatnonzero(sides == sides.min()), np.flatnonzero(sides == sides.max())) if two else (np.arange(b - a),) * 2
         step = max(1, _ROWS // max(1, len(right)))
+        found = []
         for i in range(0, len(left), step):
             x, y = left[i : i + step, None], right[None, :]
-            ok = _may_be(own[x], own[y]) & (root[a:b][x] != root[a:b][y]) & (two | (x < y))
+            joined = np.array([find(r) for r in range(len(names))])[now]
+            ok = _may_be(own[x], own[y]) & (joined[x] != joined[y]) & (two | (x < y))
             u, v = (z[ok] for z in np.broadcast_arrays(x, y))
+            apart = np.zeros(len(u), np.int64)
             for planes in (fold, words):
                 most = (size[u] + size[v]) * (WHOLE - PART) // (PART + WHOLE)
-                near = np.concatenate([np.bitwise_count(planes[u[k : k + 65536]] ^ planes[v[k : k + 65536]]).sum(axis=1, dtype=np.int64) <= most[k : k + 65536] for k in range(0, len(u), 65536)] or [np.zeros(0, bool)])
-                u, v = u[near], v[near]
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(number[u], number[v])), pa.array(np.maximum(number[u], number[v]))], ["u", "v"])
+                apart = np.concatenate([np.bitwise_count(planes[u[k : k + 65536]] ^ planes[v[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(u), 65536)] or [np.zeros(0, np.int64)])
+                u, v, apart = (z[apart <= most] for z in (u, v, apart))
+            for k in np.argsort(apart, kind="stable").tolist():
+                p, q = int(u[k]), int(v[k])
+                one, other = find(int(now[p])), find(int(now[q]))
+                if one != other:
+                    both = len(np.intersect1d(sets[a + p], sets[a + q], assume_unique=True))
+                    if both * (PART + WHOLE) >= PART * (size[p] + size[q]):
+                        parent[other] = one
+                        found.append((min(number[p], number[q]), max(number[p], number[q])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
 
 
 def filed(texts: DataFrame, asked: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -234,20 +256,25 @@ def large(found: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def still_apart(rows: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) of rows (key, at, h, root) of one key that may be similar and have different roots; counts: (key, n)."""
+    """Similar pairs (u, v) of rows (key, at, h, root) of one key that join different roots; counts: (key, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", 3_000_000):
             row, h, n = shingles(batch.column(1))
-            bits = np.concatenate([bitmaps(row[np.searchsorted(row, k) : np.searchsorted(row, k + 512)] - k, h[np.searchsorted(row, k) : np.searchsorted(row, k + 512)], min(512, len(n) - k)) for k in range(0, len(n), 512)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in bits], pa.binary())], ["h", "bits"])
+            cuts = [np.searchsorted(row, k) for k in range(0, len(n), 512)] + [len(row)]
+            bits = np.concatenate([bitmaps(row[x:y] - k, h[x:y], min(512, len(n) - k)) for k, x, y in zip(range(0, len(n), 512), cuts, cuts[1:], strict=False)])
+            own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), own], ["h", "bits", "own"])
 
     asked = rows.select("h").distinct()
-    bits = written(texts.select("h", "text").join(asked, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(run, "h long, bits binary"), "bitmaps")
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    dealt = rows.join(counts, "key").withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int"))
+    held = texts.select("h", "text").join(asked, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(run, "h long, bits binary, own array<long>")
+    # So many shares that one has about PIECE texts, and no more than VOLUME shingles.
+    size = F.shiftright("at", 32)
+    volume = rows.groupBy("key").agg(F.sum(size).alias("volume"))
+    shares = F.greatest(F.ceil(F.col("n") / PIECE), F.ceil(F.col("volume") / VOLUME)).cast("int")
+    dealt = rows.join(counts.join(volume, "key").select("key", shares.alias("shares")), "key").withColumn("share", F.pmod(F.xxhash64("h"), F.col("shares")).cast("int"))
     # A row goes to the pieces of its own share with every share; the same two shares meet in one piece.
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)"))).join(bits, "h")
-    piece = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    both = dealt.select(piece.alias("piece"), F.col("own").cast("long").alias("own"), "root", "at", "h", "bits")
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, shares - 1)"))).join(held, "h")
+    piece = F.xxhash64("key", F.least("share", "other"), F.greatest("share", "other"))
+    both = dealt.select(piece.alias("piece"), F.col("share").cast("long").alias("share"), "root", "at", "h", "bits", "own")
     return both.repartition("piece").sortWithinPartitions("piece").mapInArrow(_whole_buckets(_apart), "u long, v long")

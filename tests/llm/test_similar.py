@@ -82,10 +82,11 @@ def test_a_piece_of_many_texts_is_quick_and_loses_no_pair():
     sets[1::100] = sets[::100]
     sets[1::100, 50:56] = rng.integers(0, 1 << 62, (n // 100, 6))  # 54 of 66
     bits = similar.bitmaps(np.repeat(np.arange(n), m), sets.ravel(), n)
-    column = np.array([x.tobytes() for x in bits], object)
+    column, own = np.array([x.tobytes() for x in bits], object), np.empty(n, object)
+    own[:] = list(sets)
     began = time.process_time()
     size = np.full(n, m << 32)
-    found = [(u, v) for batch in similar._apart(np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), size, np.arange(n), column) for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    found = [(u, v) for batch in similar._apart(np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), size, np.arange(n), column, own) for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
     assert time.process_time() - began < 10
     assert {(k, k + 1) for k in range(0, n, 100)} <= set(found) and len(found) < 200
 
