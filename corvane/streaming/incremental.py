@@ -33,15 +33,17 @@ def ingest_files(stream: DataFrame, tables: Tables, name: str, checkpoint: str,
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        if number <= tables.done(name) or df.isEmpty():
-            return
-        files = df.withColumn("document_id", F.concat_ws(":", "source_id", "language"))
-        last = files.groupBy("document_id").agg(F.max_by(F.struct(*files.columns), F.struct("seen_at", "sha256")).alias("f")).select("f.*").persist()
+        own = df.persist()
         try:
+            # All of it is read, also of a batch that is left out, as the state of what was seen is written by that.
+            if not own.count() or number <= tables.done(name):
+                return
+            files = own.withColumn("document_id", F.concat_ws(":", "source_id", "language"))
+            last = files.groupBy("document_id").agg(F.max_by(F.struct(*files.columns), F.struct("seen_at", "sha256")).alias("f")).select("f.*")
             documents = last.select("document_id", "source_id", "language", F.col("short_title").alias("title"), "url", "sha256", F.col("seen_at").alias("fetched_at"))
             ingest(tables, documents, parse_acts(last), settings, batch=(name, number))
         finally:
-            last.unpersist()
+            own.unpersist()
 
     return new_files(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
