@@ -1,4 +1,4 @@
-"""Streams that are stopped at bad moments, and thread state over restarts."""
+"""Streams that are stopped at bad moments."""
 
 import base64
 import json
@@ -69,31 +69,3 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path, monkeypatch, moment):
     assert contents(tables) == contents(whole)
     assert len(tables._versions()) == 3  # three batches that brought something new
     assert tables.vacuum() > 0 and contents(tables) == contents(whole) and tables.done("acts") >= 2
-
-
-def test_long_threads_over_a_restart(spark, tmp_path):
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        source, checkpoint = tmp_path / "in", str(tmp_path / "c")
-        source.mkdir()
-        seen = []
-
-        def run(k, rows):
-            (source / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("thread_id", "turn", "role", "text", "provisions"), r, strict=True))) for r in rows))
-            os.utime(source / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
-            stream = spark.readStream.schema("thread_id string, turn long, role string, text string, provisions array<string>").json(str(source))
-            query = incremental.long_threads(stream, keep_ms=86_400_000).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.append({r.thread_id: r for r in df.collect()}))
-            query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-        run(0, [("t", 5, "assistant", "fifth", ["q", "p"]), ("t", 4, "user", "more", None), ("u", 1, "user", "x", [])])
-        run(1, [("t", 2, "assistant", "late", ["r", "p"]), ("t", 1, "user", "hi", [])])  # a restart, and turns that come late
-        (t,) = seen[-1].values()
-        assert (t.turns, t.fresh, t.provisions, t.last_answer) == (4, ["hi", "late"], ["r", "p", "q"], "fifth")
-        assert (seen[0]["u"].turns, seen[0]["u"].last_answer) == (1, None)
-        held = incremental.state_of(spark, checkpoint, "messages")
-        rows = held.select(F.col("key.thread_id").alias("t"), F.explode(F.array("list_element.value")).alias("m")) if "list_element" in held.columns else held
-        assert rows.count() == 5
-        assert incremental.state_of(spark, checkpoint, "provisions").count() == 3
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
