@@ -316,6 +316,14 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    asked = [(word, key, k) for k, (word, key) in enumerate(rule.split() for rule in contract.split(", "))]
+    spark.createDataFrame([(k, f"https://www.{key}x") for _, key, k in asked], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.verdict, r.rule) for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {k: (word, key) for word, key, k in asked}
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     rules = spark.createDataFrame([(f"h{i}.com", f"/p{i % 7}", "block") for i in range(3000)], "host string, path string, verdict string")
     pages = spark.createDataFrame([(i, f"http://www.h{i}.com/p{i % 7}/x") for i in range(3000)] + [(9000 + i, f"http://other{i}.org/") for i in range(500)], "page_id long, url string")
