@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 LISTED = 5_000
 #: Asked terms that are broadcast; more are joined by a shuffle.
 SENT = 1_000_000
+#: Stands behind the tokens of a document; no token.
+MARK = "\0"
 
 
 @dataclass(frozen=True)
@@ -29,21 +31,43 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select(F.explode("tokens").alias("term")).distinct()
 
 
-def only(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows whose term is one of the asked: by a filter that scans can use, a broadcast, or a join, by their number."""
+def only(rows: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
+    """Rows whose term is one of the asked or of ``more``: by a filter that scans can use, a broadcast, or a join, by their number."""
     some = [r["term"] for r in asked.limit(LISTED + 1).collect()]
     if len(some) <= LISTED:
-        return rows.where(F.col("term").isin(some))
-    return rows.join(F.broadcast(asked) if asked.limit(SENT + 1).count() <= SENT else asked, "term", "left_semi")
+        return rows.where(F.col("term").isin(*some, *more))
+    every = asked.select("term").unionByName(asked.sparkSession.createDataFrame([(x,) for x in more], "term string")) if more else asked
+    return rows.join(sent(every), "term", "left_semi")
+
+
+def sent(asked: DataFrame) -> DataFrame:
+    """The rows, to be broadcast unless they are more than SENT."""
+    return F.broadcast(asked) if asked.limit(SENT + 1).count() <= SENT else asked
 
 
 def build(docs: DataFrame, id_col: str, tokens_col: str, by: tuple[str, ...] = (), asked: DataFrame | None = None) -> Lexical:
     """Index of documents with an array of tokens. Documents without tokens count for n and avgdl. With ``asked`` (term) it
     holds only those terms, which are sifted before anything is grouped."""
     own = docs.select(F.col(id_col).alias("id"), *by, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias("tokens"))
-    each = own.select("id", *by, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    postings = (each if asked is None else only(each, asked)).groupBy("id", *by, "len", "term").agg(F.count("*").alias("tf"))
-    return of(postings, own.select("id", *by, F.size("tokens").alias("len")), by)
+    if asked is None:
+        postings = own.select("id", *by, F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", *by, "len", "term").agg(F.count("*").alias("tf"))
+        return of(postings, own.select("id", *by, F.size("tokens").alias("len")), by)
+    return _dealt(own, by, asked)
+
+
+def _dealt(own: DataFrame, by: tuple[str, ...], asked: DataFrame) -> Lexical:
+    """The index of some terms, from one exchange by id: MARK behind a document's tokens carries its length, so postings, df and
+    totals all read what one pass over the texts has written, and scores of a document are summed where its postings are."""
+    tokens = F.explode(F.concat("tokens", F.array(F.lit(MARK))))
+    # Without nulls no condition on them is inferred, which would make another exchange of it.
+    each = own.select("id", *by, F.size("tokens").alias("len"), tokens.alias("term")).withColumn("term", F.coalesce("term", F.lit("")))
+    counted = only(each, asked, MARK).repartition("id").groupBy("id", *by, "len", "term").agg(F.count_if(F.col("term") != MARK).alias("tf"), F.count("*").alias("times"))
+    # Conditions on counts, not on the term: they stay behind the exchange.
+    postings = counted.where("tf > 0").select("id", *by, "len", "term", "tf")
+    terms = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    length = F.sum(F.col("len") * F.col("times")) / F.sum("times")
+    totals = counted.where("tf = 0").groupBy(*by).agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.coalesce(length, F.lit(0.0)).alias("avgdl"))
+    return Lexical(postings, terms, totals, by)
 
 
 def of(postings: DataFrame, stats: DataFrame, by: tuple[str, ...] = ()) -> Lexical:
@@ -74,7 +98,7 @@ def search(index: Lexical, queries: DataFrame, k: int, k1: float = 1.5, b: float
     asked = queries.select("qid", *index.by, F.explode("tokens").alias("term")).groupBy("qid", *index.by, "term").agg(F.count("*").alias("times"))
     on = [*index.by, "term"]
     weighted = with_totals(asked.join(index.terms, on), index).select("qid", *on, "times", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    hits = index.postings.join(weighted, on)
+    hits = index.postings.join(F.broadcast(weighted) if asked.limit(SENT + 1).count() <= SENT else weighted, on)
     ratio = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("len") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
     return best(hits.groupBy("qid", "id").agg(F.round(F.sum(part), digits).alias("score")), k)
