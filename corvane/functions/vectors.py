@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -30,22 +27,17 @@ def checked(v: Column, dimensions: int) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _hashed(words: pd.Series, dimensions: pd.Series) -> pd.Series:
+def _hashed(firsts: pd.Series, dimensions: pd.Series) -> pd.Series:
     out = []
-    for own, n in zip(words, dimensions, strict=True):
-        v = np.zeros(int(n))
-        for w in own if own is not None else ():
-            v[_bucket(w) % int(n)] += 1
+    for own, n in zip(firsts, dimensions, strict=True):
+        v = np.bincount(np.frombuffer(bytes.fromhex(own or ""), np.uint8) % int(n), minlength=int(n)).astype(float)
         length = np.sqrt(v @ v)
         out.append(v / length if length else v)
     return pd.Series(out)
 
 
-@lru_cache(maxsize=500_000)
-def _bucket(word: str) -> int:
-    return hashlib.sha256(word.encode()).digest()[0]
-
-
 def hashing_embedding(text: Column, dimensions: int = 64) -> Column:
     """Deterministic offline embedding: words counted in buckets of their SHA-256's first byte, at unit length."""
-    return _hashed(tokens(text), F.lit(dimensions))
+    # Python gets two characters a word, not the words, so a batch of long texts is small there.
+    firsts = F.array_join(F.transform(tokens(text), lambda w: F.substring(F.sha2(w, 256), 1, 2)), "")
+    return _hashed(firsts, F.lit(dimensions))
