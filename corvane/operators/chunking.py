@@ -43,12 +43,12 @@ def windows(df: DataFrame, tokens: str, size: int, overlap: int) -> DataFrame:
 _PLACE = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end")])
 
 
-def _places(texts: list[str | None]) -> tuple[np.ndarray, pa.Array]:
-    """Number of tokens of each text, and the places of all of them."""
+def _places(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of tokens of each text, and the places of all of them: one text at a time as Python objects, all others as numbers."""
     pattern = re.compile(r"\w+|[^\w\s]")
-    spans = [[m.span() for m in pattern.finditer(t or "")] for t in texts]
-    flat = np.array([x for own in spans for x in own], np.int32).reshape(-1, 2)
-    return np.array([len(own) for own in spans], np.int64), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
+    found = [np.fromiter((x for m in pattern.finditer(t.as_py() or "") for x in m.span()), np.int32) for t in texts]
+    flat = np.concatenate([*found, np.zeros(0, np.int32)]).reshape(-1, 2)
+    return np.array([len(own) // 2 for own in found], np.int64), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
 
 
 def _lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:
@@ -58,13 +58,13 @@ def _lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(_PLACE))
 def token_offsets(texts: pa.Array) -> pa.Array:
     """Character places of words and single symbols: linear in the text."""
-    return _lists(*_places(texts.to_pylist()))
+    return _lists(*_places(texts))
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(_PLACE)))
 def token_offsets_of_each(texts: pa.Array) -> pa.Array:
     """The same for arrays of texts."""
-    return _lists(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), _lists(*_places(texts.flatten().to_pylist())))
+    return _lists(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), _lists(*_places(texts.flatten())))
 
 
 @dataclass(frozen=True)
