@@ -30,6 +30,17 @@ def of(postings: DataFrame, lengths: DataFrame, by: tuple[str, ...] = ()) -> Sta
     return Statistics(terms, lengths.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("len").cast("long")).alias("tokens")), by)
 
 
+def of_tokens(docs: DataFrame, by: tuple[str, ...] = ()) -> Statistics:
+    """Those of documents (id, by, tokens), from one pass over them: a row for each term of a document, and one of lexical.MARK for its length."""
+    own = docs.select("id", *by, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    each = own.select("id", *by, F.size("tokens").alias("len"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(lexical.MARK)))).alias("term")).withColumn("term", F.coalesce("term", F.lit("")))
+    end = F.col("term") == lexical.MARK
+    counted = each.groupBy("id", *by, "term").agg(F.count_if(end).alias("n"), F.sum(F.when(end, F.col("len")).otherwise(0)).alias("tokens"))
+    # Both use both sums, so they share the exchange.
+    terms = counted.where("n = 0 and tokens = 0").groupBy(*by, "term").agg(F.count("*").alias("df"))
+    return Statistics(terms, counted.where("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), by)
+
+
 def change(gone: Statistics, come: Statistics) -> Statistics:
     """What changes when documents go and others come: rows that stay as they are drop out."""
     return Statistics(_summed([(gone.terms, -1), (come.terms, 1)], [*gone.by, "term"], ["df"]), _summed([(gone.totals, -1), (come.totals, 1)], list(gone.by), ["n", "tokens"]), gone.by)

@@ -1,11 +1,15 @@
 """How often a query reads the texts of the documents: exchanges are shared instead of texts being analysed anew."""
 
 import re
+import tracemalloc
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
-from corvane.operators import containment
+from corvane.functions import vectors
+from corvane.operators import chunking, containment
 
 
 def passes(df) -> int:
@@ -15,7 +19,7 @@ def passes(df) -> int:
     return len(re.findall(r"FileScan parquet \[[^\]]*\btext#[^\n]*documents\.parquet", plan))
 
 
-@pytest.mark.parametrize("name,most", [("bm25_topk", 1), ("rrf_fusion", 1), ("hybrid_search", 1), ("compare_configurations", 1), ("bm25_blocks_read", 2)])
+@pytest.mark.parametrize("name,most", [("bm25_topk", 1), ("rrf_fusion", 1), ("hybrid_search", 1), ("compare_configurations", 1), ("bm25_blocks_read", 2), ("index_maintained", 3), ("stemmed_terms", 1)])
 def test_passes_over_the_texts(spark, sf_dir, name, most):
     assert passes(__spark_entry__.queries()[name](spark, sf_dir)) == most
 
@@ -28,3 +32,17 @@ def test_texts_that_meet_terms_stay_where_they_are(spark, monkeypatch, n, few):
     got = containment.containing(texts, terms)
     assert {tuple(r) for r in got.select("id", "term").collect()} == {(i, f"W{k}") for i in range(50) for k in range(n) if f"w{k}" in f"words w{i % 7} of {i}"}
     assert not re.search(r"Exchange hashpartitioning\([^)]*__h", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_python_gets_first_bytes_not_words():
+    assert vectors._hashed.func(pd.Series(["0001", "", None]), pd.Series([2, 2, 2])).map(lambda v: [round(x, 4) for x in v]).tolist() == [[0.7071, 0.7071], [0, 0], [0, 0]]
+
+
+def test_places_of_a_batch_are_numbers():
+    texts = pa.array(["a b c d e f g h " * 200] * 500 + [None])
+    tracemalloc.start()
+    counts, places = chunking._places(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [1600] * 500 + [0] and places[1].as_py() == {"start": 2, "end": 3}
+    assert peak < 40_000_000  # 800 000 places of 8 bytes, copied a few times
