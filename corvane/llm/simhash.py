@@ -294,7 +294,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return prints.join(roots, "fp", "left").select("h", F.coalesce("root", "fp").alias("root"))
 
     found = similar.candidates(marked)
-    roots = joined(links(classes.select("fp")), found.where("key is null"))
+    roots = joined(links(classes.select("fp")), similar.met(found))
     left = []
     for _ in range(similar.ROUNDS):
         rows, counts = similar.large(found, named())
@@ -307,7 +307,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rows = rows.join(sent, "key", "left_semi")
         order = similar.put_last(order, *(last.column(c).to_numpy() for c in ("key", "n")))
         found = similar.candidates(written(similar.filed(texts, rows.select("h").distinct(), order), "filed"))
-        roots = joined(links_of(roots), found.where("key is null"))
+        roots = joined(links_of(roots), similar.met(found))
     else:
         left.append(similar.large(found, named()))
     for rows, counts in left:

@@ -5,6 +5,9 @@ of that similarity share a shingle among the first n - ceil(0.8 n) + 1 of each,
 missed whatever the sample says; it only keeps lines that stand in many texts out of the keys. Sizes and the places of the shared
 shingle turn most others away, and what is left is compared set by set.
 
+Keys that have the same texts count once, under the first of them, so copies that share a thousand keys meet once; a list of texts
+gives BUCKET * (BUCKET - 1) / 2 pairs at most. Folded parity bitmaps turn most pairs away before sets are joined.
+
 Links join into components, so pairs that are in one component already needn't be compared. Of a bucket of more than
 BUCKET texts a round compares stars only. Keys whose buckets hold several components after that are put last in the order, and the
 texts under them are filed anew by what then comes first: a pair that only met there shares one of those keys. After ROUNDS such
@@ -142,21 +145,42 @@ def _whole_buckets(work):
 
 
 def _first_round(key: np.ndarray, at: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of small buckets and stars of large ones; then the large buckets' own rows as (text, size and place, key)."""
+    """Rows (texts, at, key): the texts of small buckets, by text, and stars of large ones, two by two; then each row of a large bucket with its key."""
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
     key, at, text = key[new], at[new], text[new]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(begin, len(key)))
-    end, first, large = np.repeat(begin + size, size), np.repeat(begin, size), np.repeat(size > BUCKET, size)
-    i = np.arange(len(key))
     none = lambda n: pa.nulls(n, pa.int64())
-    batch = lambda *c: pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in c], ["u", "v", "key"])
-    # A large bucket's rows meet their neighbour, and the first row all.
-    for u, v in _pairs(text, at, i + 1, np.where(large & (i != first), np.minimum(i + 2, end), end)):
-        yield batch(u, v, none(len(u)))
+
+    def batch(text: np.ndarray, at: np.ndarray, number: np.ndarray, key: pa.Array) -> pa.RecordBatch:
+        cuts = pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(text)), pa.ListArray.from_arrays(cuts, pa.array(at)), key], ["texts", "at", "key"])
+
+    few = size[(size > 1) & (size <= BUCKET)]
+    own = np.flatnonzero(np.repeat((size > 1) & (size <= BUCKET), size))
+    own = own[np.lexsort((text[own], np.repeat(np.arange(len(few)), few)))]
+    yield batch(text[own], at[own], few, none(len(few)))
+    large = np.repeat(size > BUCKET, size)
     if large.any():
-        yield batch(text[large], at[large], key[large])
+        # A large bucket's rows meet their neighbour, and the first row all.
+        first, i = np.repeat(begin, size), np.flatnonzero(large)
+        a, b = np.concatenate([first[i], i - 1]), np.concatenate([i, i])
+        ok = (np.tile(i, 2) != np.tile(first[i], 2)) & _may_be(at[a], at[b])
+        a, b = a[ok], b[ok]
+        a, b = np.where(text[a] < text[b], a, b), np.where(text[a] < text[b], b, a)
+        two = np.stack([a, b], axis=1).ravel()
+        yield batch(text[two], at[two], np.full(len(a), 2), none(len(a)))
+        yield batch(text[large], at[large], np.ones(len(i), np.int64), pa.array(key[large]))
+
+
+def _of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of the texts of each row (texts, at) that may be similar."""
+    for batch in batches:
+        number = batch.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        text, at = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
+        for u, v in _pairs(text, at, np.arange(len(text)) + 1, np.repeat(np.cumsum(number), number)):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
@@ -167,6 +191,11 @@ def bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd.reshape(rows, BITS), axis=1)
 
 
+def _runs(row: np.ndarray, rows: int) -> list[tuple[int, int, int, int]]:
+    """Runs of 512 rows, whose bitmaps are made at a time: their first row, the one after them, and the places of their shingles."""
+    return [(k, min(k + 512, rows), *np.searchsorted(row, [k, min(k + 512, rows)])) for k in range(0, rows, 512)]
+
+
 def _apart(key: np.ndarray, side: np.ndarray, root: np.ndarray, at: np.ndarray, text: np.ndarray, bits: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Similar pairs of a piece that join different roots, as few as do so; a piece has one side, or two that meet each other only.
 
@@ -227,28 +256,43 @@ def filed(texts: DataFrame, asked: DataFrame, order: tuple[np.ndarray, np.ndarra
 def candidates(marked: DataFrame) -> DataFrame:
     """Rows of the first round of (h, n, keys), written."""
     rows = marked.select("h", "n", F.posexplode("keys").alias("place", "key")).select("key", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("at"), "h")
-    return written(rows.repartition("key").sortWithinPartitions("key", "at", "h").mapInArrow(_whole_buckets(_first_round), "u long, v long, key long"), "candidates")
+    return written(rows.repartition("key").sortWithinPartitions("key", "at", "h").mapInArrow(_whole_buckets(_first_round), "texts array<long>, at array<long>, key long"), "candidates")
+
+
+def met(found: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the texts that met under a key. Many keys have the same texts, which meet once, under the first of those keys: the order
+    of keys is one for all texts, so it is the first in each."""
+    lists = found.where("key is null").select("texts", "at").groupBy("texts").agg(F.min("at").alias("at"))
+    return lists.mapInArrow(_of_lists, "u long, v long")
 
 
 def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those distinct pairs (u, v) whose texts in (h, text) are similar."""
+    """Those distinct pairs (u, v) whose texts in (h, text) are similar. Folded parity bitmaps turn most others away before sets are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", 3_000_000):
-            _, h, n = shingles(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h))], ["h", "own"])
+            row, h, n = shingles(batch.column(1))
+            fold = np.bitwise_xor.reduce(np.concatenate([bitmaps(row[x:y] - k, h[x:y], to - k) for k, to, x, y in _runs(row, len(n))]).view(np.int64).reshape(len(n), -1, FOLD // 64), axis=1)
+            fold = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (FOLD // 64), pa.int32()), pa.array(fold.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), fold, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h))], ["h", "n", "fold", "own"])
 
     pairs = written(pairs.select("u", "v").distinct(), "pairs")
     asked = written(pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct(), "asked")
     few = asked.count() <= SENT
-    held = written(texts.join(F.broadcast(asked) if few else asked, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(run, "h long, own array<long>"), "sets")
-    both = pairs.join(held.select(F.col("h").alias("u"), F.col("own").alias("a")), "u").join(held.select(F.col("h").alias("v"), F.col("own").alias("b")), "v")
-    return both.where(F.size(F.array_intersect("a", "b")) * (PART + WHOLE) >= PART * (F.size("a") + F.size("b"))).select("u", "v")
+    held = written(texts.join(F.broadcast(asked) if few else asked, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(run, "h long, n int, fold array<long>, own array<long>"), "sets")
+
+    def both(pairs: DataFrame, *columns: str) -> DataFrame:
+        u, v = (held.select(F.col("h").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in columns)) for c in "uv")
+        return pairs.join(u, "u").join(v, "v")
+
+    apart = sum((F.bit_count(F.col("u_fold")[k].bitwiseXOR(F.col("v_fold")[k])) for k in range(FOLD // 64)), F.lit(0))
+    near = written(both(pairs, "n", "fold").where(apart * (PART + WHOLE) <= (F.col("u_n") + F.col("v_n")) * (WHOLE - PART)).select("u", "v"), "near")
+    return both(near, "own").where(F.size(F.array_intersect("u_own", "v_own")) * (PART + WHOLE) >= PART * (F.size("u_own") + F.size("v_own"))).select("u", "v")
 
 
 def large(found: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (key, at, h, root) of large buckets of which some have different roots, by (h, root), written; and (key, n) of those."""
-    rows = found.where("key is not null").select("key", F.col("v").alias("at"), F.col("u").alias("h")).join(named, "h").select("key", "at", "h", "root")
+    rows = found.where("key is not null").select("key", F.col("at")[0].alias("at"), F.col("texts")[0].alias("h")).join(named, "h").select("key", "at", "h", "root")
     rows = written(rows, "large")
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "n")
     counts = written(counts, "large-keys")
@@ -261,8 +305,7 @@ def still_apart(rows: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", 3_000_000):
             row, h, n = shingles(batch.column(1))
-            cuts = [np.searchsorted(row, k) for k in range(0, len(n), 512)] + [len(row)]
-            bits = np.concatenate([bitmaps(row[x:y] - k, h[x:y], min(512, len(n) - k)) for k, x, y in zip(range(0, len(n), 512), cuts, cuts[1:], strict=False)])
+            bits = np.concatenate([bitmaps(row[x:y] - k, h[x:y], to - k) for k, to, x, y in _runs(row, len(n))])
             own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), own], ["h", "bits", "own"])
 

@@ -117,3 +117,18 @@ def test_copy_with_a_few_edits_goes(spark):
     kept = simhash.near_dedup(rows)
     assert kept.columns == rows.columns
     assert {r.doc_id for r in kept.orderBy(F.col("doc_id")).collect()} == {1, 3, 5}
+
+
+def test_texts_that_share_many_keys_meet_once(spark):
+    # 24 texts under 50 common keys; only under the first 12 of them the places allow a pair.
+    marked = spark.createDataFrame([(t, 100, [*range(50), 1000 + t]) for t in range(24)], "h long, n int, keys array<long>")
+    found = similar.candidates(marked)
+    assert found.count() == 50 and found.where("key is not null").isEmpty()
+    assert sorted(tuple(r) for r in similar.met(found).collect()) == [(a, b) for a in range(24) for b in range(a + 1, 24)]
+
+
+def test_sets_are_joined_for_pairs_that_bitmaps_let_through(spark):
+    words = [f"w{k}" for k in range(200)]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:190])), (3, " ".join(words[:100])), (4, "")], "h long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(1, 5) for b in range(a + 1, 5)], "u long, v long")
+    assert [tuple(r) for r in similar.similar(texts, pairs).collect()] == [(1, 2)]
