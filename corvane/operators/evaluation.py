@@ -143,9 +143,10 @@ def agreement(pairs: DataFrame) -> DataFrame:
 
 
 def cost_usd(usage: DataFrame, prices: DataFrame, model: str = "model", read: float = 0.1, write: float = 1.25) -> DataFrame:
-    """``usage`` with cost_usd of each row; an unknown model costs 0."""
+    """``usage`` with cost_usd of each row; an unknown model costs 0. Prices are a row a model and are sent to all tasks: usage of a few models
+    must not be dealt by model."""
     p = prices.select(F.col("model").alias(model), "input_per_mtok", "output_per_mtok")
-    full = usage.join(p, model, "left")
+    full = usage.join(F.broadcast(p), model, "left")
     inputs = F.col("input_tokens") + F.col("cache_read_tokens") * read + F.col("cache_write_tokens") * write
     cost = (inputs * F.col("input_per_mtok") + F.col("output_tokens") * F.col("output_per_mtok")) / 1_000_000
     return full.withColumn("cost_usd", F.coalesce(cost, F.lit(0.0))).drop("input_per_mtok", "output_per_mtok")

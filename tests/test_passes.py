@@ -9,7 +9,8 @@ import pytest
 
 import __spark_entry__
 from corvane.functions import vectors
-from corvane.operators import chunking, containment
+from corvane.operators import chunking, containment, evaluation
+from pyspark.sql import functions as F
 
 
 def passes(df) -> int:
@@ -46,3 +47,11 @@ def test_places_of_a_batch_are_numbers():
     tracemalloc.stop()
     assert counts.tolist() == [1600] * 500 + [0] and places[1].as_py() == {"start": 2, "end": 3}
     assert peak < 40_000_000  # 800 000 places of 8 bytes, copied a few times
+
+
+def test_usage_stays_where_it_is_when_priced(spark):
+    usage = spark.range(100).selectExpr("concat('m', id % 3) AS model", "id AS input_tokens", "id AS output_tokens", "0L AS cache_read_tokens", "0L AS cache_write_tokens")
+    prices = spark.createDataFrame([("m0", 1.0, 2.0), ("m1", 2.0, 4.0)], "model string, input_per_mtok double, output_per_mtok double")
+    priced = evaluation.cost_usd(usage, prices)
+    assert {r.model: round(r.c * 10**6) for r in priced.groupBy("model").agg(F.sum("cost_usd").alias("c")).collect()} == {"m0": 3 * sum(range(0, 100, 3)), "m1": 6 * sum(range(1, 100, 3)), "m2": 0}
+    assert "Exchange hashpartitioning" not in priced._jdf.queryExecution().executedPlan().toString()
