@@ -18,14 +18,22 @@ DIGITS = 3
 SENT = 1_000_000
 
 
-def numbered(terms: DataFrame) -> DataFrame:
-    """Distinct rows (language, term) with their ``id``, from 0 without gaps."""
-    own = terms.select("language", "term").distinct().withColumn("part", F.substring(F.sha2("term", 256), 1, DIGITS))
-    # A row for each group, 16^DIGITS at most.
+def counted(postings: DataFrame) -> DataFrame:
+    """Distinct (language, term) of postings (id, language, term, tf), with df and tf."""
+    return postings.groupBy("language", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def numbered(terms: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct rows (language, term) with their ``id``, from 0 without gaps. With ``carried`` columns the terms must be distinct already."""
+    own = terms.select("language", "term", *carried) if carried else terms.select("language", "term").distinct()
+    # Without nulls no condition on it is inferred, which would make another exchange of the terms.
+    own = own.withColumn("part", F.coalesce(F.substring(F.sha2("term", 256), 1, DIGITS), F.lit("")))
+    # A row for each group, 16^DIGITS at most. Carried columns are read here too: the groups and the places then come from one exchange.
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = own.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    n = F.count_if(F.hash(*carried) <= 2**31 - 1) if carried else F.count("*")  # every row
+    parts = own.groupBy("part").agg(n.alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("part").orderBy("language", "term"))
-    return own.withColumn("place", place).join(F.broadcast(parts), "part").select("language", "term", (F.col("before") + F.col("place") - 1).alias("id"))
+    return own.withColumn("place", place).join(F.broadcast(parts), "part").select("language", "term", (F.col("before") + F.col("place") - 1).alias("id"), *carried)
 
 
 def stemmed(terms: DataFrame) -> DataFrame:

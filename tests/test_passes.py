@@ -25,6 +25,10 @@ def test_passes_over_the_texts(spark, sf_dir, name, most):
     assert passes(__spark_entry__.queries()[name](spark, sf_dir)) == most
 
 
+def test_dictionary_reads_the_texts_once(spark, sf_dir):
+    assert passes(__spark_entry__.queries()["term_dictionary"](spark, sf_dir)) == 1
+
+
 @pytest.mark.parametrize("n,few", [(3, 16), (3, 0), (40, 16)])
 def test_texts_that_meet_terms_stay_where_they_are(spark, monkeypatch, n, few):
     monkeypatch.setattr(containment, "FEW", few)
