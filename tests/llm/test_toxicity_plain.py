@@ -1,5 +1,8 @@
 """The network against a plain version of it, and its accuracy on rows it hasn't seen."""
 
+import json
+import os
+
 import numpy as np
 import pyarrow as pa
 from corvane.llm import toxicity
@@ -64,3 +67,15 @@ def test_long_labelled_texts_are_learnt_from(spark, monkeypatch):
     model = toxicity.train(docs, labels)
     asked = toxicity.scores(model, pa.array([f"{clean} you rotten wretch", f"{clean} you kind friend", clean]))
     assert asked[0] > 0.5 > max(asked[1:])
+
+
+def test_the_driver_gets_the_model_not_the_texts(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('some words of text ', id, if(id % 3 = 0, ' you rotten wretch', ' you kind friend')) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 AS int) AS toxic")
+    rows = docs.join(labels, "doc_id").selectExpr("xxhash64(doc_id) AS h", "toxic", "text").collect()
+    rows.sort(key=lambda r: (-r.toxic, r.h))
+    expected = [[r.text for r in rows], [r.toxic for r in rows], [sum(r.toxic for r in rows) / len(rows)]]
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, share: {"pid": np.array(os.getpid()), "seen": np.array(json.dumps([texts, labels, [share]]))})
+    model = toxicity.train(docs, labels)
+    assert model["pid"] != os.getpid() and json.loads(str(model["seen"])) == expected
+    assert toxicity.train(docs.limit(0), labels.limit(0))["seen"] == json.dumps([[], [], [0.0]])
