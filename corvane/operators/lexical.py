@@ -62,11 +62,12 @@ def _dealt(own: DataFrame, by: tuple[str, ...], asked: DataFrame) -> Lexical:
     # Without nulls no condition on them is inferred, which would make another exchange of it.
     each = own.select("id", *by, F.size("tokens").alias("len"), tokens.alias("term")).withColumn("term", F.coalesce("term", F.lit("")))
     counted = only(each, asked, MARK).repartition("id").groupBy("id", *by, "len", "term").agg(F.count_if(F.col("term") != MARK).alias("tf"), F.count("*").alias("times"))
-    # Conditions on counts, not on the term: they stay behind the exchange.
+    # Conditions on counts, not on the term: they stay behind the exchange. Terms and totals are the same rows by term, told apart by
+    # ``tokens``, which only MARK has: as both read both counts, one pass over what the exchange wrote serves them.
     postings = counted.where("tf > 0").select("id", *by, "len", "term", "tf")
-    terms = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    length = F.sum(F.col("len") * F.col("times")) / F.sum("times")
-    totals = counted.where("tf = 0").groupBy(*by).agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.coalesce(length, F.lit(0.0)).alias("avgdl"))
+    every = counted.groupBy(*by, "term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(F.col("times"))).alias("df"), F.sum(F.when(F.col("tf") == 0, F.col("len") * F.col("times"))).alias("tokens"))
+    terms = every.where("tokens is null").select(*by, "term", "df")
+    totals = every.where("tokens is not null").groupBy(*by).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens") / F.sum("df"), F.lit(0.0)).alias("avgdl"))
     return Lexical(postings, terms, totals, by)
 
 

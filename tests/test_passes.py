@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 from corvane.functions import vectors
-from corvane.operators import chunking, containment, evaluation
+from corvane.operators import chunking, containment, evaluation, lexical
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,19 @@ def test_passes_over_the_texts(spark, sf_dir, name, most):
     assert passes(__spark_entry__.queries()[name](spark, sf_dir)) == most
 
 
+def test_terms_and_totals_share_a_pass_over_the_postings(spark):
+    docs = spark.range(60).selectExpr("id", "id % 2 AS kind", "if(id = 7, array(), array('a', 'b', 'a', concat('c', id % 5))) AS tokens")
+    asked = spark.createDataFrame([("a",), ("c1",), ("none",)], "term string")
+    for by in ((), ("kind",)):
+        whole, index = lexical.build(docs, "id", "tokens", by), lexical.build(docs, "id", "tokens", by, asked)
+        got = lexical.term_stats(index)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in lexical.term_stats(whole).where("term IN ('a', 'c1')").collect()}
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        counted = re.findall(r"HashAggregate\(keys=\[id#\d+L?, [^\]]*term#\d+\], functions=\[(?!partial)", plan)
+        assert len(counted) == 1, plan
+    assert lexical.build(docs.limit(0), "id", "tokens", (), asked).totals.first().asDict() == {"n": 0, "avgdl": 0.0}
+
+
 def test_dictionary_reads_the_texts_once(spark, sf_dir):
     assert passes(__spark_entry__.queries()["term_dictionary"](spark, sf_dir)) == 1
 
